@@ -13,7 +13,6 @@ from rampart.functions.regexes import java_regex
 
 BASE64_RUN = r"[A-Za-z0-9+/]{20,}={0,2}"
 WORD = java_regex(r"\S+")
-BLANKS = " \t\n\r\f\x0b\x85\xa0\u2028\u2029\u3000"
 
 
 def col(c: Column | str) -> Column:
@@ -121,18 +120,14 @@ def normalize_unicode(text: Column | str, homoglyphs: bool = True) -> Column:
 def shannon_entropy(text: Column | str) -> Column:
     """Bits per character: log2(n) - sum(c * log2(c)) / n over the counts c of distinct characters.
 
-    A character is counted by what its removal takes away.  Lambdas evaluate what they
-    capture once per element, so only the text itself is captured.
+    Sorted characters form one run per distinct character, so one pass of a back-reference
+    counts them all.
     """
     t = col(text)
-    left = F.transform(F.array_distinct(characters(t)), lambda ch: F.length(F.replace(t, ch, F.lit(""))))
-    n = F.length(t)
-    spread = F.aggregate(
-        F.zip_with(left, F.array_repeat(n, F.size(left)), lambda rest, total: (total - rest).cast("double")),
-        F.lit(0.0),
-        lambda acc, c: acc + c * F.log2(c),
-    )
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.log2(n) - spread / n)
+    in_order = F.array_join(F.sort_array(characters(t)), "")
+    counts = F.transform(F.regexp_extract_all(in_order, F.lit(r"(?s)(.)\1*"), F.lit(0)), F.length)
+    spread = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * F.log2(c))
+    return F.when(F.length(t) == 0, F.lit(0.0)).otherwise(F.log2(F.length(t)) - spread / F.length(t))
 
 
 def max_repetition(text: Column | str) -> Column:
@@ -221,30 +216,28 @@ def keyword_features(text: Column | str) -> dict[str, Column]:
     }
 
 
-def _shifted(items: Column, by: int) -> Column:
-    return F.slice(items, by + 1, F.greatest(F.size(items), F.lit(1)))
-
-
-def _runs_of(items: Column, low: int, high: int, sep: str) -> Column:
-    """Neighbouring items joined, for each size: arrays shifted against each other, linear in the text."""
-    sizes, grown = [], items
-    for n in range(1, high + 1):
-        if n > 1:
-            grown = F.zip_with(grown, _shifted(items, n - 1), lambda a, b: F.concat(a, F.lit(sep), b))
-        if n >= low:
-            sizes.append(F.filter(grown, lambda g: g.isNotNull()) if n > 1 else grown)
-    return F.concat(*sizes) if len(sizes) > 1 else sizes[0]
-
-
+# An empty match at every position whose look-ahead captures the n-gram that starts there:
+# linear in the text and one expression, where arrays of positions would be quadratic.
 def char_ngram_array(text: Column | str, low: int = 2, high: int = 3) -> Column:
     """All character n-grams of the lower-cased text that are not just white space."""
-    grams = _runs_of(characters(F.lower(col(text))), low, high, "")
-    return F.filter(grams, lambda g: F.length(F.translate(g, BLANKS, "")) > 0)
+    t = F.lower(col(text))
+
+    def of_size(n: int) -> Column:
+        at = rf"(?sU)(?!\s{{{n}}})(?![\x{{DC00}}-\x{{DFFF}}])(?=({'.' * n}))"
+        return F.regexp_extract_all(t, F.lit(at), F.lit(1))
+
+    return F.concat(*[of_size(n) for n in range(low, high + 1)])
 
 
 def word_ngram_array(text: Column | str, low: int = 2, high: int = 3) -> Column:
     """All word n-grams of the lower-cased text, joined by one space."""
-    return _runs_of(words(F.lower(col(text))), low, high, " ")
+    t = F.regexp_replace(F.lower(col(text)), java_regex(r"\s+"), " ")
+
+    def of_size(n: int) -> Column:
+        gram = " ".join(["[^ ]+"] * n)
+        return F.regexp_extract_all(t, F.lit(rf"(?<![^ ])(?=({gram})(?![^ ]))"), F.lit(1))
+
+    return F.concat(*[of_size(n) for n in range(low, high + 1)])
 
 
 # --- scripts and unicode ---------------------------------------------------------------
