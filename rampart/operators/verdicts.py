@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rampart.functions import rule_tables as R
 from rampart.functions import text as X
+from rampart.functions.repeats import repeats_a_block
 from rampart.operators import pii as P
 from rampart.operators import rules
 
@@ -283,17 +284,6 @@ def full_analysis(runs: list[DataFrame], keep_all: bool = True) -> DataFrame:
 
 
 # --- complexity and routing ---------------------------------------------------------------
-def repeats_a_block(text: Column) -> Column:
-    """Some block of at least ten characters stands four times in a row, within a line.
-
-    The back-reference is quadratic in the line, so it only runs on texts in which some
-    ten characters occur four times at all; sorting the ten-grams shows that.
-    """
-    grams = F.sort_array(F.regexp_extract_all(text, F.lit(r"(?d)(?=(.{10}))"), F.lit(1)))
-    four = F.exists(F.zip_with(grams, F.slice(grams, 4, F.greatest(F.size(grams), F.lit(1))), lambda a, b: a == b), lambda x: x)
-    return F.when(F.length(text) < 40, False).when(F.coalesce(four, F.lit(False)), text.rlike(r"(?d)(.{10,}?)\1{3}")).otherwise(False)
-
-
 def _message_measures(df: DataFrame) -> DataFrame:
     t = F.col("text")
     base = df.withColumn("_low", F.lower(t))

@@ -164,7 +164,7 @@ CTE = {
     api_calls AS (SELECT *, prompt_tokens + completion_tokens AS total_tokens,
       CASE provider WHEN 'heuristic' THEN 0.0::DOUBLE WHEN 'cache' THEN 0.0::DOUBLE ELSE
       round(prompt_tokens / 1000.0::DOUBLE * CASE provider WHEN 'anthropic' THEN 0.00025::DOUBLE WHEN 'openai' THEN 0.01::DOUBLE ELSE 0.00035::DOUBLE END
-        + completion_tokens / 1000.0::DOUBLE * CASE provider WHEN 'anthropic' THEN 0.00125::DOUBLE WHEN 'openai' THEN 0.03::DOUBLE ELSE 0.0021::DOUBLE END, 6) END AS cost_usd
+        + completion_tokens / 1000.0::DOUBLE * CASE provider WHEN 'anthropic' THEN 0.00125::DOUBLE WHEN 'openai' THEN 0.03::DOUBLE ELSE 0.0021::DOUBLE END + 1e-10, 6) END AS cost_usd
       FROM base_calls)""",
     "requests": """requests AS (SELECT event_id AS request_id, user_id AS client, ts, epoch_us(ts) AS us,
       CAST(floor(value) AS BIGINT) AS tokens, '/api/v1/' || event_type AS path,
