@@ -41,8 +41,8 @@ def _replay(spark, path):
 
 
 @query("rate_metrics", with_ctes("requests", """SELECT count(*) AS total_requests, count(*) FILTER (tokens <= 60) AS accepted, count(*) FILTER (tokens > 60) AS rejected,
-  round(count(*) FILTER (tokens <= 60) / count(*)::DOUBLE, 5) AS acceptance_rate, sum(tokens)::BIGINT AS total_tokens, count(DISTINCT client) AS active_clients,
-  round(count(*) FILTER (tokens <= 60) / 90.0::DOUBLE / ((max(us) - min(us)) / 6e7), 5) AS current_load FROM requests"""))
+  round(count(*) FILTER (tokens <= 60) / count(*)::DOUBLE, 6) AS acceptance_rate, sum(tokens)::BIGINT AS total_tokens, count(DISTINCT client) AS active_clients,
+  round(count(*) FILTER (tokens <= 60) / 90.0::DOUBLE / ((max(us) - min(us)) / 6e7), 6) AS current_load FROM requests"""))
 def _metrics(spark, path):
     d = I.requests(spark, path).withColumn("allowed", F.col("tokens") <= 60)
     return rounded(L.rate_metrics(d))
@@ -50,7 +50,7 @@ def _metrics(spark, path):
 
 @query("adaptive_rates", with_ctes("requests", """, l AS (SELECT us // 3600000000 AS interval, count(*) / 30.0::DOUBLE AS load FROM requests GROUP BY 1),
   a AS (SELECT interval, load, avg(load) OVER (ORDER BY interval ROWS 9 PRECEDING) AS avg_load FROM l)
-  SELECT interval::BIGINT AS interval, round(load, 5) AS load, round(avg_load, 5) AS avg_load, round(CASE WHEN avg_load > 0.8 THEN greatest(0.5, 1 - (avg_load - 0.8)) WHEN avg_load < 0.3 THEN least(1.5, 1 + (0.3 - avg_load)) ELSE 1 END, 5) AS adjustment FROM a"""))
+  SELECT interval::BIGINT AS interval, round(load, 6) AS load, round(avg_load, 6) AS avg_load, round(CASE WHEN avg_load > 0.8 THEN greatest(0.5, 1 - (avg_load - 0.8)) WHEN avg_load < 0.3 THEN least(1.5, 1 + (0.3 - avg_load)) ELSE 1 END, 6) AS adjustment FROM a"""))
 def _adaptive(spark, path):
     load = I.requests(spark, path).groupBy(F.floor(F.col("us") / 3_600_000_000).alias("interval")).agg((F.count("*") / 30.0).alias("load"))
     return rounded(L.adaptive_rates(load))

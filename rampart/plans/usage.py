@@ -12,7 +12,7 @@ from rampart.plans.registry import query
 LIMITS = {"hour": 0.05, "day": 0.8, "month": 20.0}
 
 
-def rounded(df, digits: int = 5):
+def rounded(df, digits: int = 6):
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
@@ -26,9 +26,9 @@ def _cost(spark, path):
 
 
 _SUMMARY = """count(*) AS total_requests, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed, sum(total_tokens)::BIGINT AS total_tokens,
-   round(sum(cost_usd), 5) AS total_cost, round(avg(latency_ms), 5) AS avg_latency_ms, count(*) FILTER (provider = 'cache') AS cache_hits,
-   round(count(*) FILTER (provider = 'cache') / count(*)::DOUBLE, 5) AS cache_hit_rate, round(count(*) / ((max(us) - min(us)) / 6e7), 5) AS requests_per_minute,
-   round(sum(total_tokens) / ((max(us) - min(us)) / 6e7), 5) AS tokens_per_minute, round(sum(cost_usd) / ((max(us) - min(us)) / 3.6e9), 5) AS cost_per_hour"""
+   round(sum(cost_usd), 6) AS total_cost, round(avg(latency_ms), 6) AS avg_latency_ms, count(*) FILTER (provider = 'cache') AS cache_hits,
+   round(count(*) FILTER (provider = 'cache') / count(*)::DOUBLE, 6) AS cache_hit_rate, round(count(*) / ((max(us) - min(us)) / 6e7), 6) AS requests_per_minute,
+   round(sum(total_tokens) / ((max(us) - min(us)) / 6e7), 6) AS tokens_per_minute, round(sum(cost_usd) / ((max(us) - min(us)) / 3.6e9), 6) AS cost_per_hour"""
 
 
 @query("usage_summary", with_ctes("api_calls", f"SELECT {_SUMMARY} FROM api_calls"))
@@ -41,13 +41,13 @@ def _summary_window(spark, path):
     return rounded(U.usage_summary(I.api_calls(spark, path), "2024-01-24 00:00:00"))
 
 
-@query("provider_breakdown", with_ctes("api_calls", """SELECT provider, count(*) AS requests, sum(total_tokens)::BIGINT AS tokens, round(sum(cost_usd), 5) AS cost, round(avg(latency_ms), 5) AS avg_latency_ms,
-   round(avg(success::INT), 5) AS success_rate FROM api_calls WHERE provider <> 'cache' GROUP BY provider"""))
+@query("provider_breakdown", with_ctes("api_calls", """SELECT provider, count(*) AS requests, sum(total_tokens)::BIGINT AS tokens, round(sum(cost_usd), 6) AS cost, round(avg(latency_ms), 6) AS avg_latency_ms,
+   round(avg(success::INT), 6) AS success_rate FROM api_calls WHERE provider <> 'cache' GROUP BY provider"""))
 def _providers(spark, path):
     return rounded(U.provider_breakdown(I.api_calls(spark, path)))
 
 
-@query("cost_breakdown", with_ctes("api_calls", "SELECT provider, model, round(sum(cost_usd), 5) AS cost, count(*) AS n FROM api_calls GROUP BY ROLLUP (provider, model)"))
+@query("cost_breakdown", with_ctes("api_calls", "SELECT provider, model, round(sum(cost_usd), 6) AS cost, count(*) AS n FROM api_calls GROUP BY ROLLUP (provider, model)"))
 def _breakdown(spark, path):
     return rounded(U.cost_breakdown(I.api_calls(spark, path)))
 
@@ -60,12 +60,12 @@ def _trend(period, limit):
 
 
 for _period, _limit in (("hour", 24), ("day", None), ("minute", 100)):
-    query(f"usage_trend_{_period}", with_ctes("api_calls", f"""SELECT strftime(date_trunc('{_period}', ts), '%Y-%m-%d %H:%M:%S') AS bucket, count(*) AS requests, sum(total_tokens)::BIGINT AS tokens, round(sum(cost_usd), 5) AS cost,
-      round(avg(latency_ms), 5) AS avg_latency_ms FROM api_calls GROUP BY 1 ORDER BY 1 DESC {f'LIMIT {_limit}' if _limit else ''}"""))(_trend(_period, _limit))
+    query(f"usage_trend_{_period}", with_ctes("api_calls", f"""SELECT strftime(date_trunc('{_period}', ts), '%Y-%m-%d %H:%M:%S') AS bucket, count(*) AS requests, sum(total_tokens)::BIGINT AS tokens, round(sum(cost_usd), 6) AS cost,
+      round(avg(latency_ms), 6) AS avg_latency_ms FROM api_calls GROUP BY 1 ORDER BY 1 DESC {f'LIMIT {_limit}' if _limit else ''}"""))(_trend(_period, _limit))
 
 
 _PERIOD = ", ".join(
-    f"round(sum(cost_usd) OVER (PARTITION BY date_trunc('{p}', ts) ORDER BY us, call_id ROWS UNBOUNDED PRECEDING), 5) AS {p}_cost, "
+    f"round(sum(cost_usd) OVER (PARTITION BY date_trunc('{p}', ts) ORDER BY us, call_id ROWS UNBOUNDED PRECEDING), 6) AS {p}_cost, "
     f"count(*) OVER (PARTITION BY date_trunc('{p}', ts) ORDER BY us, call_id ROWS UNBOUNDED PRECEDING) AS {p}_requests" for p in ("minute", "hour", "day", "month"))
 
 
@@ -75,7 +75,7 @@ def _period_cost(spark, path):
     return rounded(p.select("call_id", *[f"{x}_{w}" for x in ("minute", "hour", "day", "month") for w in ("cost", "requests")]))
 
 
-@query("daily_usage", with_ctes("api_calls", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS requests, sum(total_tokens)::BIGINT AS tokens, round(sum(cost_usd), 5) AS cost FROM api_calls GROUP BY 1"))
+@query("daily_usage", with_ctes("api_calls", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS requests, sum(total_tokens)::BIGINT AS tokens, round(sum(cost_usd), 6) AS cost FROM api_calls GROUP BY 1"))
 def _daily(spark, path):
     return rounded(U.daily_usage(I.api_calls(spark, path)).withColumn("day", F.col("day").cast("string")))
 
@@ -110,8 +110,8 @@ _AT = "2024-01-20 15:30:00"
 
 @query("budget_status", with_ctes("api_calls", f""", g AS (SELECT coalesce(sum(cost_usd) FILTER (date_trunc('hour', ts) = TIMESTAMP '2024-01-20 15:00:00'), 0) AS hour_cost,
    coalesce(sum(cost_usd) FILTER (date_trunc('day', ts) = TIMESTAMP '2024-01-20'), 0) AS day_cost, coalesce(sum(cost_usd), 0) AS month_cost FROM api_calls WHERE ts <= TIMESTAMP '{_AT}' AND date_trunc('month', ts) = TIMESTAMP '2024-01-01')
-  SELECT round(hour_cost, 5) AS hour_cost, round(day_cost, 5) AS day_cost, round(month_cost, 5) AS month_cost, round(0.05 - hour_cost, 5) AS hour_remaining, round(0.8 - day_cost, 5) AS day_remaining,
-   round(20 - month_cost, 5) AS month_remaining, round(day_cost + hour_cost * 9, 5) AS projected_day, round(month_cost + day_cost * 10, 5) AS projected_month,
+  SELECT round(hour_cost, 6) AS hour_cost, round(day_cost, 6) AS day_cost, round(month_cost, 6) AS month_cost, round(0.05 - hour_cost, 6) AS hour_remaining, round(0.8 - day_cost, 6) AS day_remaining,
+   round(20 - month_cost, 6) AS month_remaining, round(day_cost + hour_cost * 9, 6) AS projected_day, round(month_cost + day_cost * 10, 6) AS projected_month,
    hour_cost < 0.05 AND day_cost < 0.8 AND month_cost < 20 AS within_budget FROM g"""))
 def _status(spark, path):
     return rounded(U.budget_status(I.api_calls(spark, path), LIMITS, _AT))
@@ -132,13 +132,13 @@ def _block(spark, path):
   u AS (SELECT 'low cache hit rate' AS finding, NULL AS provider, hits / n::DOUBLE AS value FROM t WHERE hits / n::DOUBLE < 0.3
    UNION ALL SELECT 'high failure rate', NULL, n - ok FROM t WHERE n - ok > ok * 0.1 UNION ALL SELECT 'high token usage', NULL, tokens / n FROM t WHERE tokens / n > 1000
    UNION ALL SELECT 'dominant provider', p.provider, p.c / t.cost FROM (SELECT provider, sum(cost_usd) AS c FROM api_calls WHERE provider <> 'cache' GROUP BY provider) p, t WHERE p.c > t.cost * 0.5)
-  SELECT finding, provider, round(value, 5) AS value FROM u"""))
+  SELECT finding, provider, round(value, 6) AS value FROM u"""))
 def _suggestions(spark, path):
     return rounded(U.cost_suggestions(I.api_calls(spark, path)))
 
 
 @query("cache_report", with_ctes("ev", """, c AS (SELECT CASE event_id % 3 WHEN 0 THEN 'detection' WHEN 1 THEN 'llm' ELSE 'pii' END AS cache_type, CASE WHEN user_id % 2 = 0 THEN 'memory' ELSE 'shared' END AS tier, event_type AS prefix, value > 50 AS hit FROM ev)
-  SELECT cache_type, tier, prefix, count(*) AS n, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*)::DOUBLE, 5) AS hit_rate FROM c
+  SELECT cache_type, tier, prefix, count(*) AS n, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*)::DOUBLE, 6) AS hit_rate FROM c
   GROUP BY GROUPING SETS ((cache_type), (tier), (prefix), ())"""))
 def _cache(spark, path):
     e = I.events(spark, path).select(
