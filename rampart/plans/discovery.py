@@ -149,7 +149,7 @@ def clustered(spark, path):
 
 
 _NG = r"""SELECT cluster, ngram, n AS support FROM (SELECT cluster, ngram, count(*) AS n, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, ngram) AS rk FROM
-  (SELECT doc_id % 10 AS cluster, array_to_string(w[i:i + k - 1], ' ') AS ngram FROM (SELECT doc_id, regexp_extract_all(lower(text), '\S+') AS w FROM prompts), (SELECT unnest([2, 3, 4]) AS k), LATERAL (SELECT unnest(generate_series(1, len(w) - k + 1)) AS i)) GROUP BY ALL) WHERE rk <= 20 AND n >= 3"""
+  (SELECT doc_id % 10 AS cluster, array_to_string(w[i:i + k - 1], ' ') AS ngram FROM (SELECT doc_id, regexp_extract_all(lower(text), '\S+') AS w FROM prompts), (SELECT unnest([2, 3, 4]) AS k), LATERAL (SELECT unnest(generate_series(1, len(w) - k + 1)) AS i)) GROUP BY cluster, ngram) WHERE rk <= 20 AND n >= 3"""
 
 
 @query("frequent_ngram_patterns", with_ctes("prompts", f"SELECT cluster, regexp_replace(ngram, '[^a-z]', '', 'g') AS letters, support FROM ({_NG})"))
