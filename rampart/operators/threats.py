@@ -181,7 +181,7 @@ def feed_statistics(raw: DataFrame, indicators: DataFrame, now: str) -> DataFram
 
 def feeds_due(feeds: DataFrame, now_us: int) -> DataFrame:
     return feeds.filter(
-        F.col("enabled") & (F.col("last_fetch_us").isNull() | (F.lit(now_us) - F.col("last_fetch_us") >= F.col("refresh_s") * 1_000_000))
+        F.col("enabled") & (F.col("last_fetch_us").isNull() | (F.lit(now_us) - F.col("last_fetch_us") >= F.col("refresh_s").cast("long") * 1_000_000))
     )
 
 
