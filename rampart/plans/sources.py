@@ -44,21 +44,17 @@ def _corpus(spark, path):
     return S.read_corpus(spark, out).select("prompt", "label", "is_attack")
 
 
-@query("read_pattern_library", "SELECT p_brand AS family, p_partkey::VARCHAR AS id, v AS variant, CASE v WHEN 0 THEN p_name ELSE p_type END AS text FROM part, (SELECT unnest([0, 1]) AS v)")
+# one library file per supplier, each a single JSON document
+@query("read_pattern_library", "SELECT 'lib' || s_suppkey AS family, s_suppkey::VARCHAR AS id, v AS variant, CASE v WHEN 0 THEN s_name ELSE 'variant of ' || s_name END AS text FROM supplier, (SELECT unnest([0, 1]) AS v)")
 def _library(spark, path):
     out = K.work_folder(spark, "library")
-    p = I.table(spark, path, "part")
-    one = F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("pattern"), F.array("p_type").alias("variants"))
-    doc = F.to_json(F.struct(F.struct(F.col("p_brand").alias("name")).alias("metadata"), F.array(one).alias("patterns")))
-    lines = p.select(doc.alias("value"))
-    lines.write.text(out)  # one document per line here; files with a single document are read the same way
-    files = spark.read.schema(S.LIBRARY_SCHEMA).json(out)
-    whole = K.work_folder(spark, "library-file")
-    files.limit(1).coalesce(1).write.json(whole)
-    assert S.read_pattern_library(spark, whole).count() >= 1
-    rows = files.select(F.col("metadata.name").alias("family"), F.explode("patterns").alias("p"))
-    texts = F.concat(F.array("p.pattern"), "p.variants")
-    return rows.select("family", "p.id", F.posexplode(texts).alias("variant", "text"))
+    one = F.struct(
+        F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("pattern"), F.array(F.concat(F.lit("variant of "), "s_name")).alias("variants")
+    )
+    name = F.struct(F.concat(F.lit("lib"), F.col("s_suppkey").cast("string")).alias("name"))
+    doc = F.to_json(F.struct(name.alias("metadata"), F.array(one).alias("patterns")))
+    I.table(spark, path, "supplier").select(doc.alias("value")).write.option("maxRecordsPerFile", 1).text(out)
+    return S.read_pattern_library(spark, out).select("family", "id", "variant", "text")
 
 
 _FEED_BODY = """CASE p_partkey % 3
@@ -118,7 +114,7 @@ def _rules(spark, path):
     out = K.work_folder(spark, "rules")
     n = F.regexp_extract("p_brand", r"(\d+)", 1)
     b = I.table(spark, path, "part").select("p_brand").distinct()
-    extra = F.when(n.cast("int") % 4 == 0, r'{"regex": "(a+)+(b*)*(c+)+", "confidence": 0.5},').otherwise("")
+    extra = F.when(n.cast("int") % 4 == 0, r'{"regex": "(a+)+(b*)*(c+)+d+", "confidence": 0.5},').otherwise("")
     rule = F.concat(
         F.lit('{"version": "1.0", "custom_pii_rules": [{"name": "'), "p_brand", F.lit('", "enabled": '), F.when(n.cast("int") % 5 == 0, "false").otherwise("true"),
         F.lit(', "patterns": ['), extra, F.lit('{"regex": "BR'), n, F.lit('[0-9]{6}", "confidence": 0.9}]}]}'),
