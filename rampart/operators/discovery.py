@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from rampart.functions import rule_tables as R
 from rampart.functions import text as X
 from rampart.functions.regexes import java_regex
+from rampart.functions.unnest import unnest
 from rampart.operators.components import connected_components
 from rampart.operators.matching import compiled, match_patterns
 from rampart.operators.slices import ranked_counts
@@ -43,7 +44,7 @@ def event_statistics(events: DataFrame, ready_at: int = 100, approximate: bool =
 def event_counts(events: DataFrame) -> DataFrame:
     """Long counts by verdict and by category."""
     by = events.groupBy(F.col("verdict").alias("name")).agg(F.count("*").alias("n")).select(F.lit("verdict").alias("kind"), "name", "n")
-    cats = events.select(F.explode("categories").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    cats = unnest(events, "categories", "name").groupBy("name").agg(F.count("*").alias("n"))
     return by.unionByName(cats.select(F.lit("category").alias("kind"), "name", "n"))
 
 
@@ -105,13 +106,13 @@ def kmeans_clusters(df: DataFrame, key: str, features: str, k: int | None = None
 def cluster_profile(clustered: DataFrame, key: str = "cluster") -> DataFrame:
     """Size, mean confidence and dominant category (ties by name) per cluster."""
     sizes = clustered.groupBy(key).agg(F.count("*").alias("size"), F.avg("confidence").alias("avg_confidence"))
-    cats = clustered.select(key, F.explode("categories").alias("category")).groupBy(key, "category").agg(F.count("*").alias("n"))
+    cats = unnest(clustered, "categories", "category", key).groupBy(key, "category").agg(F.count("*").alias("n"))
     top = cats.groupBy(key).agg(F.min_by("category", F.struct(-F.col("n"), F.col("category"))).alias("dominant"))
     return sizes.join(top, key, "left").withColumn("dominant", F.coalesce("dominant", F.lit("unknown")))
 
 
 def cluster_patterns(clustered: DataFrame, key: str = "cluster", top: int = 10) -> DataFrame:
-    g = clustered.select(key, F.explode("patterns").alias("pattern")).groupBy(key, "pattern").agg(F.count("*").alias("n"))
+    g = unnest(clustered, "patterns", "pattern", key).groupBy(key, "pattern").agg(F.count("*").alias("n"))
     w = Window.partitionBy(key).orderBy(F.desc("n"), "pattern")
     return g.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= top)
 
@@ -136,7 +137,7 @@ def _shaped(g: DataFrame, kind: str | Column) -> DataFrame:
 
 def frequent_ngram_patterns(prompts: DataFrame, min_support: int = 3, top: int = 20) -> DataFrame:
     """Most frequent 2- to 4-grams of words per cluster (cluster, text), as expressions."""
-    grams = prompts.select("cluster", F.explode(X.word_ngram_array("text", 2, 4)).alias("ngram"))
+    grams = unnest(prompts, X.word_ngram_array("text", 2, 4), "ngram", "cluster")
     counts = grams.groupBy("cluster", "ngram").agg(F.count("*").alias("support"))
     w = Window.partitionBy("cluster").orderBy(F.desc("support"), "ngram")
     best = counts.withColumn("rk", F.row_number().over(w)).filter((F.col("rk") <= top) & (F.col("support") >= min_support))
@@ -224,7 +225,7 @@ def recount(prompts: DataFrame, patterns: DataFrame, min_support: int = 3) -> Da
         return pd.Series(out)
 
     met = prompts.select("cluster", "text").join(listed, "cluster")
-    counted = met.select("cluster", F.explode(F.pandas_udf(hits, "array<string>")("text", "_list")).alias("regex")).groupBy("cluster", "regex").agg(
+    counted = unnest(met, F.pandas_udf(hits, "array<string>")("text", "_list"), "regex", "cluster").groupBy("cluster", "regex").agg(
         F.count("*").alias("support")
     )
     kept = patterns.select("cluster", "regex", "kind").join(counted, ["cluster", "regex"]).filter(F.col("support") >= min_support)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from rampart.functions import text as X
 from rampart.functions.regexes import java_regex, required_literals
+from rampart.functions.unnest import unnest
 
 MAX_STATIC_RULES = 100
 MAX_DRIVER_RULES = 2000
@@ -52,8 +53,7 @@ def _static(texts: DataFrame, rules: list[tuple[str, str]], text: str, rule_id:
         if needed:
             test = low.contains(needed[0]) & test
         hits.append(F.when(test, F.lit(rid)))
-    found = texts.withColumn("__low", F.lower(text)).withColumn(rule_id, F.explode(F.array_compact(F.array(*hits))))
-    return found.drop("__low")
+    return unnest(texts.withColumn("__low", F.lower(text)), F.array_compact(F.array(*hits)), rule_id, *texts.columns)
 
 
 def _listed(texts: DataFrame, rules: list[tuple[str, str]], text: str, rule_id: str) -> DataFrame:
@@ -74,7 +74,7 @@ def _listed(texts: DataFrame, rules: list[tuple[str, str]], text: str, rule_id:
                 out.append([rid for rid, lit, rx in tests if lit in low and rx.search(value)] if low else [])
             yield pd.Series(out)
 
-    return texts.withColumn(rule_id, F.explode(F.pandas_udf(hits, "array<string>")(F.col(text))))
+    return unnest(texts, F.pandas_udf(hits, "array<string>")(F.col(text)), rule_id, *texts.columns)
 
 
 def _matches(texts: pd.Series, patterns: pd.Series) -> pd.Series:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rampart.functions import text as X
 from rampart.functions.regexes import java_regex
+from rampart.functions.unnest import unnest
 
 SPAN = (
     "struct<start:int,neg:double,ord:int,end:int,type:string,confidence:double,text:string>"
@@ -217,7 +218,7 @@ def redact_rows(df: DataFrame, mode: str = "mask", text: str = "text") -> DataFr
 
 def pii_summary(df: DataFrame, text: str = "text") -> DataFrame:
     """Spans and rows by type."""
-    one = df.select(F.explode(spans(text)).alias("s"))
+    one = unnest(df, spans(text), "s")
     return one.groupBy(F.col("s.type").alias("type")).agg(
         F.count("*").alias("n"), F.count_if(F.col("s.confidence") >= 0.7).alias("n_reported")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rampart.functions.unnest import unnest
 from rampart.operators import pii as P
 
 # fixed values: weight of a type in the privacy risk
@@ -110,7 +111,7 @@ def token(value: Column) -> Column:
 def tokenize_values(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts with tokens, vault of distinct token -> value)."""
     replaced = mask_prompts(df, "tokenize", text)
-    found = df.select(F.explode(P.spans(text)).alias("s"))
+    found = unnest(df, P.spans(text), "s")
     vault = found.select(token(F.col("s.text")).alias("token"), F.col("s.text").alias("value")).distinct()
     return replaced, vault
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rampart.functions.unnest import unnest
 from rampart.functions import rule_tables as R
 from rampart.functions.regexes import sql_regex, sql_str
 from rampart.functions.text import BASE64_RUN
@@ -212,7 +213,7 @@ _LONG = " UNION ALL ".join(f"SELECT conv_id, '{cat}' AS category, 'heuristic' AS
    round(m, 6) AS heuristic_mean, greatest(coalesce(k, 0), 1)::INT AS n_suggestions FROM heur LEFT JOIN p USING (conv_id)"""))
 def _assessment(spark, path):
     m = I.messages(spark, path)
-    long = rules.with_reasons(m).select("conv_id", F.explode("reasons").alias("r")).select("conv_id", "r.*")
+    long = unnest(rules.with_reasons(m), "reasons", "r", "conv_id").select("conv_id", "r.*")
     a = V.risk_assessment(V.heuristic_verdict(m), long)
     return a.select("conv_id", "verdict", "threat_level", F.round("heuristic_mean", 6).alias("heuristic_mean"), F.size("suggestions").alias("n_suggestions"))
 

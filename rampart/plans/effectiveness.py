@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rampart.functions.unnest import unnest
 from rampart.functions import rule_tables as R
 from rampart.operators import effectiveness as X
 from rampart.operators import rules
@@ -85,7 +86,7 @@ _HITS = " UNION ALL ".join(f"SELECT doc_id, '{rid}' AS rule_id FROM prompts WHER
   SELECT * FROM (SELECT context, rule_id, n, row_number() OVER (PARTITION BY context ORDER BY n DESC, rule_id) AS rk FROM g) WHERE rk <= 20"""))
 def _context(spark, path):
     a = rules.adaptive_scan(I.prompts(spark, path))
-    return X.context_rules(a.select("context", F.explode("hits").alias("h")).select("context", "h.rule_id"))
+    return X.context_rules(unnest(a, "hits", "h", "context").select("context", "h.rule_id"))
 
 
 @query("apply_feedback", with_ctes("ev", """, f AS (SELECT event_id % 1000 AS event_id, us, event_type AS label, event_id % 17 = 0 AS fp, event_id % 23 = 0 AS fn FROM ev WHERE event_id % 17 = 0 OR event_id % 23 = 0),

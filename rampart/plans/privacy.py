@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rampart.functions.unnest import unnest
 from rampart.functions.regexes import sql_regex, sql_str
 from rampart.operators import pii as P
 from rampart.operators import privacy as V
@@ -49,13 +50,13 @@ def _spans_sql() -> str:
       SELECT * FROM g WHERE keep)
    SELECT doc_id, type, start::INT AS start, stop::INT AS stop, confidence, hit AS text FROM kept"""))
 def _find(spark, path):
-    f = P.find_pii(I.prompts(spark, path), types=["ssn", "email"]).select("doc_id", F.explode("pii").alias("p"))
+    f = unnest(P.find_pii(I.prompts(spark, path), types=["ssn", "email"]), "pii", "p", "doc_id")
     return f.select("doc_id", "p.type", "p.start", F.col("p.end").alias("stop"), "p.confidence", "p.text")
 
 
 @query("find_pii_all")
 def _find_all(spark, path):
-    f = P.find_pii(I.prompts(spark, path)).select("doc_id", F.explode("pii").alias("p"))
+    f = unnest(P.find_pii(I.prompts(spark, path)), "pii", "p", "doc_id")
     return f.select("doc_id", "p.*")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rampart.functions.unnest import unnest
 from rampart.functions import rule_tables as R
 from rampart.functions.regexes import sql_regex, sql_str
 from rampart.operators import matching, multilingual, rules
@@ -94,7 +95,7 @@ _ALL = family_tests(rules.FAMILY_NAMES, role="'user'")
 @query("match_rules", with_ctes("prompts", "SELECT category, confidence, count(*) AS n FROM (" + " UNION ALL ".join(
     f"SELECT doc_id, '{cat}' AS category, {conf}::DOUBLE AS confidence FROM prompts WHERE {cond}" for cond, cat, conf in _ALL) + ") GROUP BY ALL"))
 def _match_rules(spark, path):
-    hits = rules.with_reasons(I.prompt_messages(spark, path)).select(F.explode("reasons").alias("r"))
+    hits = unnest(rules.with_reasons(I.prompt_messages(spark, path)), "reasons", "r")
     return hits.groupBy("r.category", "r.confidence").agg(F.count("*").alias("n"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rampart.functions.unnest import unnest
 from rampart.functions import rule_tables as R
 from rampart.functions import text as X
 from rampart.functions.regexes import sql_regex, sql_str
@@ -129,7 +130,7 @@ def _max_rep(spark, path):
 
 def _top_ngrams(df, key: str, grams, top: int = 100):
     """Most common n-grams per text; counts are combined in the task that holds the text."""
-    counts = df.select(key, F.explode(grams).alias("ngram")).groupBy(key, "ngram").agg(F.count("*").alias("n"))
+    counts = unnest(df, grams, "ngram", key).groupBy(key, "ngram").agg(F.count("*").alias("n"))
     w = Window.partitionBy(key).orderBy(F.desc("n"), "ngram")
     return counts.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= top)
 
