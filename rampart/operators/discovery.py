@@ -155,7 +155,7 @@ def common_substring_patterns(prompts: DataFrame, min_support: int = 3, size: in
     numbered = prompts.withColumn("_pid", F.sha2(F.concat_ws("\x01", F.col("cluster").cast("string"), "text").cast("binary"), 256))
     unique = numbered.groupBy("cluster", "_pid").agg(F.count("*").alias("_copies"), F.first(F.lower("text")).alias("low"))
     shingles = F.regexp_extract_all("low", F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1))
-    at = unique.select("cluster", "_pid", "_copies", F.posexplode(shingles).alias("pos", "g"))
+    at = unique.select("cluster", "_pid", "_copies", F.posexplode_outer(shingles).alias("pos", "g")).filter("g is not null")
     once = at.groupBy("cluster", "g", "_pid").agg(F.max("_copies").alias("_copies"))
     shared = once.groupBy("cluster", "g").agg(F.sum("_copies").alias("support")).filter(F.col("support") >= min_support)
     marked = at.join(shared, ["cluster", "g"])

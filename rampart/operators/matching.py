@@ -156,7 +156,10 @@ def match_patterns(
     elif form == "indexed":
         return _indexed(texts, listed, text, rule_id, pattern)
     else:
-        pairs = [(r[0], r[1]) for r in listed.collect() if is_valid(r[1])]
+        head = listed.limit(MAX_DRIVER_RULES + 1).collect()
+        if len(head) > MAX_DRIVER_RULES:
+            raise ValueError(f"more than {MAX_DRIVER_RULES} expressions: only the indexed form takes them")
+        pairs = [(r[0], r[1]) for r in head if is_valid(r[1])]
     if not pairs:
         return texts.withColumn(rule_id, F.lit(None).cast("string")).filter(F.lit(False))
     return (_static if form == "static" else _listed)(texts, pairs, text, rule_id)

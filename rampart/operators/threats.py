@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rampart.functions import rule_tables as R
 from rampart.functions import text as X
 from rampart.functions.regexes import java_regex
+from rampart.functions.unnest import unnest
 from rampart.operators.matching import compiled, match_patterns
 from rampart.operators.slices import running_totals, time_slice
 from rampart.operators.verdicts import by_name
@@ -205,11 +206,11 @@ def extract_indicator_patterns(indicators: DataFrame) -> DataFrame:
     own = indicators.select("indicator_id", "pattern", "confidence")
     cases = indicators.select("indicator_id", "technique", "confidence", F.explode("test_cases").alias("case"))
     known = cases.withColumn("t", F.when(F.col("technique") == "unknown", classify_technique("case")).otherwise(F.col("technique")))
-    found = None
-    for t, ps in R.TECHNIQUE_RULES.items():
-        first = F.coalesce(*[F.nullif(F.regexp_extract("case", java_regex(p, ignore_case=True), 0), F.lit("")) for p in ps])
-        found = F.when(F.col("t") == t, first) if found is None else found.when(F.col("t") == t, first)
-    made = known.withColumn("hit", found).filter("hit is not null").select(
+    found = F.array_compact(F.array(*[
+        F.when(F.col("t") == t, F.nullif(F.regexp_extract("case", java_regex(p, ignore_case=True), 0), F.lit("")))
+        for t, ps in R.TECHNIQUE_RULES.items() for p in ps
+    ]))
+    made = unnest(known, F.slice(found, 1, 1), "hit", "indicator_id", "confidence").select(
         "indicator_id", X.regex_from_text("hit").alias("pattern"), (F.col("confidence") * 0.9).alias("confidence")
     )
     return own.unionByName(made).groupBy("indicator_id", "pattern").agg(F.max("confidence").alias("confidence"))

@@ -113,5 +113,5 @@ def critical_path(spans: DataFrame, max_depth: int = 1000) -> DataFrame:
         if frontier.isEmpty():
             break
         done = done.unionByName(frontier.filter("_inner is null"))
-    best = done.groupBy("trace_id").agg(F.max_by(F.struct("total", "path"), F.struct("total", -F.col("span_id"))).alias("b"))
+    best = done.groupBy("trace_id").agg(F.max(F.struct("total", (-F.col("span_id")).alias("_tie"), "path")).alias("b"))
     return best.select("trace_id", "b.total", "b.path")

@@ -142,7 +142,7 @@ def parse_feed_listing(df: DataFrame, extensions: tuple = (".txt", ".json", ".ya
 RULE_SCHEMA = "name string, severity string, enabled boolean, regex string, confidence double, mask_format string, hash_prefix string"
 
 
-def load_pii_rules(spark: SparkSession, path: str, max_complexity: int = 100, max_bytes: int = 5_000_000) -> DataFrame:
+def load_pii_rules(spark: SparkSession, path: str, max_complexity: int = 100, max_bytes: int = 5_000_000, max_files: int = 100) -> DataFrame:
     """Custom rules of a YAML or JSON file, one row per expression.
 
     Only versions 1.0 and 1.1; disabled rules are left out, and a rule with one expression that
@@ -154,7 +154,10 @@ def load_pii_rules(spark: SparkSession, path: str, max_complexity: int = 100, ma
     if files.filter(F.col("length") > max_bytes).limit(1).count():
         raise ValueError(f"rule file larger than {max_bytes} bytes")
     rows = []
-    for (content,) in files.select("content").limit(100).collect():
+    head = files.select("content").limit(max_files + 1).collect()
+    if len(head) > max_files:
+        raise ValueError(f"more than {max_files} rule files")
+    for (content,) in head:
         doc = _parse_rules(bytes(content).decode("utf-8"))
         if not doc or str(doc.get("version")) not in ("1.0", "1.1"):
             continue
