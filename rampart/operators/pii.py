@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rampart.functions import text as X
 from rampart.functions.regexes import java_regex
-from rampart.functions.unnest import unnest
+from rampart.functions.unnest import computed_once, unnest
 
 SPAN = (
     "struct<start:int,neg:double,ord:int,end:int,type:string,confidence:double,text:string>"
@@ -130,8 +130,7 @@ def _candidates(text: Column, low: Column, types: list[str] | None) -> Column:
 def spans(text: Column | str, low: Column | None = None, types: list[str] | None = None) -> Column:
     """Kept spans of a text, by position."""
     t = X.col(text)
-    all_spans = _candidates(t, F.lower(t) if low is None else low, types)
-    return F.when(F.size(all_spans) > 0, dedupe_spans(all_spans)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return dedupe_spans(_candidates(t, F.lower(t) if low is None else low, types))
 
 
 def find_pii(df: DataFrame, text: str = "text", types: list[str] | None = None, custom: list[tuple] | None = None) -> DataFrame:
@@ -163,7 +162,7 @@ def find_pii(df: DataFrame, text: str = "text", types: list[str] | None = None,
             s["text"].alias("text"), rule.alias("rule"),
         )
 
-    return kept.withColumn("pii", F.transform("_kept", shown)).drop("_low", "_all", "_kept")
+    return computed_once(kept.withColumn("pii", F.transform("_kept", shown)).drop("_low", "_all", "_kept"), "pii")
 
 
 def reported_confidences(text: Column | str, threshold: float) -> Column:

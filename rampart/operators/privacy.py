@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rampart.functions.unnest import unnest
+from rampart.functions.unnest import computed_once, unnest
 from rampart.operators import pii as P
 
 # fixed values: weight of a type in the privacy risk
@@ -88,7 +88,7 @@ def mask_prompts(
     extra: dict[str, str] | None = None,
 ) -> DataFrame:
     """Adds masked_text, masked_count, masked_items (type, position, length, masked value)."""
-    found = df.withColumn("_spans", P.spans(text, types=types))
+    found = computed_once(df.withColumn("_spans", P.spans(text, types=types)), "_spans")
     out = F.when(
         F.size("_spans") > 0, P.replace_spans(F.col(text), F.col("_spans"), lambda s: masked(s, strategy))
     ).otherwise(F.col(text))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rampart.functions import rule_tables as R
 from rampart.functions import text as X
 from rampart.functions.regexes import java_regex
+from rampart.functions.unnest import computed_once
 
 REASON = "struct<category:string,description:string,confidence:double,source:string,pattern:string>"
 LOWER = "_lower"
@@ -140,7 +141,7 @@ def with_reasons(
         parts.append(role_manipulation_rule(low, role))
     if "prompt_leak" in families:
         parts.append(prompt_leak_rule(low))
-    return base.withColumn("reasons", compact(parts)).drop(LOWER, "_scan", "_scan_lower")
+    return computed_once(base.withColumn("reasons", compact(parts)).drop(LOWER, "_scan", "_scan_lower"), "reasons")
 
 
 # --- scans over the short rule sets -------------------------------------------------------
@@ -176,12 +177,11 @@ def fast_scan(df: DataFrame, mode: str = "moderate") -> DataFrame:
     # position of the first strong hit; everything after it is not looked at
     strong = F.array_position(F.transform(all_hits, lambda h: h["confidence"] >= 0.9), F.lit(True)).cast("int")
     kept = F.when(strong > 0, F.slice(all_hits, 1, strong)).otherwise(all_hits)
-    out = found.withColumn("reasons", kept)
+    out = computed_once(found.withColumn("reasons", kept).drop(LOWER, "_hits"), "reasons")
     confidence = F.coalesce(F.array_max(F.transform("reasons", lambda h: h["confidence"])), F.lit(0.0))
     return (
         out.withColumn("confidence", confidence)
         .withColumn("verdict", scan_verdict(F.col("confidence"), 0.7, 0.4))
-        .drop(LOWER, "_hits")
     )
 
 
@@ -201,7 +201,7 @@ def adaptive_scan(df: DataFrame, mode: str = "moderate") -> DataFrame:
     """Adds hits, confidence, verdict and context of a one-text-per-row table."""
     base = df.withColumn(LOWER, F.lower("text"))
     hits = F.array_compact(F.array(*adaptive_hits(F.col("text"), F.col(LOWER), mode)))
-    out = base.withColumn("hits", hits).withColumn(
+    out = computed_once(base.withColumn("hits", hits), "hits").withColumn(
         "confidence", F.coalesce(F.array_max(F.transform("hits", lambda h: h["confidence"])), F.lit(0.0))
     )
     block, flag = R.ADAPTIVE_THRESHOLDS[mode]

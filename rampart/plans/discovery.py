@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rampart.functions import rule_tables as R
 from rampart.functions import text as X
+from rampart.functions.unnest import computed_once
 from rampart.operators import discovery as D
 from rampart.operators import neighbours as N
 from rampart.operators import rules
@@ -24,6 +25,7 @@ def events(spark, path):
     c = F.greatest(F.lit(0.0), V.max_confidence(F.col("reasons")) - 0.1)
     scored = p.withColumns({"confidence": c, "n_reasons": F.size("reasons")})
     judged = scored.withColumn("verdict", V.mode_verdict(F.col("confidence"), F.col("n_reasons"), "moderate"))
+    judged = computed_once(judged, "reasons", "confidence", "verdict")
     return D.collect_events(judged).withColumns({
         "is_false_positive": F.col("doc_id") % 17 == 0, "is_false_negative": F.col("doc_id") % 23 == 0, "us": F.col("doc_id"),
     })

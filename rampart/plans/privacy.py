@@ -13,6 +13,7 @@ from rampart.plans.detection import luhn_sql
 from rampart.plans.inputs import NOW, with_ctes
 from rampart.plans.registry import query
 from rampart.plans.rules import matches
+from rampart.session import cut_lineage
 
 
 def _all_sql(text: str, p: P.Pattern) -> str:
@@ -151,7 +152,8 @@ for _s in ("redact", "hash", "partial", "remove", "anonymize", "tokenize"):
 def _tokens(spark, path):
     p = I.prompts(spark, path).select("doc_id", "text")
     replaced, vault = V.tokenize_values(p)
-    back = V.detokenize(replaced.select("doc_id", "masked_text"), "doc_id", vault)
+    stored = cut_lineage(replaced.select("doc_id", "masked_text"))
+    back = V.detokenize(stored, "doc_id", vault)
     joined = p.join(back, "doc_id")
     return joined.agg(F.count("*").alias("n"), F.count_if(F.col("text") == F.col("restored")).alias("n_restored"))
 

@@ -99,10 +99,10 @@ def _costs(spark, path):
     return U.period_cost(I.api_calls(spark, path)).select("call_id", "us", "hour_cost", "day_cost", "month_cost")
 
 
-@query("budget_alerts", with_ctes("api_calls", _ALERTS + " SELECT period, level, count(*) AS n, round(max(percentage), 4) AS worst FROM al WHERE level IS NOT NULL GROUP BY ALL"))
+@query("budget_alerts", with_ctes("api_calls", _ALERTS + " SELECT period, level, count(*) AS n, round(max(percentage), 6) AS worst FROM al WHERE level IS NOT NULL GROUP BY ALL"))
 def _alerts(spark, path):
     a = U.budget_alerts(_costs(spark, path), LIMITS)
-    return a.groupBy("period", "level").agg(F.count("*").alias("n"), F.round(F.max("percentage"), 4).alias("worst"))
+    return a.groupBy("period", "level").agg(F.count("*").alias("n"), F.round(F.max("percentage"), 6).alias("worst"))
 
 
 _AT = "2024-01-20 15:30:00"
