@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampart.llm import copies, packing, shards, simhash
+from rampart.llm import copies, language, licenses, packing, rules, shards, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,11 +38,53 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return os.environ.get("TOKENIZER_PATH") or public_tokenizers.path(name)
 
 
+@query("op1_language")
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 @query("op2_simhash")
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(documents(spark, sf_dir))
 
 
+@query("op3_licenses")
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(documents(spark, sf_dir))
+
+
+@query("op5_quality_rules", r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), lines AS (
+        SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+        FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+        GROUP BY 1
+    ), windows AS (
+        SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)
+    ), twice AS (
+        SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1
+    ), covered AS (
+        SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM twice, range(8) AS r(j) GROUP BY 1
+    ), m AS (
+        SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+               length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines,
+               coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+        FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+           n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+           NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 4 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
+                OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept
+    FROM m
+""")
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.ledger(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~rules.passes(rules.POLICIES["1"])).alias("base_failed"), rules.passes(rules.POLICIES["2"]).alias("kept"),
+    )
+
+
 @query("op8_shards")
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(documents(spark, sf_dir), shards=40).select(
