@@ -260,9 +260,10 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """The rows of `docs`, all columns, whose text has a language at that score; a missing lang is
-    filled in.  If no row is labelled, all rows with a letter stay."""
+def known_language(docs: DataFrame, least: float = 0.0, **options) -> DataFrame:
+    """The rows of `docs`, all columns, whose text is not `und` and has its language at a score of
+    `least` or more; a missing lang is filled in.  If no row is labelled, all rows with a letter
+    stay.  By default no text is turned away for being short or mixed."""
     model = fit(docs.filter(~held_out()), **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -271,6 +272,6 @@ def known_language(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in text], columns=["lang", "score"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), guess(F.col("text").cast("string")).alias("_guess"))
-    good = F.col("_guess.score") >= least if model.languages else F.col("_doc.text").rlike(r"\p{L}")
+    good = (F.col("_guess.lang") != NONE) & (F.col("_guess.score") >= least) if model.languages else F.col("_doc.text").rlike(r"\p{L}")
     lang = F.coalesce("_doc.lang", "_guess.lang") if model.languages else F.col("_doc.lang")
     return rows.filter(good).select(*[lang.alias(c) if c == "lang" else F.col(f"_doc.`{c}`") for c in docs.columns])

@@ -9,7 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampart.llm import copies, language, licenses, packing, rules, shards, simhash
+from rampart.llm import archives, copies, language, licenses, mixing, packing, passages, rules, shards, simhash
+
+from rampart.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +55,41 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(documents(spark, sf_dir))
 
 
+def _mixing_sql(share: float = 0.8, alpha: float = 0.7, rounds: int = 8, steps: int = 8) -> str:
+    """The raking rounds and the scale's steps, written out."""
+    sql = r"""
+    WITH d AS (
+        SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens,
+               CASE WHEN regexp_matches(coalesce(text, ''), '(?i)licen[sc]e|copyright') THEN 'legal'
+                    WHEN regexp_matches(coalesce(text, ''), ' \| ') THEN 'tabular'
+                    WHEN regexp_matches(coalesce(text, ''), '\w@\w') THEN 'contact' ELSE 'prose' END AS topic
+        FROM documents
+    ), r0 AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS t, sum(tokens)::DOUBLE / sum(sum(tokens)) OVER () AS w FROM d GROUP BY ALL)"""
+    for m in mixing.MARGINS:
+        sql += f""", aim_{m} AS (
+        SELECT {m}, power(sum(t), {alpha}) / sum(power(sum(t), {alpha})) OVER () AS aim FROM r0 GROUP BY 1 HAVING sum(t) > 0)"""
+    last = "r0"
+    for i in range(rounds):
+        for m in mixing.MARGINS:
+            sql += f""", r{i}_{m} AS MATERIALIZED (SELECT r.source, r.lang, r.topic, t, CASE WHEN sum(w) OVER (PARTITION BY r.{m}) > 0
+                THEN w * aim / sum(w) OVER (PARTITION BY r.{m}) ELSE w END AS w
+            FROM {last} r LEFT JOIN aim_{m} a ON r.{m} IS NOT DISTINCT FROM a.{m})"""
+            last = f"r{i}_{m}"
+    sql += f", c AS MATERIALIZED (SELECT *, CASE WHEN t > 0 THEN w * sum(t) OVER () / t END AS f FROM {last}), s0 AS (SELECT {share}::DOUBLE AS s)"
+    for i in range(steps):
+        sql += f""", s{i + 1} AS MATERIALIZED (SELECT coalesce(greatest(any_value(s), ({share} * sum(t) - coalesce(sum(t) FILTER (f * s >= 1), 0))
+                / nullif(sum(t * f) FILTER (f * s < 1), 0)), any_value(s)) AS s FROM c, s{i} WHERE t > 0)"""
+    return sql + f""", p AS (SELECT source, lang, topic, round(coalesce(f, 1), 9) AS weight, round(CASE WHEN f IS NULL THEN {share} ELSE least(f * s, 1) END, 9) AS probability FROM c, s{steps})
+    SELECT doc_id, d.source, d.lang, d.topic, tokens, weight, probability,
+           ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < probability AS chosen
+    FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic = p.topic"""
+
+
+@query("op4_mixing", _mixing_sql())
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 @query("op5_quality_rules", r"""
     WITH d AS (
         SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -85,6 +122,26 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_passages")
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(documents(spark, sf_dir))
+
+
+@query("op7_archives", """
+    WITH p AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+    ), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+    FROM f
+""")
+def op7_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives stay in the shared folder until the cluster clears it."""
+    listed = archives.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{shared_folder(spark)}/archives")
+    return archives.read_archives(listed, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op8_shards")
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(documents(spark, sf_dir), shards=40).select(

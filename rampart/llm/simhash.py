@@ -22,6 +22,7 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,8 @@ from rampart.llm.common import pieces, raw, texts, written
 SEED = 42
 #: Shingles hashed at a time, whatever the length of a text.
 CHUNK = 1 << 16
+#: Slots of the filter that finds rows with a near copy: at most so many numbers are broadcast.
+SLOTS = 1 << 20
 _BITS_OF = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 
@@ -148,3 +151,26 @@ def near_copies(docs: DataFrame, words: int = 3, bits: int = 2, m: int = 7, id_c
     classes = written(classes)
     named = classes.join(classes.groupBy("_root").agg(F.min("_id").alias("component_id")), "_root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, bits: int = 2, m: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, of which one of each class stays: the smallest id, a missing
+    one last, ties broken by the other columns.  Rows alone in their class are not moved."""
+
+    @F.pandas_udf("long")
+    def print_of(text: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t.encode() if t else None, words) for t in text], dtype="int64")
+
+    rows = written(fingerprints(docs, words, id_col, text_col).groupBy("fp").agg(F.count("*").alias("_n")))
+    roots = components(links(rows.select("fp"), bits, m))
+    classes = written(rows.join(roots, rows["fp"] == roots["id"], "left").select("fp", "_n", F.coalesce("root", "fp").alias("_root")))
+    several = classes.groupBy("_root").agg(F.sum("_n").alias("_all")).filter("_all > 1")
+    several = written(classes.join(several, "_root").select("fp", "_root"))
+    slot = F.pmod(F.xxhash64("fp"), F.lit(SLOTS)).cast("int").alias("_slot")
+    slots = F.broadcast(several.select(slot).distinct())  # at most SLOTS rows
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).cast("long").alias("_id"), print_of(F.col(text_col).cast("string")).alias("fp"))
+    docs = docs.withColumn("_slot", slot)
+    alone = docs.join(slots, "_slot", "left_anti").select("_doc")
+    order = F.struct(F.col("_id").isNull(), "_id", F.xxhash64("_doc"))
+    met = docs.join(slots, "_slot", "left_semi").join(several, "fp", "left").groupBy(F.coalesce("_root", "fp")).agg(F.min_by("_doc", order).alias("_doc"))
+    return alone.unionByName(met.select("_doc")).select("_doc.*")
