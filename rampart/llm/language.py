@@ -267,9 +267,10 @@ def known_language(docs: DataFrame, least: float = 0.0, **options) -> DataFrame:
     model = fit(docs.filter(~held_out()), **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def guess(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in text], columns=["lang", "score"])
+    @F.arrow_udf("lang string, score double")
+    def guess(text: pa.Array) -> pa.Array:
+        found = [shared.value.predict(t.as_py()) for t in text]
+        return pa.StructArray.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["lang", "score"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), guess(F.col("text").cast("string")).alias("_guess"))
     good = (F.col("_guess.lang") != NONE) & (F.col("_guess.score") >= least) if model.languages else F.col("_doc.text").rlike(r"\p{L}")

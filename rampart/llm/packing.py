@@ -25,7 +25,7 @@ from rampart.llm.common import pieces as slices
 from rampart.llm.common import texts, written
 
 #: Distinct chunks whose ids a Python worker remembers; it forgets them all beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _SPACE = re.compile(r"[ \t\n\r]+")
 #: Chunks of these characters are the same after NFC, and one-to-one in lower case.
@@ -54,9 +54,8 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.path, self._slow = path, None
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         byte_of, suffix = _byte_of(), file["model"]["end_of_word_suffix"]
@@ -74,6 +73,15 @@ class WordTokenizer:
         self.is_end[list(ends)] = True
         self.known: dict[str, bytes] = {}
 
+    @property
+    def slow(self):
+        """Loaded by the first chunk that needs it."""
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+        return self._slow
+
     def _learn(self, chunks: set[str]) -> None:
         """Ids of chunks that are not known yet, all plain ones in one call."""
         plain = [c for c in chunks if _PLAIN.fullmatch(c) and "<|" not in c]

@@ -22,7 +22,6 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -157,9 +156,9 @@ def one_of_each(docs: DataFrame, words: int = 3, bits: int = 2, m: int = 7, id_c
     """The rows of `docs`, all columns, of which one of each class stays: the smallest id, a missing
     one last, ties broken by the other columns.  Rows alone in their class are not moved."""
 
-    @F.pandas_udf("long")
-    def print_of(text: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t.encode() if t else None, words) for t in text], dtype="int64")
+    @F.arrow_udf("long")
+    def print_of(text: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(t.as_py(), words) for t in text.cast(pa.binary())], pa.int64())
 
     rows = written(fingerprints(docs, words, id_col, text_col).groupBy("fp").agg(F.count("*").alias("_n")))
     roots = components(links(rows.select("fp"), bits, m))
