@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rampart.llm.common import pieces, texts, written
+from rampart.llm.common import pieces, small_batches, texts, written
 
 FEATURES = 1 << 15
 #: Characters read at a time.
@@ -182,7 +182,7 @@ def fit(
     each language gets an equal share of it, taken by a hash of the id.  A fifth of the sample sets
     the temperature; the rest is dealt into `shards` that follow the leader side by side, and their
     sums are averaged after each round."""
-    spark = rows.sparkSession
+    spark = small_batches(rows).sparkSession
     rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter("lang is not null")
     per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -272,7 +272,8 @@ def known_language(docs: DataFrame, least: float = 0.0, **options) -> DataFrame:
         found = [shared.value.predict(t.as_py()) for t in text]
         return pa.StructArray.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["lang", "score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), guess(F.col("text").cast("string")).alias("_guess"))
+    guess = guess.asNondeterministic()  # or the filter would evaluate it a second time
+    rows = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), guess(F.col("text").cast("string")).alias("_guess"))
     good = (F.col("_guess.lang") != NONE) & (F.col("_guess.score") >= least) if model.languages else F.col("_doc.text").rlike(r"\p{L}")
     lang = F.coalesce("_doc.lang", "_guess.lang") if model.languages else F.col("_doc.lang")
     return rows.filter(good).select(*[lang.alias(c) if c == "lang" else F.col(f"_doc.`{c}`") for c in docs.columns])
