@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rampart.llm.common import pieces, raw, texts, written
+from rampart.llm.common import pieces, raw, small_batches, texts, written
 
 SEED = 42
 #: Shingles hashed at a time, whatever the length of a text.
@@ -160,14 +160,15 @@ def one_of_each(docs: DataFrame, words: int = 3, bits: int = 2, m: int = 7, id_c
     def print_of(text: pa.Array) -> pa.Array:
         return pa.array([fingerprint(t.as_py(), words) for t in text.cast(pa.binary())], pa.int64())
 
-    rows = written(fingerprints(docs, words, id_col, text_col).groupBy("fp").agg(F.count("*").alias("_n")))
+    docs = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).cast("long").alias("_id"), print_of(F.col(text_col).cast("string")).alias("fp"))
+    docs = written(docs)  # texts are hashed once and read again, not hashed again
+    rows = written(docs.groupBy("fp").agg(F.count("*").alias("_n")))
     roots = components(links(rows.select("fp"), bits, m))
     classes = written(rows.join(roots, rows["fp"] == roots["id"], "left").select("fp", "_n", F.coalesce("root", "fp").alias("_root")))
     several = classes.groupBy("_root").agg(F.sum("_n").alias("_all")).filter("_all > 1")
     several = written(classes.join(several, "_root").select("fp", "_root"))
     slot = F.pmod(F.xxhash64("fp"), F.lit(SLOTS)).cast("int").alias("_slot")
     slots = F.broadcast(several.select(slot).distinct())  # at most SLOTS rows
-    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).cast("long").alias("_id"), print_of(F.col(text_col).cast("string")).alias("fp"))
     docs = docs.withColumn("_slot", slot)
     alone = docs.join(slots, "_slot", "left_anti").select("_doc")
     order = F.struct(F.col("_id").isNull(), "_id", F.xxhash64("_doc"))
