@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from re import _constants, _parser
 
+_UNICODE_CASE = re.compile(r"[^\x00-\x7f]|\\[xuUN0-9]")
 _UNICODE_CLASS = re.compile(r"\\[swdbSWDB]")
 
 
@@ -35,10 +37,14 @@ def _escape_braces(pattern: str) -> str:
     return "".join(out)
 
 
-def java_regex(pattern: str, *, ignore_case: bool = False, multiline: bool = False, dotall: bool = False) -> str:
-    """Same matches in Java as `re` gives: only \\n ends a line, classes are Unicode."""
+def java_regex(
+    pattern: str, *, ignore_case: bool = False, multiline: bool = False, dotall: bool = False, unicode_case: bool = False
+) -> str:
+    """Same matches in Java as `re` gives: only \\n ends a line, classes are Unicode, and so is the
+    case of expressions that may hold other letters than ASCII (`unicode_case`: of any)."""
     flags = "d"
     flags += "i" if ignore_case else ""
+    flags += "u" if ignore_case and (unicode_case or _UNICODE_CASE.search(pattern)) else ""
     flags += "m" if multiline else ""
     flags += "s" if dotall else ""
     flags += "U" if _UNICODE_CLASS.search(pattern) else ""
@@ -59,52 +65,35 @@ def sql_str(value: str) -> str:
 
 
 def required_literals(pattern: str, min_len: int = 3) -> list[str]:
-    """Literals every match must contain (lower case), longest first.
+    """ASCII literals that every match contains, in lower case, longest first.
 
-    Only top-level text outside groups, classes and optional parts counts, so the answer
-    may be empty but is never wrong.
-    """
-    if "|" in re.sub(r"\([^()]*\)", "", pattern) or "(?" in pattern:
+    Read off the parsed expression: runs of plain characters outside alternations, options and
+    repeats; groups that must match count too.  May be empty.  To be looked for in `fold`ed texts."""
+    try:
+        tree = _parser.parse(pattern, re.IGNORECASE)
+    except (re.error, OverflowError, RecursionError):
         return []
-    flat, i, depth = [], 0, 0
-    run: list[str] = []
+    runs: list[str] = [""]
 
-    def close() -> None:
-        if run:
-            flat.append("".join(run))
-            run.clear()
+    def walk(items) -> None:
+        for op, value in items:
+            if op is _constants.LITERAL and value < 128:
+                runs[-1] += chr(value).lower()
+            elif op is _constants.SUBPATTERN:
+                if value[1] or value[2]:
+                    runs.append("")  # flags change inside
+                else:
+                    walk(value[3])
+            elif op is not _constants.AT:
+                runs.append("")
 
-    while i < len(pattern):
-        ch = pattern[i]
-        if ch == "\\" and i + 1 < len(pattern):
-            nxt = pattern[i + 1]
-            ch, step = (nxt, 2) if not nxt.isalnum() else ("", 2)
-        elif ch in "([":
-            if ch == "[":
-                end = pattern.find("]", i + 2)
-                i = len(pattern) if end < 0 else end + 1
-                close()
-                continue
-            depth += 1
-            ch, step = "", 1
-        elif ch == ")":
-            depth -= 1
-            ch, step = "", 1
-        elif ch in "^$.":
-            ch, step = "", 1
-        elif ch in "*+?{":
-            if run and ch != "+":
-                run.pop()
-            close()
-            end = pattern.find("}", i) if ch == "{" else i
-            i = len(pattern) if end < 0 else end + 1
-            continue
-        else:
-            step = 1
-        if ch and depth == 0:
-            run.append(ch)
-        else:
-            close()
-        i += step
-    close()
-    return sorted({f.lower() for f in flat if len(f) >= min_len}, key=lambda f: (-len(f), f))
+    walk(tree)
+    return sorted({r for r in runs if len(r) >= min_len}, key=lambda r: (-len(r), r))
+
+
+#: Characters that match an ASCII letter when case is ignored, but are not its capital.
+FOLDED = ("ſıK", "sik")
+
+
+def fold(text: str) -> str:
+    return text.lower().translate(str.maketrans(*FOLDED))

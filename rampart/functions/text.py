@@ -406,16 +406,26 @@ ANSWER_CATEGORIES = [
     "direct_injection", "indirect_injection", "jailbreak", "prompt_leak", "encoding_attack",
     "context_switching", "role_manipulation", "benign",
 ]
-# First balanced object, nested up to three levels, starting at the first brace.
-_FIRST_OBJECT = r"(?s)^[^{]*(\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})"
+
+
+def first_object(a: Column) -> Column:
+    """From the first brace to the one that closes it, nested to any depth; null if none does."""
+    from_brace = F.regexp_extract(a, r"(?s)^[^{]*(\{.*)$", 1)
+    tokens = F.regexp_extract_all(from_brace, F.lit(r"[{}]|[^{}]+"), F.lit(0))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"), F.lit(False).alias("done"))
+
+    def step(acc: Column, token: Column) -> Column:
+        depth = acc["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        grown = F.struct(F.concat(acc["out"], token).alias("out"), depth.alias("depth"), (depth == 0).alias("done"))
+        return F.when(acc["done"], acc).otherwise(grown)
+
+    return F.aggregate(tokens, start, step, lambda acc: F.when(acc["done"], acc["out"]))
 
 
 def parse_classifier_json(answer: Column | str) -> Column:
     """struct(category, confidence, explanation) of a model answer."""
     a = col(answer)
-    embedded = F.regexp_extract(a, _FIRST_OBJECT, 1)
-    direct = F.try_parse_json(a)
-    doc = F.coalesce(direct, F.try_parse_json(F.nullif(embedded, F.lit(""))))
+    doc = F.coalesce(F.try_parse_json(a), F.try_parse_json(first_object(a)))
     name = F.lower(F.trim(F.try_variant_get(doc, "$.category", "string")))
     raw = F.coalesce(F.try_variant_get(doc, "$.confidence", "string"), F.lit("0.0"))
     value = raw.try_cast("double")

@@ -150,8 +150,8 @@ def common_substring_patterns(prompts: DataFrame, min_support: int = 3, size: in
     """Substrings of at least `size` characters that `min_support` prompts of a cluster share.
 
     Shingles are counted per cluster by prompt; neighbouring shared shingles of a prompt are
-    one run; the support of a run is counted over the prompts that have the same run or, as a
-    lower bound, its least frequent shingle."""
+    one run.  A run's shingles may be shared by other prompts than the run, so its support is
+    counted anew over the cluster's prompts."""
     numbered = prompts.withColumn("_pid", F.sha2(F.concat_ws("\x01", F.col("cluster").cast("string"), "text").cast("binary"), 256))
     unique = numbered.groupBy("cluster", "_pid").agg(F.count("*").alias("_copies"), F.first(F.lower("text")).alias("low"))
     shingles = F.regexp_extract_all("low", F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1))
@@ -167,8 +167,8 @@ def common_substring_patterns(prompts: DataFrame, min_support: int = 3, size: in
     text = merged.join(unique.select("cluster", "_pid", "low"), ["cluster", "_pid"])
     sub = F.trim(F.substring("low", F.col("start") + 1, F.col("stop") - F.col("start") + size))
     found = text.select("cluster", sub.alias("s"), "support").filter(F.length("s").between(size, max_length))
-    g = found.groupBy("cluster", "s").agg(F.max("support").alias("support")).withColumn("regex", X.regex_escape("s"))
-    return _shaped(g.join(_sizes(prompts), "cluster"), "common_substring")
+    g = found.select("cluster", X.regex_escape("s").alias("regex"), F.lit("common_substring").alias("kind")).distinct()
+    return recount(prompts, g, min_support)
 
 
 def template_patterns(prompts: DataFrame, min_support: int = 3) -> DataFrame:

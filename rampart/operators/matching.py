@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rampart.functions import text as X
-from rampart.functions.regexes import java_regex, required_literals
+from rampart.functions.regexes import FOLDED, fold, java_regex, required_literals
 from rampart.functions.unnest import unnest
 
 MAX_STATIC_RULES = 100
 MAX_DRIVER_RULES = 2000
 SHINGLE = 5
 # constructs whose meaning or spelling differs between `re` and Java
-_PYTHON_ONLY = re.compile(r"\(\?P|\(\?\(|\\Z|\(\?[a-zA-Z]+\)|\\N\{|\{,\d")
+_PYTHON_ONLY = re.compile(r"\(\?P|\(\?\(|\\Z|\(\?[a-zA-Z]+\)|\\N\{|\{,\d|\\0|\\[1-9]\d\d|\\U|\\v|\[[^\]]*(?:\[|&&)")
 
 
 _COMPILED: dict[str, re.Pattern | None] = {}
@@ -44,16 +44,20 @@ def is_valid(pattern: str | None) -> bool:
     return bool(pattern) and compiled(pattern) is not None
 
 
+def _folded(text: str) -> Column:
+    return F.translate(F.lower(text), *FOLDED)
+
+
 def _static(texts: DataFrame, rules: list[tuple[str, str]], text: str, rule_id: str) -> DataFrame:
     low = F.col("__low")
     hits = []
     for rid, pattern in rules:
-        test = F.col(text).rlike(java_regex(pattern, ignore_case=True))
-        needed = [w for w in required_literals(pattern) if w.isascii()]
+        test = F.col(text).rlike(java_regex(pattern, ignore_case=True, unicode_case=True))
+        needed = required_literals(pattern)
         if needed:
             test = low.contains(needed[0]) & test
         hits.append(F.when(test, F.lit(rid)))
-    return unnest(texts.withColumn("__low", F.lower(text)), F.array_compact(F.array(*hits)), rule_id, *texts.columns)
+    return unnest(texts.withColumn("__low", _folded(text)), F.array_compact(F.array(*hits)), rule_id, *texts.columns)
 
 
 def _listed(texts: DataFrame, rules: list[tuple[str, str]], text: str, rule_id: str) -> DataFrame:
@@ -65,12 +69,12 @@ def _listed(texts: DataFrame, rules: list[tuple[str, str]], text: str, rule_id:
         for rid, pattern in zip(ids, patterns):
             rx = compiled(pattern)
             if rx is not None:
-                needed = [w for w in required_literals(pattern) if w.isascii()]
+                needed = required_literals(pattern)
                 tests.append((rid, needed[0] if needed else "", rx))
         for values in batches:
             out = []
             for value in values:
-                low = value.lower() if value is not None else ""
+                low = fold(value) if value is not None else ""
                 out.append([rid for rid, lit, rx in tests if lit in low and rx.search(value)] if low else [])
             yield pd.Series(out)
 
@@ -93,8 +97,7 @@ def _shingles(patterns: pd.Series) -> pd.Series:
     def of(pattern: str | None) -> list[str]:
         found = set()
         for lit in required_literals(pattern or ""):
-            if lit.isascii():
-                found |= {lit[i : i + SHINGLE] for i in range(len(lit) - SHINGLE + 1)}
+            found |= {lit[i : i + SHINGLE] for i in range(len(lit) - SHINGLE + 1)}
         return sorted(found)
 
     return patterns.map(of)
@@ -105,6 +108,11 @@ def pattern_matches(text: Column | str, pattern: Column | str) -> Column:
     return F.pandas_udf(_matches, "boolean")(text, pattern)
 
 
+def rejected_patterns(rules: DataFrame, pattern: str = "pattern") -> DataFrame:
+    """The rules whose expression no form can use; `match_patterns` leaves exactly these out."""
+    return rules.filter(~F.coalesce(pattern_is_valid(pattern), F.lit(False)))
+
+
 def pattern_is_valid(pattern: Column | str) -> Column:
     return F.pandas_udf(_valid, "boolean")(pattern)
 
@@ -115,7 +123,7 @@ def _indexed(texts: DataFrame, rules: DataFrame, text: str, rule_id: str, patter
         "__grams", F.pandas_udf(_shingles, "array<string>")("__p")
     )
     numbered = texts.withColumn("__tid", F.sha2(F.col(text).cast("binary"), 256))
-    grams = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?s)(?=({'.' * SHINGLE}))"), F.lit(1)))
+    grams = F.array_distinct(F.regexp_extract_all(_folded(text), F.lit(rf"(?s)(?=({'.' * SHINGLE}))"), F.lit(1)))
     options = keyed.select("__rid", "__p", F.explode("__grams").alias("__g"))
     posted = (
         numbered.select("__tid", F.explode(grams).alias("__g"))

@@ -88,24 +88,29 @@ def span_errors(spans: DataFrame) -> DataFrame:
     )
 
 
-def critical_path(spans: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """Heaviest chain from a root to a leaf per trace.
+def critical_path(spans: DataFrame) -> DataFrame:
+    """Heaviest chain from a root to a leaf per trace; of equal ones that with the smaller leaf.
 
-    Chains grow by one level per round, by an equi-join on (trace, parent); every span is
-    reached once, so all rounds together handle each span once.  Each round is checkpointed."""
+    A span whose parent is not in its trace is a root, so is one without a parent.  Chains grow
+    by one level per round, by an equi-join on (trace, parent), until none grows; a chain never
+    meets a span twice.  Spans that only hang on a cycle have no root and are on no chain.  Each
+    round is checkpointed."""
     nodes = spans.select("trace_id", "span_id", "parent_id", "duration")
     has_child = nodes.filter("parent_id is not null").select("trace_id", F.col("parent_id").alias("span_id")).distinct()
     marked = nodes.join(has_child.withColumn("_inner", F.lit(True)), ["trace_id", "span_id"], "left")
-    frontier = cut_lineage(marked.filter("parent_id is null").select(
+    present = nodes.select("trace_id", F.col("span_id").alias("parent_id")).distinct()
+    roots = marked.join(present, ["trace_id", "parent_id"], "left_anti")
+    frontier = cut_lineage(roots.select(
         "trace_id", "span_id", F.col("duration").alias("total"), F.array("span_id").alias("path"), "_inner"
     ))
     children = marked.filter("parent_id is not null").select(
         "trace_id", F.col("parent_id").alias("_up"), F.col("span_id").alias("_next"), F.col("duration").alias("_d"), F.col("_inner").alias("_next_inner")
     )
     done = frontier.filter("_inner is null")
-    for _ in range(max_depth):
+    while True:
         inner = frontier.filter("_inner")
-        grown = inner.join(children, (inner["trace_id"] == children["trace_id"]) & (inner["span_id"] == children["_up"])).select(
+        grown = inner.join(children, (inner["trace_id"] == children["trace_id"]) & (inner["span_id"] == children["_up"]))
+        grown = grown.filter(~F.array_contains("path", F.col("_next"))).select(
             inner["trace_id"], F.col("_next").alias("span_id"), (F.col("total") + F.col("_d")).alias("total"),
             F.concat("path", F.array("_next")).alias("path"), F.col("_next_inner").alias("_inner"),
         )

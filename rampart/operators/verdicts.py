@@ -483,7 +483,7 @@ def detect_once(messages: DataFrame, key: str, **options) -> DataFrame:
     shuffle, and the join back is on a key with one row per prompt on the scored side, which
     adaptive skew handling splits.  `cache_hit` is true for every copy but the first.
     """
-    keyed = messages.withColumn("_key", X.content_key("role", "text"))
+    keyed = messages.withColumn("_key", F.sha2(F.concat("role", F.lit(":"), "text"), 256))  # whole, or prompts would collide
     unique = keyed.groupBy("_key").agg(
         F.min(key).alias("_first"), F.first("role").alias("role"), F.first("text").alias("text")
     )
@@ -491,7 +491,7 @@ def detect_once(messages: DataFrame, key: str, **options) -> DataFrame:
         "_key", "_first", F.size("reasons").alias("n_reasons"), max_confidence(F.col("reasons")).alias("confidence")
     )
     return keyed.select(key, "_key").join(scored, "_key").select(
-        key, F.col("_key").alias("content_key"), "n_reasons", "confidence", (F.col(key) != F.col("_first")).alias("cache_hit")
+        key, F.substring("_key", 1, 16).alias("content_key"), "n_reasons", "confidence", (F.col(key) != F.col("_first")).alias("cache_hit")
     )
 
 

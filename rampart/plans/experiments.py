@@ -231,7 +231,7 @@ def _analyze(spark, path):
 
 
 @query("result_summary", with_ctes("experiment_metrics", _ARMS + """ SELECT metric_name, round((tm - cm) / cm * 100, 2) AS improvement_percent, round((tm - cm) / pooled, 4) AS effect_size, round(cm, 4) AS control_mean,
-   round(tm, 4) AS treatment_mean, cn AS c_n, tn AS t_n, abs((tm - cm) / pooled) >= 0.01 AS practical FROM st"""))
+   round(tm, 4) AS treatment_mean, cn AS c_n, tn AS t_n, abs((tm - cm) / pooled) >= 0.01 AS practical FROM st WHERE cn >= 100 AND tn >= 100"""))
 def _rsummary(spark, path):
     return E.result_summary(analysis(spark, path)).select("metric_name", "improvement_percent", "effect_size", "control_mean", "treatment_mean", "c_n", "t_n", "practical")
 

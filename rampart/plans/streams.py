@@ -129,7 +129,7 @@ def _feedback(spark, path):
     base = K.work_folder(spark, "feedback")
     e = event_stream(spark, path).select("user_id", "us", "event_type")
     S.replay(e, "feedback", batch=S.feedback_writer(spark, base, ["user_id"], "us"))
-    return spark.read.parquet(f"{base}/v0")
+    return S.newest_version(spark, base)
 
 
 @query("late_data", "SELECT count(*) FILTER (epoch_us(ts) >= m - 86400000000) AS on_time, count(*) FILTER (epoch_us(ts) < m - 86400000000) AS late FROM events, (SELECT max(epoch_us(ts)) AS m FROM events)")

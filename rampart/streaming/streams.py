@@ -191,16 +191,20 @@ def feedback_writer(spark: SparkSession, base: str, keys: list[str], order: str)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        try:
-            old = session.read.parquet(f"{base}/v{batch_id - 1}") if batch_id > 0 else None
-        except Exception:  # no earlier version
-            old = None
-        start = old if old is not None else batch.limit(0)
+        start = session.read.parquet(f"{base}/v{batch_id - 1}") if batch_id > 0 else batch.limit(0)
         upsert_latest(start, batch, keys, order).write.mode("overwrite").parquet(f"{base}/v{batch_id}")
 
     return write
 
 
+def newest_version(spark: SparkSession, base: str) -> DataFrame:
+    """What `feedback_writer` wrote last."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    last = max(int(s.getPath().getName()[1:]) for s in files.listStatus(folder))
+    return spark.read.parquet(f"{base}/v{last}")
+
+
 def late_writer(on_time: str, late: str, delay_us: int) -> Callable[[DataFrame, int], None]:
     """foreachBatch: rows older than the batch's newest time less the delay go to the side table."""
 
