@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-import re
-
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -185,26 +182,27 @@ def template_patterns(prompts: DataFrame, min_support: int = 3) -> DataFrame:
     return _shaped(long.filter(F.col("support") >= min_support), F.col("kind"))
 
 
-def differential_pattern(prompts: DataFrame, min_support: int = 3, order: str = "prompt_id") -> DataFrame:
-    """Parts the first prompt of a cluster shares with the next three, joined by `.*?`.
+def differential_pattern(prompts: DataFrame, min_support: int = 3, order: str = "prompt_id", least: int = 6) -> DataFrame:
+    """What the first prompt of a cluster shares with each of the next three, joined by `.*?`.
 
-    Only four prompts per cluster are gathered (a top-k); support is counted over all of them."""
+    Shared are the first prompt's longest runs of shingles of `least` characters that all the
+    others have, in the first one's order.  Only four prompts per cluster meet (a top-k), three at
+    least; support is counted over all of them."""
     w = Window.partitionBy("cluster").orderBy(order)
-    first = prompts.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= 4).select("cluster", "_rk", "text")
-    kind = dict(prompts.dtypes)["cluster"]
-
-    def fixed_parts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = pdf.sort_values("_rk")["text"].tolist()
-        parts = []
-        for other in texts[1:]:
-            for tag, i1, i2, _, _ in difflib.SequenceMatcher(None, texts[0], other).get_opcodes():
-                if tag == "equal" and i2 - i1 > 5:
-                    parts.append(re.escape(texts[0][i1:i2]))
-        regex = ".*?".join(parts) if len(texts) >= 3 and parts else None
-        return pd.DataFrame({"cluster": [key[0]], "regex": [regex]})
-
-    made = first.groupBy("cluster").applyInPandas(fixed_parts, f"cluster {kind}, regex string").filter("regex is not null")
-    return recount(prompts, made.withColumn("kind", F.lit("differential")), min_support)
+    four = prompts.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= 4).select("cluster", "_rk", "text")
+    sizes = four.groupBy("cluster").agg(F.count("*").alias("_prompts")).filter("_prompts >= 3")
+    shingles = F.regexp_extract_all("text", F.lit(rf"(?s)(?=(.{{{least}}}))"), F.lit(1))
+    first = four.filter("_rk = 1").select("cluster", F.posexplode(shingles).alias("pos", "g"))
+    others = four.filter("_rk > 1").select("cluster", F.explode(F.array_distinct(shingles)).alias("g"))
+    common = others.groupBy("cluster", "g").agg(F.count("*").alias("_in")).join(sizes, "cluster").filter("_in = _prompts - 1")
+    along = Window.partitionBy("cluster").orderBy("pos")  # one prompt's shingles
+    runs = first.join(common, ["cluster", "g"]).withColumn("_run", F.col("pos") - F.row_number().over(along))
+    runs = runs.groupBy("cluster", "_run").agg(F.min("pos").alias("start"), F.max("pos").alias("stop"))
+    part = F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start") + least).alias("part")
+    parts = runs.join(four.filter("_rk = 1"), "cluster").select("cluster", F.struct("start", part).alias("p"))
+    listed = parts.groupBy("cluster").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    regex = F.array_join(F.transform("ps", lambda p: X.regex_escape(p["part"])), ".*?")
+    return recount(prompts, listed.select("cluster", regex.alias("regex"), F.lit("differential").alias("kind")), min_support)
 
 
 def recount(prompts: DataFrame, patterns: DataFrame, min_support: int = 3) -> DataFrame:
@@ -244,21 +242,27 @@ def filter_patterns(
     return recounted.withColumn("rk", F.row_number().over(best)).filter(F.col("rk") <= top)
 
 
-def merge_patterns(patterns: DataFrame) -> DataFrame:
-    """Patterns (pattern_id long, confidence, support, examples of at most five) merged where four
-    fifths of the larger example set are shared.
-
-    Sets of up to four must be equal, or be a four-subset of a set of five, so patterns meet
-    under four-subsets of their examples; each meeting links to its smallest id only."""
-    ex = F.array_sort(F.array_distinct("examples"))
-    sep = lambda a: F.sha2(F.array_join(a, "\x01").cast("binary"), 256)
-    keys = F.when(
-        F.size("_ex") == 5, F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: sep(F.filter("_ex", lambda x: x != F.element_at("_ex", i))))
-    ).otherwise(F.array(sep(F.col("_ex"))))
-    own = patterns.withColumn("_ex", ex)
-    posted = own.filter(F.size("_ex") > 0).select("pattern_id", F.explode(F.concat(keys, F.array(sep(F.col("_ex"))))).alias("k"))
-    hubs = posted.groupBy("k").agg(F.min("pattern_id").alias("_hub"))
-    edges = posted.join(hubs, "k").select(F.col("pattern_id").alias("a"), F.col("_hub").alias("b"))
+def merge_patterns(patterns: DataFrame, share: float = 0.8) -> DataFrame:
+    """Patterns (pattern_id long, confidence, support, examples) merged where `share` of the larger
+    example set is common to both.
+
+    Equal sets are tied to their smallest id.  Different sets can only reach the share if they
+    have one of their rarest examples in common, n - ceil(share * n) + 1 of each; those that do are
+    compared."""
+    own = patterns.select("pattern_id", F.array_sort(F.array_distinct("examples")).alias("_ex")).filter(F.size("_ex") > 0)
+    own = own.withColumn("_set", F.sha2(F.array_join("_ex", "\x01").cast("binary"), 256))
+    sets = own.groupBy("_set").agg(F.min("pattern_id").alias("_hub"), F.first("_ex").alias("_ex"))
+    equal = own.join(sets.select("_set", "_hub"), "_set").select(F.col("pattern_id").alias("a"), F.col("_hub").alias("b"))
+    items = sets.select("_hub", F.explode("_ex").alias("e"))
+    items = items.join(items.groupBy("e").agg(F.count("*").alias("_n")), "e")
+    rare = items.groupBy("_hub").agg(F.array_sort(F.collect_list(F.struct("_n", "e"))).alias("_ex"))  # one set's examples
+    kept = F.size("_ex") - F.ceil(F.size("_ex") * share - 1e-9) + 1
+    posted = rare.select("_hub", F.transform("_ex", lambda x: x["e"]).alias("_ex"), F.explode(F.slice("_ex", F.lit(1), kept.cast("int"))).alias("k"))
+    posted = posted.select("_hub", "_ex", F.col("k.e").alias("k"))
+    other = posted.select(F.col("_hub").alias("_hub2"), F.col("_ex").alias("_ex2"), "k")
+    larger = F.greatest(F.size("_ex"), F.size("_ex2"))
+    met = posted.join(other, "k").filter("_hub < _hub2").filter(F.size(F.array_intersect("_ex", "_ex2")) >= larger * share - 1e-9)
+    edges = equal.unionByName(met.select(F.col("_hub").alias("a"), F.col("_hub2").alias("b")))
     comp = connected_components(edges).withColumnRenamed("id", "pattern_id")
     j = patterns.join(comp, "pattern_id", "left").withColumn("component", F.coalesce("component", "pattern_id"))
     return j.groupBy("component").agg(
