@@ -60,6 +60,16 @@ def sql_regex(pattern: str, *, ignore_case: bool = False, multiline: bool = Fals
     return (f"(?{flags})" if flags else "") + body
 
 
+def spark_str(value: str) -> str:
+    """A literal for Spark's parser, which reads backslash escapes."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def spark_name(column: str) -> str:
+    """A column's name, or the path of a nested one, for Spark's parser."""
+    return column if "." in column or "`" in column else f"`{column}`"
+
+
 def sql_str(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rampart.functions import text as X
-from rampart.functions.regexes import java_regex
+from rampart.functions.regexes import java_regex, spark_name, spark_str
 from rampart.functions.unnest import computed_once, unnest
 
 SPAN = (
@@ -64,41 +63,43 @@ PATTERNS = [
 TYPES = list(dict.fromkeys(p.kind for p in PATTERNS))
 
 
-def _guard(name: str, text: Column, low: Column) -> Column:
-    tests = {
-        "#d3": lambda: text.rlike(r"\p{Nd}{3}"),
-        "#d4": lambda: text.rlike(r"\p{Nd}{4}"),
-        "#dot": lambda: text.rlike(r"[0-9]\.[0-9]{1,3}\."),
-        "#colon": lambda: text.rlike(r"(?:[A-Fa-f0-9]{1,4}:){3}"),
-        "#long": lambda: text.rlike(r"[A-Za-z0-9]{32}"),
-        "#dob": lambda: low.contains("dob") | low.contains("date of birth"),
-    }
-    return tests[name]() if name in tests else low.contains(name)
+# fixed values: cheap tests by name, over {t} (the text) and {low} (the text in lower case)
+GUARDS = {
+    "#d3": r"{t} rlike '\\p{{Nd}}{{3}}'",
+    "#d4": r"{t} rlike '\\p{{Nd}}{{4}}'",
+    "#dot": r"{t} rlike '[0-9]\\.[0-9]{{1,3}}\\.'",
+    "#colon": "{t} rlike '(?:[A-Fa-f0-9]{{1,4}}:){{3}}'",
+    "#long": "{t} rlike '[A-Za-z0-9]{{32}}'",
+    "#dob": "(contains({low}, 'dob') or contains({low}, 'date of birth'))",
+}
+NO_SPANS = f"cast(array() as array<{SPAN}>)"
 
 
-def raw_spans(text: Column, pattern: str, kind: str | Column, confidence: float, order: int) -> Column:
-    """All matches of one expression with their positions.
+def _test(p: Pattern, t: str, low: str) -> str:
+    """SQL condition: does the expression match?"""
+    guard = GUARDS[p.guard].format(t=t, low=low) if p.guard in GUARDS else f"contains({low}, {spark_str(p.guard)})"
+    return f"{guard} and {t} rlike {spark_str(java_regex(p.pattern, ignore_case=True))}"
+
+
+def _span_sql(t: str, pattern: str, kind: str, confidence: float, order: int) -> str:
+    """All matches of one expression with their positions, as SQL text: one call to the JVM.
+
+    The pieces between matches give the gaps, so positions are running sums of lengths."""
+    rx = spark_str(java_regex(pattern, ignore_case=True))
+    span = (
+        f"named_struct('start', a.pos + x.gap, 'neg', {-float(confidence)!r}D, 'ord', {order}, 'end', a.pos + x.gap + length(x.hit), "
+        f"'type', {spark_str(kind)}, 'confidence', {float(confidence)!r}D, 'text', x.hit)"
+    )
+    return (
+        f"aggregate(zip_with(split({t}, {rx}, -1), regexp_extract_all({t}, {rx}, 0), (g, h) -> named_struct('gap', length(g), 'hit', h)), "
+        f"named_struct('pos', 0, 'out', {NO_SPANS}), (a, x) -> if(x.hit is null, a, "
+        f"named_struct('pos', a.pos + x.gap + length(x.hit), 'out', concat(a.out, array({span})))), a -> a.out)"
+    )
 
-    The pieces between matches give the gaps, so positions are running sums of lengths.
-    """
-    rx = F.lit(java_regex(pattern, ignore_case=True))
-    hits = F.regexp_extract_all(text, rx, F.lit(0))
-    gaps = F.split(text, java_regex(pattern, ignore_case=True), -1)
-    steps = F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["pos"] + x["gap"]
-        end = at + F.length(x["hit"])
-        span = F.struct(
-            at.alias("start"), F.lit(-float(confidence)).alias("neg"), F.lit(order).alias("ord"), end.alias("end"),
-            F.lit(kind).alias("type"), F.lit(float(confidence)).alias("confidence"), x["hit"].alias("text"),
-        )
-        return F.when(x["hit"].isNull(), acc).otherwise(
-            F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
-        )
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+def raw_spans(text: str, pattern: str, kind: str, confidence: float, order: int) -> Column:
+    """All matches of one expression in the column `text`, with their positions."""
+    return F.expr(_span_sql(spark_name(text), pattern, kind, confidence, order))
 
 
 def dedupe_spans(spans: Column) -> Column:
@@ -113,24 +114,22 @@ def dedupe_spans(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), start, step, lambda acc: acc["kept"])
 
 
-def _candidates(text: Column, low: Column, types: list[str] | None) -> Column:
-    none = F.array().cast(f"array<{SPAN}>")
-    parts = []
+def _candidates(text: str, low: str | None = None, types: list[str] | None = None) -> Column:
+    """Matches of all expressions of the types; `low`: the column with the text in lower case, if there is one."""
+    t = spark_name(text)
+    lowered = f"lower({t})" if low is None else spark_name(low)
+    plain, cards = [NO_SPANS], [NO_SPANS]
     for i, p in enumerate(PATTERNS):
-        if types is not None and p.kind not in types:
-            continue
-        test = _guard(p.guard, text, low) & text.rlike(java_regex(p.pattern, ignore_case=True))
-        found = raw_spans(text, p.pattern, p.kind, p.confidence, i)
-        if p.kind == "credit_card":
-            found = F.filter(found, lambda s: X.luhn_valid(F.translate(s["text"], "- ", "")))
-        parts.append(F.when(test, found).otherwise(none))
-    return F.concat(*parts)
+        if types is None or p.kind in types:
+            found = f"if({_test(p, t, lowered)}, {_span_sql(t, p.pattern, p.kind, p.confidence, i)}, {NO_SPANS})"
+            (cards if p.kind == "credit_card" else plain).append(found)
+    valid = F.filter(F.expr(f"concat({', '.join(cards)})"), lambda s: X.luhn_valid(F.translate(s["text"], "- ", "")))
+    return F.concat(*([valid] if len(cards) > 1 else []), F.expr(f"concat({', '.join(plain)})"))
 
 
-def spans(text: Column | str, low: Column | None = None, types: list[str] | None = None) -> Column:
-    """Kept spans of a text, by position."""
-    t = X.col(text)
-    return dedupe_spans(_candidates(t, F.lower(t) if low is None else low, types))
+def spans(text: str, low: str | None = None, types: list[str] | None = None) -> Column:
+    """Kept spans of the column `text`, by position."""
+    return dedupe_spans(_candidates(text, low, types))
 
 
 def find_pii(df: DataFrame, text: str = "text", types: list[str] | None = None, custom: list[tuple] | None = None) -> DataFrame:
@@ -140,10 +139,10 @@ def find_pii(df: DataFrame, text: str = "text", types: list[str] | None = None,
     generic_secret with the rule's own mask, and take part in overlap removal.
     """
     base = df.withColumn("_low", F.lower(text))
-    found = _candidates(F.col(text), F.col("_low"), types)
+    found = _candidates(text, "_low", types)
     custom = custom or []
     for i, (_, regex, confidence, _) in enumerate(custom):
-        found = F.concat(found, raw_spans(F.col(text), regex, "generic_secret", confidence, 1000 + i))
+        found = F.concat(found, raw_spans(text, regex, "generic_secret", confidence, 1000 + i))
     kept = base.withColumn("_all", found).withColumn(
         "_kept", F.when(F.size("_all") > 0, dedupe_spans(F.col("_all"))).otherwise(F.array().cast(f"array<{SPAN}>"))
     )
@@ -165,7 +164,7 @@ def find_pii(df: DataFrame, text: str = "text", types: list[str] | None = None,
     return computed_once(kept.withColumn("pii", F.transform("_kept", shown)).drop("_low", "_all", "_kept"), "pii")
 
 
-def reported_confidences(text: Column | str, threshold: float) -> Column:
+def reported_confidences(text: str, threshold: float) -> Column:
     """Confidences of the kept spans that are reported."""
     return F.transform(
         F.filter(spans(text), lambda s: s["confidence"] >= threshold), lambda s: s["confidence"]
@@ -199,11 +198,11 @@ def redaction(mode: str):
     return {"remove": remove, "hash": hashed}.get(mode, mask)
 
 
-def redact(text: Column | str, mode: str = "mask", types: list[str] | None = None) -> Column:
-    t = X.col(text)
+def redact(text: str, mode: str = "mask", types: list[str] | None = None) -> Column:
+    t = F.col(text)
     if mode in ("pass-silent", "pass-alert"):
         return t
-    return replace_spans(t, spans(t, types=types), redaction(mode))
+    return replace_spans(t, spans(text, types=types), redaction(mode))
 
 
 def redact_rows(df: DataFrame, mode: str = "mask", text: str = "text") -> DataFrame:
@@ -225,11 +224,8 @@ def pii_summary(df: DataFrame, text: str = "text") -> DataFrame:
 
 def type_flags(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds one boolean per type: does any of its expressions match (before overlap removal)."""
-    t, low = F.col(text), F.col("_low")
-    flags = {}
-    for kind in TYPES:
-        mine = [_guard(p.guard, t, low) & t.rlike(java_regex(p.pattern, ignore_case=True)) for p in PATTERNS if p.kind == kind]
-        flags[f"has_{kind}"] = reduce(lambda a, b: a | b, mine)
+    t = spark_name(text)
+    flags = {f"has_{kind}": F.expr(" or ".join(f"({_test(p, t, '_low')})" for p in PATTERNS if p.kind == kind)) for kind in TYPES}
     return df.withColumn("_low", F.lower(text)).withColumns(flags).drop("_low")
 
 

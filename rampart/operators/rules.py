@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rampart.functions import rule_tables as R
 from rampart.functions import text as X
-from rampart.functions.regexes import java_regex
+from rampart.functions.regexes import java_regex, spark_name, spark_str
 from rampart.functions.unnest import computed_once
 
 REASON = "struct<category:string,description:string,confidence:double,source:string,pattern:string>"
@@ -26,10 +26,20 @@ def reason(category: str | Column, description: str | Column, confidence: float
     )
 
 
-def rule_test(rule: R.Rule, text: Column, lowered: Column, **flags: bool) -> Column:
-    """Does the rule match `text`?  The literal guard spares the expression on most rows."""
-    test = text.rlike(java_regex(rule.pattern, **flags))
-    return X.contains_any(lowered, rule.needs) & test if rule.needs else test
+def rule_test(rule: R.Rule, text: str, lowered: str, **flags: bool) -> str:
+    """SQL condition: does the rule match the column `text`?  The literal guard spares the expression on most rows."""
+    test = f"{spark_name(text)} rlike {spark_str(java_regex(rule.pattern, **flags))}"
+    guard = " or ".join(f"contains({spark_name(lowered)}, {spark_str(n)})" for n in rule.needs)
+    return f"({guard}) and {test}" if guard else test
+
+
+def hit(test: str, category: str, rule: R.Rule, confidence: float | None = None) -> Column:
+    """The reason a rule gives where `test` holds, else null; SQL text is one call to the JVM, however long."""
+    c = rule.confidence if confidence is None else confidence
+    return F.expr(
+        f"case when {test} then named_struct('category', {spark_str(category)}, 'description', {spark_str(rule.description)}, "
+        f"'confidence', {float(c)!r}D, 'source', 'heuristic', 'pattern', {spark_str(rule.pattern)}) end"
+    )
 
 
 def compact(reasons: list[Column]) -> Column:
@@ -52,36 +62,28 @@ def decodes_to_text(text: Column) -> Column:
 
 
 # --- rule families of one message --------------------------------------------------------
-def direct_injection_rules(text: Column, lowered: Column, role: Column, case_fix: bool = False) -> list[Column]:
+def direct_injection_rules(lowered: str, case_fix: bool = False) -> list[Column]:
     return [
-        F.when((role != "system") & rule_test(r, lowered, lowered, ignore_case=case_fix),
-               reason("direct_injection", r.description, r.confidence, r.pattern))
+        hit(f"role != 'system' and {rule_test(r, lowered, lowered, ignore_case=case_fix)}", "direct_injection", r)
         for r in R.DIRECT_INJECTION
     ]
 
 
-def jailbreak_rules(lowered: Column, case_fix: bool = False) -> list[Column]:
-    return [
-        F.when(rule_test(r, lowered, lowered, ignore_case=case_fix), reason("jailbreak", r.description, r.confidence, r.pattern))
-        for r in R.JAILBREAK
-    ]
+def jailbreak_rules(lowered: str, case_fix: bool = False) -> list[Column]:
+    return [hit(rule_test(r, lowered, lowered, ignore_case=case_fix), "jailbreak", r) for r in R.JAILBREAK]
 
 
-def encoding_rules(text: Column, lowered: Column) -> list[Column]:
+def encoding_rules(text: str, lowered: str) -> list[Column]:
     out = []
     for r in R.ENCODING:
-        hit = rule_test(r, text, lowered)
-        if not r.needs:  # the base64 rule must also decode
-            hit = hit & decodes_to_text(text)
-        out.append(F.when(hit, reason("encoding_attack", r.description, r.confidence, r.pattern)))
+        found = hit(rule_test(r, text, lowered), "encoding_attack", r)
+        # the base64 rule must also decode
+        out.append(found if r.needs else F.when(found.isNotNull() & decodes_to_text(F.col(text)), found))
     return out
 
 
-def context_switch_rules(text: Column, lowered: Column) -> list[Column]:
-    return [
-        F.when(rule_test(r, text, lowered, multiline=True), reason("context_switching", r.description, r.confidence, r.pattern))
-        for r in R.CONTEXT_SWITCHING
-    ]
+def context_switch_rules(text: str, lowered: str) -> list[Column]:
+    return [hit(rule_test(r, text, lowered, multiline=True), "context_switching", r) for r in R.CONTEXT_SWITCHING]
 
 
 def zero_width_rule(text: Column) -> Column:
@@ -123,20 +125,20 @@ def with_reasons(
     low = F.col(LOWER)
     if window:
         base = base.withColumns({"_scan": scanned, "_scan_lower": F.lower(scanned)})
-        scan, scan_low = F.col("_scan"), F.col("_scan_lower")
+        scan, scan_low = "_scan", "_scan_lower"
     else:
-        scan, scan_low = text, low
+        scan, scan_low = "text", LOWER
     parts: list[Column] = []
     if "zero_width" in families:
         parts.append(zero_width_rule(text))
     if "direct" in families:
-        parts += direct_injection_rules(scan, scan_low, role, case_fix)
+        parts += direct_injection_rules(scan_low, case_fix)
     if "jailbreak" in families:
         parts += jailbreak_rules(scan_low, case_fix)
     if "encoding" in families:
         parts += encoding_rules(scan, scan_low)
     if "context" in families:
-        parts += context_switch_rules(text, low)
+        parts += context_switch_rules("text", LOWER)
     if "role_manipulation" in families:
         parts.append(role_manipulation_rule(low, role))
     if "prompt_leak" in families:
@@ -164,12 +166,10 @@ def scan_verdict(confidence: Column, block: float, flag: float) -> Column:
 
 def fast_scan(df: DataFrame, mode: str = "moderate") -> DataFrame:
     """Adds reasons, confidence and verdict; rules in order, up to the first of at least 0.9."""
-    text = F.col("text")
-    base = df.withColumn(LOWER, F.lower(text))
+    base = df.withColumn(LOWER, F.lower("text"))
     low = F.col(LOWER)
     hits = [
-        F.when(rule_test(r, text, low, ignore_case=True),
-               reason(R.SCAN_CATEGORY[c], r.description, scaled(r.confidence, mode), r.pattern))
+        hit(rule_test(r, "text", LOWER, ignore_case=True), R.SCAN_CATEGORY[c], r, scaled(r.confidence, mode))
         for c, rules in R.FAST_RULES.items() for r in rules
     ]
     found = base.withColumn("_hits", F.when(X.contains_any(low, scan_keywords()), compact(hits)))
@@ -185,13 +185,12 @@ def fast_scan(df: DataFrame, mode: str = "moderate") -> DataFrame:
     )
 
 
-def adaptive_hits(text: Column, lowered: Column, mode: str = "moderate") -> list[Column]:
+def adaptive_hits(text: str, lowered: str, mode: str = "moderate") -> list[Column]:
     """struct(rule_id, category, confidence) per hit of the 28 rules."""
     return [
-        F.when(
-            rule_test(r, text, lowered, ignore_case=True),
-            F.struct(F.lit(rid).alias("rule_id"), F.lit(R.SCAN_CATEGORY[c]).alias("category"),
-                     F.lit(scaled(r.confidence, mode)).alias("confidence")),
+        F.expr(
+            f"case when {rule_test(r, text, lowered, ignore_case=True)} then named_struct('rule_id', {spark_str(rid)}, "
+            f"'category', {spark_str(R.SCAN_CATEGORY[c])}, 'confidence', {float(scaled(r.confidence, mode))!r}D) end"
         )
         for rid, c, r in R.adaptive_rules()
     ]
@@ -200,7 +199,7 @@ def adaptive_hits(text: Column, lowered: Column, mode: str = "moderate") -> list
 def adaptive_scan(df: DataFrame, mode: str = "moderate") -> DataFrame:
     """Adds hits, confidence, verdict and context of a one-text-per-row table."""
     base = df.withColumn(LOWER, F.lower("text"))
-    hits = F.array_compact(F.array(*adaptive_hits(F.col("text"), F.col(LOWER), mode)))
+    hits = F.array_compact(F.array(*adaptive_hits("text", LOWER, mode)))
     out = computed_once(base.withColumn("hits", hits), "hits").withColumn(
         "confidence", F.coalesce(F.array_max(F.transform("hits", lambda h: h["confidence"])), F.lit(0.0))
     )

@@ -279,15 +279,15 @@ def _last(spark, path):
     return E.last_violations(violations(spark, path)).select("experiment_id", "metric_name", F.unix_micros("checked_at").alias("at"), "rk")
 
 
-# violations of many experiments: one per customer with debts
-_CV = "cv AS (SELECT 'exp' || (c_custkey % (SELECT count(*) FROM supplier)) AS experiment_id, CASE c_custkey % 40 WHEN 0 THEN 'terminate_experiment' WHEN 1 THEN 'pause_experiment' WHEN 2 THEN 'reduce_traffic' ELSE 'alert' END AS action FROM customer WHERE c_acctbal < 0)"
+# violations of many experiments: one per customer
+_CV = "cv AS (SELECT 'exp' || (c_custkey % (SELECT count(*) FROM supplier)) AS experiment_id, CASE c_custkey % 40 WHEN 0 THEN 'terminate_experiment' WHEN 1 THEN 'pause_experiment' WHEN 2 THEN 'reduce_traffic' ELSE 'alert' END AS action FROM customer)"
 
 
 @query("apply_actions", f"""WITH {_EXPS}, {_CV}, w AS (SELECT experiment_id, max(CASE action WHEN 'terminate_experiment' THEN 3 WHEN 'pause_experiment' THEN 2 WHEN 'reduce_traffic' THEN 1 ELSE 0 END) AS r, count(*) FILTER (action = 'reduce_traffic') AS k FROM cv GROUP BY 1)
   SELECT experiment_id, CASE WHEN r = 3 THEN 'terminated' WHEN r = 2 THEN 'paused' ELSE status END AS status, round(CASE WHEN k > 0 THEN greatest(0.01, target_percentage * 0.5 ** k) ELSE target_percentage END, 6) AS target_percentage FROM exps LEFT JOIN w USING (experiment_id)""")
 def _actions(spark, path):
     n = I.table(spark, path, "supplier").agg(F.count("*").alias("n"))
-    v = I.table(spark, path, "customer").filter("c_acctbal < 0").join(F.broadcast(n)).select(  # one row
+    v = I.table(spark, path, "customer").join(F.broadcast(n)).select(  # one row
         F.concat(F.lit("exp"), (F.col("c_custkey") % F.col("n")).cast("string")).alias("experiment_id"),
         F.expr("CASE c_custkey % 40 WHEN 0 THEN 'terminate_experiment' WHEN 1 THEN 'pause_experiment' WHEN 2 THEN 'reduce_traffic' ELSE 'alert' END").alias("action"),
     )

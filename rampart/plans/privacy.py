@@ -87,16 +87,14 @@ def _custom(spark, path):
 
 @query("dedupe_spans")
 def _dedupe(spark, path):
-    d = I.prompts(spark, path).select("doc_id", "text", P._candidates(F.col("text"), F.lower("text"), None).alias("all"))
+    d = I.prompts(spark, path).select("doc_id", "text", P._candidates("text").alias("all"))
     return d.filter(F.size("all") > 0).select("doc_id", F.size("all").alias("n_found"), F.size(P.dedupe_spans(F.col("all"))).alias("n_kept"))
 
 
-# one type whose values no other expression of the type overlaps
-@query("redact_ssn", with_ctes("prompts", r"""SELECT doc_id, regexp_replace(text, '\b\d{3}-\d{2}-\d{4}\b', '[SSN_REMOVED]', 'g') AS redacted FROM prompts WHERE doc_id NOT IN
-   (SELECT doc_id FROM prompts WHERE regexp_matches(text, '\b\d{3}\s\d{2}\s\d{4}\b') OR regexp_matches(text, '\b\d{9}\b'))"""))
+# the three forms of the type never overlap
+@query("redact_ssn", with_ctes("prompts", r"""SELECT doc_id, regexp_replace(text, '\b\d{3}-\d{2}-\d{4}\b|\b\d{3}\s\d{2}\s\d{4}\b|\b\d{9}\b', '[SSN_REMOVED]', 'g') AS redacted FROM prompts"""))
 def _redact_ssn(spark, path):
-    p = I.prompts(spark, path).filter(~F.col("text").rlike(r"\b\d{3}\s\d{2}\s\d{4}\b|\b\d{9}\b"))
-    return p.select("doc_id", P.redact("text", "remove", ["ssn"]).alias("redacted"))
+    return I.prompts(spark, path).select("doc_id", P.redact("text", "remove", ["ssn"]).alias("redacted"))
 
 
 def _redact(mode):
@@ -122,11 +120,10 @@ _CARD = next(p for p in P.PATTERNS if p.kind == "credit_card")
    (SELECT count(*) FROM (SELECT unnest({_all_sql('text', next(p for p in P.PATTERNS if p.kind == 'ssn'))}) FROM prompts)) AS n_ssn,
    (SELECT count(*) FROM (SELECT unnest({_all_sql('text', next(p for p in P.PATTERNS if p.kind == 'ip_address'))}) FROM prompts)) AS n_ip"""))
 def _counts(spark, path):
-    t = F.col("text")
-    n = lambda kind, i: F.size(P.raw_spans(t, [p for p in P.PATTERNS if p.kind == kind][i].pattern, kind, 0.5, 0))
+    n = lambda kind, i: F.size(P.raw_spans("text", [p for p in P.PATTERNS if p.kind == kind][i].pattern, kind, 0.5, 0))
     from rampart.functions import text as X
 
-    cards = F.filter(P.raw_spans(t, _CARD.pattern, "credit_card", 0.8, 0), lambda s: X.luhn_valid(F.translate(s["text"], "- ", "")))
+    cards = F.filter(P.raw_spans("text", _CARD.pattern, "credit_card", 0.8, 0), lambda s: X.luhn_valid(F.translate(s["text"], "- ", "")))
     return I.prompts(spark, path).agg(
         F.sum(F.size(cards)).alias("n_cards"), F.sum(n("ssn", 0)).alias("n_ssn"), F.sum(n("ip_address", 0)).alias("n_ip")
     )
