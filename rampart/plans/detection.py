@@ -15,6 +15,7 @@ from rampart.plans import inputs as I
 from rampart.plans.inputs import with_ctes
 from rampart.plans.registry import query
 from rampart.plans.rules import any_of, family_tests, hit_count_sql, matches, max_conf_sql
+from rampart.plans.spans import luhn_sql, span_ctes
 from rampart.plans.text import SPECIAL, complexity_sql
 
 TESTS = family_tests(rules.FAMILY_NAMES)
@@ -104,12 +105,6 @@ def _combine(spark, path):
     return out.select("conv_id", F.round("confidence", 6).alias("confidence"), "verdict")
 
 
-def luhn_sql(x: str) -> str:
-    digit = f"CAST(substring({x}, length({x}) - i + 1, 1) AS INT)"
-    return (f"list_sum(list_transform(generate_series(1, length({x})), lambda i: CASE WHEN i % 2 = 1 THEN {digit} "
-            f"WHEN {digit} * 2 > 9 THEN {digit} * 2 - 9 ELSE {digit} * 2 END)) % 10 = 0")
-
-
 def reported_sql(text: str = "text") -> str:
     """Does the text hold a reported item?  Overlap removal cannot drop the last one of a place,
     but a low one may shadow a reported one, so oracles only use it on texts of one type."""
@@ -124,7 +119,16 @@ def reported_sql(text: str = "text") -> str:
     return "(" + " OR ".join(parts) + ")"
 
 
-@query("detect")
+_WP, _WV = combine_sql("hv", "mv", "pv", "hc", "mc")
+
+
+@query("detect", with_ctes("messages", heuristic_cte("moderate") + span_ctes("messages", "conv_id, turn") + f""", {_ANS},
+   shape AS (SELECT conv_id, count(*) AS message_count, count(*) FILTER (role = 'system') = 1 AND coalesce(max(turn) FILTER (role = 'system') < min(turn) FILTER (role = 'user'), true) AS format_valid FROM messages GROUP BY conv_id),
+   reported AS (SELECT conv_id, count(*) AS pii_count FROM kept WHERE confidence >= 0.7 GROUP BY conv_id),
+   d AS (SELECT conv_id, message_count, format_valid, n_reasons, coalesce(pii_count, 0) AS pii_count, h.verdict AS hv, h.confidence AS hc, model_verdict AS mv, model_confidence AS mc,
+      CASE WHEN pii_count > 0 THEN 'redact' ELSE 'allow' END AS pv FROM heur h JOIN shape USING (conv_id) JOIN ans USING (conv_id) LEFT JOIN reported USING (conv_id)),
+   x AS (SELECT *, {_WP} FROM d)
+   SELECT conv_id, message_count, n_reasons + (pii_count > 0)::INT AS n_reasons, pii_count, hv AS heuristic_verdict, pv AS pii_verdict, format_valid, round(mean, 6) AS confidence, {_WV} AS verdict FROM x"""))
 def _detect(spark, path):
     d = V.detect(I.messages(spark, path), answers=stored_answers(spark, path))
     return d.select(

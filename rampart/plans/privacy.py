@@ -9,10 +9,10 @@ from rampart.functions.regexes import sql_regex, sql_str
 from rampart.operators import pii as P
 from rampart.operators import privacy as V
 from rampart.plans import inputs as I
-from rampart.plans.detection import luhn_sql
 from rampart.plans.inputs import NOW, with_ctes
 from rampart.plans.registry import query
 from rampart.plans.rules import matches
+from rampart.plans.spans import HASHED, MASKS, RISK, SHOWN, luhn_sql, replaced_ctes, span_ctes
 from rampart.session import cut_lineage
 
 
@@ -55,7 +55,11 @@ def _find(spark, path):
     return f.select("doc_id", "p.type", "p.start", F.col("p.end").alias("stop"), "p.confidence", "p.text")
 
 
-@query("find_pii_all")
+_SPANS = span_ctes("prompts", "doc_id")
+
+
+@query("find_pii_all", with_ctes("prompts", _SPANS + f""" SELECT doc_id, type, start, stop AS "end", {SHOWN} AS masked, confidence,
+   substring(text, greatest(start - 20, 0) + 1, stop + 20 - greatest(start - 20, 0)) AS context, hit AS text, NULL::VARCHAR AS rule FROM kept JOIN prompts USING (doc_id)"""))
 def _find_all(spark, path):
     f = unnest(P.find_pii(I.prompts(spark, path)), "pii", "p", "doc_id")
     return f.select("doc_id", "p.*")
@@ -85,10 +89,11 @@ def _custom(spark, path):
     return h.select("doc_id", "rule", "type", "matched", "masked")
 
 
-@query("dedupe_spans")
+@query("dedupe_spans", with_ctes("prompts", _SPANS + """ SELECT doc_id, coalesce(f.n, 0)::INT AS n_found, coalesce(k.n, 0)::INT AS n_kept FROM prompts
+   LEFT JOIN (SELECT doc_id, count(*) AS n FROM found GROUP BY 1) f USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM kept GROUP BY 1) k USING (doc_id)"""))
 def _dedupe(spark, path):
-    d = I.prompts(spark, path).select("doc_id", "text", P._candidates("text").alias("all"))
-    return d.filter(F.size("all") > 0).select("doc_id", F.size("all").alias("n_found"), F.size(P.dedupe_spans(F.col("all"))).alias("n_kept"))
+    d = I.prompts(spark, path).select("doc_id", P._candidates("text").alias("all"))
+    return d.select("doc_id", F.size("all").alias("n_found"), F.size(P.dedupe_spans(F.col("all"))).alias("n_kept"))
 
 
 # the three forms of the type never overlap
@@ -104,11 +109,11 @@ def _redact(mode):
     return run
 
 
-query("redact")(_redact("mask"))
-query("redact_hash")(_redact("hash"))
+for _name, _mode, _mask in (("redact", "mask", SHOWN), ("redact_hash", "hash", HASHED)):
+    query(_name, with_ctes("prompts", _SPANS + replaced_ctes("prompts", "doc_id", _mask) + " SELECT doc_id, changed AS redacted FROM replaced"))(_redact(_mode))
 
 
-@query("pii_summary")
+@query("pii_summary", with_ctes("prompts", _SPANS + " SELECT type, count(*) AS n, count(*) FILTER (confidence >= 0.7) AS n_reported FROM kept GROUP BY type"))
 def _summary(spark, path):
     return P.pii_summary(I.prompts(spark, path))
 
@@ -140,9 +145,9 @@ def _verdict(spark, path):
 for _s in ("redact", "hash", "partial", "remove", "anonymize", "tokenize"):
     def _masked(spark, path, _s=_s):
         m = V.mask_prompts(I.prompts(spark, path), _s)
-        return m.filter("masked_count > 0").select("doc_id", "masked_text", "masked_count")
+        return m.select("doc_id", "masked_text", "masked_count")
 
-    query(f"mask_prompts_{_s}")(_masked)
+    query(f"mask_prompts_{_s}", with_ctes("prompts", _SPANS + replaced_ctes("prompts", "doc_id", MASKS[_s]) + " SELECT doc_id, changed AS masked_text, n AS masked_count FROM replaced"))(_masked)
 
 
 @query("token_round_trip", "SELECT count(*) AS n, count(*) AS n_restored FROM documents")
@@ -161,7 +166,11 @@ def _vault(spark, path):
     return c.select(V.token(F.col("c_mktsegment")).alias("token"), F.col("c_mktsegment").alias("value")).distinct()
 
 
-@query("privacy_report")
+@query("privacy_report", with_ctes("prompts", _SPANS + f""", g AS (SELECT doc_id, sum({RISK} * confidence) AS w, sum(stop - start) AS covered, count(*) AS n, list_sort(list(DISTINCT type)) AS types FROM kept GROUP BY doc_id),
+   r AS (SELECT doc_id, length(text) AS chars, least(100::DOUBLE, coalesce(w, 0) * 20)::DOUBLE AS risk, coalesce(covered, 0) AS covered, coalesce(n, 0)::INT AS pii_count, coalesce(types, []) AS types FROM prompts LEFT JOIN g USING (doc_id))
+   SELECT doc_id, round(risk, 2) AS risk_score, CASE WHEN risk > 80 THEN 'HIGH' WHEN risk > 50 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+    CASE WHEN risk > 80 THEN 'redact' WHEN risk > 50 THEN 'partial' WHEN risk > 20 THEN 'anonymize' ELSE 'partial' END AS strategy, pii_count, types,
+    CASE WHEN chars > 0 THEN round(covered / chars::DOUBLE * 100, 2) ELSE 0::DOUBLE END AS sensitive_pct FROM r"""))
 def _report(spark, path):
     return V.privacy_report(I.prompts(spark, path), "doc_id")
 
