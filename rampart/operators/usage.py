@@ -171,7 +171,8 @@ def alert_throttle(alerts: DataFrame, keys: list[str], window_s: int = 3600) ->
             state[0] = row[0]
         return (send,)
 
-    return ordered_fold(parts, [*keys, "island"], ["us"], ["us"], lambda: [None], step, "sent boolean").drop("island")
+    rest = [c for c in alerts.columns if c not in keys and c != "us"]  # ties go by the other columns
+    return ordered_fold(parts, [*keys, "island"], ["us", *rest], ["us"], lambda: [None], step, "sent boolean").drop("island")
 
 
 def should_block(costed: DataFrame, limits: dict[str, float], id_col: str = "call_id") -> DataFrame:

@@ -379,9 +379,29 @@ def _route_prompts(spark, path):
     return r.select(F.col("conv_id").alias("doc_id"), "level", "strategy", "target_ms", "cache_eligible")
 
 
-@query("strategy_comparison")
+def _lowered(v: str, c: str) -> str:
+    return f"CASE WHEN {c} < 0.7 AND {v} = 'block' THEN 'strip' WHEN {c} < 0.7 AND {v} = 'strip' THEN 'flag' ELSE {v} END"
+
+
+def _variant(name: str, m: str, p: str, mc: str) -> str:
+    parts, verdict = combine_sql("hv", m, p, "hc", mc)
+    return f"{name} AS (SELECT conv_id, {verdict} AS verdict, round(mean, 6) AS confidence FROM (SELECT conv_id, {parts} FROM d))"
+
+
+_BY_STRATEGY = {"heuristic_only": "s1", "heuristic_cached": "s1", "heuristic_llm_cached": "s2", "heuristic_llm_pii": "s3", "full_analysis": "s4"}
+
+
+@query("strategy_comparison", with_ctes("messages", heuristic_cte("moderate") + span_ctes("messages", "conv_id, turn") + f""", {_ANS}, reported AS (SELECT DISTINCT conv_id FROM kept WHERE confidence >= 0.7),
+   d AS (SELECT h.conv_id, h.verdict AS hv, h.confidence AS hc, model_verdict AS mv, model_confidence AS mc, CASE WHEN r.conv_id IS NULL THEN 'allow' ELSE 'redact' END AS pv
+      FROM heur h JOIN ans a ON a.conv_id = h.conv_id LEFT JOIN reported r ON r.conv_id = h.conv_id),
+   {_variant('s1', "'allow'", "'allow'", "0::DOUBLE")}, {_variant('s2', 'mv', "'allow'", 'mc')}, {_variant('s3', 'mv', 'pv', 'mc')},
+   f AS (SELECT conv_id, round(greatest(hc, mc), 6) AS confidence, greatest({RANK.format(v='(' + _lowered('hv', 'hc') + ')')}, {RANK.format(v='(' + _lowered('mv', 'mc') + ')')}, {RANK.format(v='pv')}) AS r FROM d),
+   s4 AS (SELECT conv_id, {UNRANK.format(r='r')} AS verdict, confidence FROM f)
+   SELECT s1.conv_id, """ + ", ".join(f"{t}.verdict AS {s}_verdict, {t}.confidence AS {s}_confidence" for s, t in _BY_STRATEGY.items())
+   + " FROM s1 JOIN s2 USING (conv_id) JOIN s3 USING (conv_id) JOIN s4 USING (conv_id)"))
 def _comparison(spark, path):
-    return V.strategy_comparison(I.messages(spark, path), stored_answers(spark, path))
+    out = V.strategy_comparison(I.messages(spark, path), stored_answers(spark, path))
+    return out.select("conv_id", *[F.round(c, 6).alias(c) if c.endswith("_confidence") else F.col(c) for c in out.columns if c != "conv_id"])
 
 
 _INTENT = "CASE doc_id % 5 WHEN 0 THEN 'customer_service' WHEN 1 THEN 'code_assistant' WHEN 2 THEN 'creative_writing' WHEN 3 THEN 'poetry' END"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rampart.functions import stats as S
 from rampart.operators import experiments as E
 from rampart.plans import inputs as I
 from rampart.plans.inputs import NOW, with_ctes
@@ -220,14 +221,39 @@ def analysis(spark, path):
     return E.analyze_experiment(I.experiment_metrics(spark, path), min_effect=0.01)
 
 
-@query("power_and_size")
+def _cdf_sql(x: str) -> str:
+    z, poly = f"(abs({x}) / sqrt(2))", f"{S._ERFC[-1]}::DOUBLE"
+    t = f"(1 / (1 + {z} * 0.5::DOUBLE))"
+    for c in reversed(S._ERFC[:-1]):
+        poly = f"({c}::DOUBLE + {t} * {poly})"
+    half = f"{t} * exp(-{z} * {z} + {poly}) * 0.5::DOUBLE"
+    return f"CASE WHEN {x} >= 0 THEN 1 - {half} ELSE {half} END"
+
+
+def _analysis_sql(metrics: str = "experiment_metrics") -> str:
+    """CTE `an` over arms of at least 100 values each."""
+    za, zb = repr(S.normal_ppf(0.975)), repr(S.normal_ppf(0.8))
+    return _ARMS.replace("experiment_metrics", metrics) + f""", e AS (SELECT *, (tm - cm) / pooled AS d, sqrt((cn + tn) / (cn * tn)::DOUBLE + 0.5::DOUBLE / (cn + tn - 2)) AS se FROM st WHERE cn >= 100 AND tn >= 100),
+   k AS (SELECT *, {za}::DOUBLE - abs(d) * sqrt(cn * tn / (cn + tn)::DOUBLE) AS x1, -{za}::DOUBLE - abs(d) * sqrt(cn * tn / (cn + tn)::DOUBLE) AS x2, abs(t) AS x3 FROM e),
+   an AS (SELECT experiment_id, metric_name, cn, tn, cm, tm, cv, tv, t, df, d, d - se * {za}::DOUBLE AS d_low, d + se * {za}::DOUBLE AS d_high,
+     greatest(0::DOUBLE, least(1::DOUBLE, 1 - ({_cdf_sql('x1')}) + ({_cdf_sql('x2')}))) AS power,
+     CASE WHEN abs(d) < 1e-6 THEN 10000 ELSE greatest(10, ceil(power(({za}::DOUBLE + {zb}::DOUBLE) / d, 2) * 2)::BIGINT) END AS required_n,
+     greatest(0::DOUBLE, least(1::DOUBLE, (1 - ({_cdf_sql('x3')})) * 2)) AS p_value FROM k)"""
+
+
+@query("power_and_size", with_ctes("experiment_metrics", _analysis_sql() + " SELECT metric_name, round(power, 6) AS power, required_n, round(d_low, 6) AS d_low, round(d_high, 6) AS d_high FROM an"))
 def _power(spark, path):
-    return analysis(spark, path).select("metric_name", "power", "required_n", "d_low", "d_high")
+    return rounded(analysis(spark, path).select("metric_name", "power", "required_n", "d_low", "d_high"))
 
 
-@query("analyze_experiment")
+@query("analyze_experiment", with_ctes("experiment_metrics", _analysis_sql() + """ SELECT experiment_id, metric_name, 'treatment' AS t_variant_id, cn AS c_n, tn AS t_n, round(cm, 6) AS c_mean, round(tm, 6) AS t_mean, round(cv, 6) AS c_var, round(tv, 6) AS t_var,
+   't_test' AS test, round(t, 6) AS statistic, round(p_value, 6) AS p_value, round(d, 6) AS effect, round(d_low, 6) AS d_low, round(d_high, 6) AS d_high, round(power, 6) AS power, required_n,
+   p_value < 1 - 0.95::DOUBLE AS significant, abs(d) >= 0.01 AS practical FROM an"""))
 def _analyze(spark, path):
-    return analysis(spark, path)
+    return rounded(analysis(spark, path).select(
+        "experiment_id", "metric_name", "t_variant_id", "c_n", "t_n", "c_mean", "t_mean", "c_var", "t_var", "test", "statistic", "p_value",
+        "effect", "d_low", "d_high", "power", "required_n", "significant", "practical",
+    ))
 
 
 @query("result_summary", with_ctes("experiment_metrics", _ARMS + """ SELECT metric_name, round((tm - cm) / cm * 100, 2) AS improvement_percent, round((tm - cm) / pooled, 4) AS effect_size, round(cm, 4) AS control_mean,
@@ -260,12 +286,17 @@ def _violations(spark, path):
     return v.select("metric_name", "kind", "severity", "action", F.unix_micros("checked_at").alias("at"), F.round("value", 6).alias("value"))
 
 
-@query("experiment_health")
+@query("experiment_health", with_ctes("experiment_metrics", _VIOL + """, pen AS (SELECT experiment_id, checked_at, sum(CASE severity WHEN 'critical' THEN 0.5::DOUBLE WHEN 'high' THEN 0.3::DOUBLE WHEN 'medium' THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END) AS p FROM vi GROUP BY ALL),
+   ch AS (SELECT experiment_id, checked_at, coalesce(-p, 0.1::DOUBLE) AS change, row_number() OVER (PARTITION BY experiment_id ORDER BY checked_at) AS rn
+      FROM (SELECT DISTINCT experiment_id, date_trunc('hour', ts) AS checked_at FROM experiment_metrics) LEFT JOIN pen USING (experiment_id, checked_at)),
+   h AS (WITH RECURSIVE g AS (SELECT experiment_id, 0::BIGINT AS rn, 1::DOUBLE AS health FROM (SELECT DISTINCT experiment_id FROM ch)
+      UNION ALL SELECT ch.experiment_id, ch.rn, least(1::DOUBLE, greatest(0::DOUBLE, g.health + ch.change)) FROM g JOIN ch ON ch.experiment_id = g.experiment_id AND ch.rn = g.rn + 1) SELECT * FROM g)
+   SELECT experiment_id, round(arg_max(health, rn), 6) AS health FROM h GROUP BY experiment_id"""))
 def _health(spark, path):
     m = I.experiment_metrics(spark, path)
     checks = m.select("experiment_id", F.unix_micros(F.date_trunc("hour", "ts")).alias("at")).distinct()
     v = violations(spark, path).select("experiment_id", F.unix_micros("checked_at").alias("at"), "severity")
-    return E.experiment_health(E.health_changes(v, checks))
+    return rounded(E.experiment_health(E.health_changes(v, checks)))
 
 
 @query("safety_report", with_ctes("experiment_metrics", _VIOL + f""" SELECT experiment_id, count(*) AS total, count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (severity = 'high') AS n_high,
@@ -300,9 +331,12 @@ def _estats(spark, path):
     return E.experiment_stats(experiments(spark, path), {"assignments": assigned(spark, path), "metrics": I.experiment_metrics(spark, path)})
 
 
-@query("promotion_candidates")
+# the treatment lifts every metric by a half, so there is something to promote
+@query("promotion_candidates", with_ctes("experiment_metrics", """, lifted AS (SELECT * REPLACE (CASE WHEN variant_id = 'treatment' THEN value * 1.5::DOUBLE ELSE value END AS value) FROM experiment_metrics)"""
+   + _analysis_sql("lifted") + " SELECT experiment_id, metric_name, 'treatment' AS t_variant_id, round(d, 6) AS effect FROM an WHERE p_value < 1 - 0.95::DOUBLE AND abs(d) >= 0.05 AND d > 0"))
 def _promote(spark, path):
-    return E.promotion_candidates(analysis(spark, path)).select("experiment_id", "metric_name", "t_variant_id", "effect")
+    m = I.experiment_metrics(spark, path).withColumn("value", F.when(F.col("variant_id") == "treatment", F.col("value") * 1.5).otherwise(F.col("value")))
+    return rounded(E.promotion_candidates(E.analyze_experiment(m)).select("experiment_id", "metric_name", "t_variant_id", "effect"))
 
 
 @query("experiment_status", _ASSIGN + f""", a AS (SELECT experiment_id, count(*) AS n FROM assigned GROUP BY 1)

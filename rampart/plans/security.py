@@ -9,7 +9,7 @@ from rampart.plans import inputs as I
 from rampart.plans.inputs import NOW, NOW_US, with_ctes
 from rampart.plans.registry import query
 from rampart.plans.text import request_headers
-from rampart.plans.usage import rounded
+from rampart.plans.usage import rounded, throttle_sql
 
 # thresholds in hours, fitting a month of a small log
 _TH = [
@@ -84,7 +84,9 @@ def _audit(spark, path):
     return S.audit_events(r).select("request_id", "event_type", "severity", "client_ip", F.col("headers")["Authorization"].alias("authorization"))
 
 
-@query("rule_alerts")
+@query("rule_alerts", with_ctes("security_metrics", """, al AS (SELECT event_id, metric_type, name, value, us, 'slow' AS rule, 'warning' AS severity FROM security_metrics WHERE name = 'response_time_ms' AND value > 150
+   UNION ALL SELECT event_id, metric_type, name, value, us, 'attack', 'critical' FROM security_metrics WHERE metric_type = 'injection_attempts' AND value > 100)""" + throttle_sql("al", "rule", "event_id", 36000)
+   + " SELECT event_id, metric_type, name, value, us, rule, severity FROM throttled WHERE sent"))
 def _rule_alerts(spark, path):
     rules = {"slow": ("name = 'response_time_ms' AND value > 150", "warning"), "attack": ("metric_type = 'injection_attempts' AND value > 100", "critical")}
     return S.rule_alerts(I.security_metrics(spark, path).select("event_id", "metric_type", "name", "value", "us"), rules, 36000)

@@ -117,7 +117,16 @@ def _status(spark, path):
     return rounded(U.budget_status(I.api_calls(spark, path), LIMITS, _AT))
 
 
-@query("alert_throttle")
+def throttle_sql(alerts: str, key: str, first: str, window_s: int) -> str:
+    """CTE `throttled`: `alerts` with `sent`; from one alert that goes out to the next of its key."""
+    on = " AND ".join(f"a.{k.strip()} = g.{k.strip()}" for k in key.split(","))
+    own = ", ".join(f"a.{k.strip()}" for k in key.split(","))
+    return f""", out AS (WITH RECURSIVE g AS (SELECT {key}, min(us) AS us FROM {alerts} GROUP BY ALL
+      UNION ALL SELECT {own}, min(a.us) AS us FROM g JOIN {alerts} a ON {on} AND a.us >= g.us + {window_s * 1_000_000} GROUP BY {own}) SELECT * FROM g),
+   throttled AS (SELECT a.*, o.us IS NOT NULL AND row_number() OVER (PARTITION BY {own}, a.us ORDER BY {first}) = 1 AS sent FROM {alerts} a LEFT JOIN out o ON {on.replace('g.', 'o.')} AND a.us = o.us)"""
+
+
+@query("alert_throttle", with_ctes("api_calls", _ALERTS + ", raised AS (SELECT call_id, us, period, level FROM al WHERE level IS NOT NULL)" + throttle_sql("raised", "period, level", "call_id", 3600) + " SELECT call_id, us, period, level, sent FROM throttled"))
 def _throttle(spark, path):
     a = U.budget_alerts(_costs(spark, path), LIMITS)
     return U.alert_throttle(a.select("call_id", "us", "period", "level"), ["period", "level"])
