@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rampart.functions import rule_tables as T
-from rampart.functions.regexes import java_regex
+from rampart.functions.regexes import java_regex, spark_str
 
 BASE64_RUN = r"[A-Za-z0-9+/]{20,}={0,2}"
 WORD = java_regex(r"\S+")
@@ -51,15 +51,20 @@ def characters(text: Column) -> Column:
 
 
 # --- cleaning --------------------------------------------------------------------------
+ENCODED_RUN = r"[A-Za-z0-9+/]{40,}={0,2}"
+# fixed values: content a browser would run
+ACTIVE_CONTENT = (r"<script[^>]*>.*?</script>", r"javascript:.*?(?=\s|$)", r"data:text/html.*?(?=\s|$)")
+
+
 def sanitize(text: Column | str, aggressive: bool | Column = False) -> Column:
     t = F.regexp_replace(col(text), r"\\x[0-9a-fA-F]{2}", "")
     t = F.regexp_replace(t, r"\\u[0-9a-fA-F]{4}", "")
-    strict = F.regexp_replace(t, r"[A-Za-z0-9+/]{40,}={0,2}", "[REMOVED_ENCODING]")
+    strict = F.regexp_replace(t, ENCODED_RUN, "[REMOVED_ENCODING]")
     if isinstance(aggressive, Column):
         t = F.when(aggressive, strict).otherwise(t)
     elif aggressive:
         t = strict
-    for pattern in (r"<script[^>]*>.*?</script>", r"javascript:.*?(?=\s|$)", r"data:text/html.*?(?=\s|$)"):
+    for pattern in ACTIVE_CONTENT:
         t = F.regexp_replace(t, java_regex(pattern, ignore_case=True, dotall=True), "[REMOVED]")
     t = F.regexp_replace(t, java_regex(r"\s{10,}"), " ")
     t = F.translate(t, "".join(T.ZERO_WIDTH[:4]), "")
@@ -467,6 +472,52 @@ SQL_FUNCTIONS = {
 }
 
 
+
+
+def _sanitize_sql() -> str:
+    def without(t: str, pattern: str, by: str = "") -> str:
+        return f"regexp_replace({t}, {spark_str(pattern)}, {spark_str(by)})"
+
+    t = without(without("t", r"\\x[0-9a-fA-F]{2}"), r"\\u[0-9a-fA-F]{4}")
+    t = f"CASE WHEN aggressive THEN {without(t, ENCODED_RUN, '[REMOVED_ENCODING]')} ELSE {t} END"
+    for pattern in ACTIVE_CONTENT:
+        t = without(t, java_regex(pattern, ignore_case=True, dotall=True), "[REMOVED]")
+    t = f"translate({without(t, java_regex(r'\s{10,}'), ' ')}, {spark_str(''.join(T.ZERO_WIDTH[:4]))}, '')"
+    return without(t, java_regex(r"^\s+|\s+\z"))
+
+
+def _complexity_sql() -> str:
+    found = lambda pattern: f"t RLIKE {spark_str(java_regex(pattern))}"
+    code = " + ".join(f"CAST({found(p)} AS INT)" for p in T.CODE_INDICATORS)
+    special = spark_str(r"[\p{L}\p{N}\s\x{A0}]")
+    return (
+        f"named_struct('length', length(t), 'word_count', size(regexp_extract_all(t, {spark_str(WORD)}, 0)), "
+        f"'special_char_ratio', length(regexp_replace(t, {special}, '')) / greatest(length(t), 1), 'has_base64', {found(BASE64_RUN)}, "
+        f"'has_hex', {found(r'\\x[0-9a-fA-F]{2}')}, 'has_unicode', {found(r'\\u[0-9a-fA-F]{4}')}, "
+        f"'url_count', regexp_count(t, {spark_str(java_regex(r'https?://[^\s]+'))}), 'code_score', ({code}) / {len(T.CODE_INDICATORS)})"
+    )
+
+
+SQL_FUNCTIONS |= {
+    "rampart_sanitize": ("t STRING, aggressive BOOLEAN", _sanitize_sql()),
+    "rampart_complexity": ("t STRING", _complexity_sql()),
+    "rampart_entropy": (
+        "t STRING",
+        r"CASE WHEN length(t) = 0 THEN 0D ELSE log2(length(t)) - aggregate(transform(regexp_extract_all(array_join(sort_array(regexp_extract_all(t, '(?s).', 0)), ''), "
+        r"'(?s)(.)\\1*', 0), x -> length(x)), 0D, (a, c) -> a + c * log2(c)) / length(t) END",
+    ),
+    "rampart_mask_value": (
+        "v STRING, kind STRING",
+        r"CASE WHEN length(v) <= 4 THEN '****' "
+        r"WHEN kind = 'email' AND length(v) - length(replace(v, '@', '')) = 1 THEN concat(CASE WHEN length(substring_index(v, '@', 1)) > 2 THEN left(v, 2) ELSE '' END, '***@', substring_index(v, '@', -1)) "
+        r"WHEN kind = 'credit_card' AND length(translate(v, '- ', '')) >= 4 THEN concat('****-****-****-', right(translate(v, '- ', ''), 4)) "
+        r"WHEN kind = 'ssn' THEN '***-**-****' "
+        r"WHEN kind = 'phone' AND length(regexp_replace(v, '[^0-9]', '')) >= 10 THEN concat(left(regexp_replace(v, '[^0-9]', ''), 3), '-***-****') "
+        r"WHEN length(v) > 6 THEN concat(left(v, 2), repeat('*', length(v) - 4), right(v, 2)) ELSE repeat('*', length(v)) END",
+    ),
+}
+
+
 def register_sql_functions(spark) -> None:
     for name, (args, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURN {body}")

@@ -15,8 +15,8 @@ from rampart.plans import inputs as I
 from rampart.plans.inputs import with_ctes
 from rampart.plans.registry import query
 from rampart.plans.rules import any_of, family_tests, hit_count_sql, matches, max_conf_sql
-from rampart.plans.spans import luhn_sql, span_ctes
-from rampart.plans.text import SPECIAL, complexity_sql
+from rampart.plans.spans import SHOWN, luhn_sql, replaced_ctes, span_ctes
+from rampart.plans.text import SPECIAL, complexity_sql, sanitize_sql
 
 TESTS = family_tests(rules.FAMILY_NAMES)
 PROMPT_TESTS = family_tests(rules.FAMILY_NAMES, role="'user'")
@@ -165,7 +165,16 @@ def _detect_off(spark, path):
     return V.detect(I.messages(spark, path), heuristics=False, pii=False)
 
 
-@query("rewrite")
+_RP, _RV = combine_sql("hv", "'allow'", "pv", "hc", "0::DOUBLE")
+
+
+@query("rewrite", with_ctes("messages", heuristic_cte("moderate") + span_ctes("messages", "conv_id, turn") + replaced_ctes("messages", "conv_id, turn", SHOWN) + f""",
+   reported AS (SELECT DISTINCT conv_id FROM kept WHERE confidence >= 0.7),
+   d AS (SELECT h.conv_id, h.verdict AS hv, h.confidence AS hc, CASE WHEN r.conv_id IS NULL THEN 'allow' ELSE 'redact' END AS pv FROM heur h LEFT JOIN reported r ON r.conv_id = h.conv_id),
+   x AS (SELECT conv_id, {_RP} FROM d), v AS (SELECT conv_id, {_RV} AS verdict FROM x), w AS (SELECT conv_id, max(c) > 0.8 AS aggressive FROM sc GROUP BY conv_id)
+   SELECT m.conv_id, m.turn, CASE WHEN verdict IN ('strip', 'redact') THEN verdict END AS verdict,
+     CASE verdict WHEN 'strip' THEN {sanitize_sql('m.text', 'coalesce(aggressive, false)')} WHEN 'redact' THEN r.changed END AS modified
+   FROM messages m JOIN v USING (conv_id) JOIN w USING (conv_id) JOIN replaced r ON r.conv_id = m.conv_id AND r.turn = m.turn"""))
 def _rewrite(spark, path):
     m = I.messages(spark, path)
     return V.rewrite(m, V.detect(m)).select("conv_id", "turn", "verdict", "modified")

@@ -42,7 +42,16 @@ def complexity_sql(text: str = "text") -> str:
       round(({code}) / 8.0::DOUBLE, 6) AS code_score"""
 
 
-@query("sanitize")
+def sanitize_sql(text: str, aggressive: str) -> str:
+    t = rf"regexp_replace(regexp_replace({text}, '\\x[0-9a-fA-F]{{2}}', '', 'g'), '\\u[0-9a-fA-F]{{4}}', '', 'g')"
+    t = f"CASE WHEN {aggressive} THEN regexp_replace({t}, '[A-Za-z0-9+/]{{40,}}={{0,2}}', '[REMOVED_ENCODING]', 'g') ELSE {t} END"
+    for pattern in (r"(?is)<script[^>]*>.*?</script>", r"(?i)javascript:\S*", r"(?i)data:text/html\S*"):
+        t = f"regexp_replace({t}, '{pattern}', '[REMOVED]', 'g')"
+    t = rf"translate(regexp_replace({t}, '\s{{10,}}', ' ', 'g'), chr(8203) || chr(8204) || chr(8205) || chr(65279), '')"
+    return rf"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
+
+
+@query("sanitize", f"SELECT page_id, {sanitize_sql('html', 'false')} AS clean, {sanitize_sql('html', 'true')} AS clean_aggressive FROM pages")
 def _sanitize(spark, path):
     p = I.table(spark, path, "pages")
     return p.select("page_id", X.sanitize("html").alias("clean"), X.sanitize("html", True).alias("clean_aggressive"))
