@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,15 +15,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="rampart-")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set (tests)."""
+    """The shared folder the cluster names; a new one of this machine only where none is set and all
+    work is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    fallback = os.path.join(tempfile.gettempdir(), "rampart-checkpoints")
-    return fallback
+    return _own_folder()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -35,7 +40,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """For work that is heavy per row: a scan with fewer splits than the cluster has cores (one
-    file, one row group) is dealt out evenly first.  Larger inputs are left as they are."""
+    """For work that is heavy per row: a scan that would leave three quarters of the cores idle (one
+    file, one row group) is dealt out evenly first.  All other inputs are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
