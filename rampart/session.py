@@ -40,7 +40,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """For work that is heavy per row: a scan that would leave three quarters of the cores idle (one
+    """For work that is heavy per row: a scan that would leave half of the cores idle (one
     file, one row group) is dealt out evenly first.  All other inputs are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
