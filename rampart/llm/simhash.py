@@ -27,7 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rampart.llm import resemblance
 from rampart.llm.common import pieces, raw, small_batches, texts, written
+from rampart.llm.components import components
 
 SEED = 42
 #: Shingles hashed at a time, whatever the length of a text.
@@ -117,30 +119,6 @@ def links(fps: DataFrame, bits: int = 2, m: int = 7, paired: int = 64) -> DataFr
     return pairs.unionByName(ties).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id, root: for every vertex of `edges` (a, b) the smallest vertex it is connected to.
-
-    Large and small stars by turns until nothing changes: each round ties a vertex's larger
-    neighbours, then its smaller ones, to the smallest.  Every round is a written table and every
-    minimum is combined before its shuffle; the number of rounds is not limited."""
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    before = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        new = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        new = written(new.filter("u != v").distinct())
-        mark = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            return new.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(
-                new.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
-            )
-        now, before = new, mark
-
-
 def near_copies(docs: DataFrame, words: int = 3, bits: int = 2, m: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, one row per row of `docs`."""
     rows = written(fingerprints(docs, words, id_col, text_col))
@@ -152,25 +130,41 @@ def near_copies(docs: DataFrame, words: int = 3, bits: int = 2, m: int = 7, id_c
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3, bits: int = 2, m: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(
+    docs: DataFrame, words: int = 3, bits: int = 2, m: int = 7, shingle: int = 5, similarity: float = 0.8, paired: int = 32,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """The rows of `docs`, all columns, of which one of each class stays: the smallest id, a missing
-    one last, ties broken by the other columns.  Rows alone in their class are not moved."""
-
-    @F.arrow_udf("long")
-    def print_of(text: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t.as_py(), words) for t in text.cast(pa.binary())], pa.int64())
-
-    docs = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).cast("long").alias("_id"), print_of(F.col(text_col).cast("string")).alias("fp"))
-    docs = written(docs)  # texts are hashed once and read again, not hashed again
-    rows = written(docs.groupBy("fp").agg(F.count("*").alias("_n")))
-    roots = components(links(rows.select("fp"), bits, m))
-    classes = written(rows.join(roots, rows["fp"] == roots["id"], "left").select("fp", "_n", F.coalesce("root", "fp").alias("_root")))
-    several = classes.groupBy("_root").agg(F.sum("_n").alias("_all")).filter("_all > 1")
-    several = written(classes.join(several, "_root").select("fp", "_root"))
-    slot = F.pmod(F.xxhash64("fp"), F.lit(SLOTS)).cast("int").alias("_slot")
-    slots = F.broadcast(several.select(slot).distinct())  # at most SLOTS rows
-    docs = docs.withColumn("_slot", slot)
-    alone = docs.join(slots, "_slot", "left_anti").select("_doc")
-    order = F.struct(F.col("_id").isNull(), "_id", F.xxhash64("_doc"))
-    met = docs.join(slots, "_slot", "left_semi").join(several, "fp", "left").groupBy(F.coalesce("_root", "fp")).agg(F.min_by("_doc", order).alias("_doc"))
-    return alone.unionByName(met.select("_doc")).select("_doc.*")
+    one last, ties broken by the other columns.  Classes are the connected components of linked
+    fingerprints together with texts whose sets of `shingle` words reach `similarity`, which 64 bits
+    miss mostly.  Rows alone in their class are not moved."""
+
+    @F.arrow_udf("fp long, n long, bands array<long>")
+    def sketch_of(text: pa.Array) -> pa.Array:
+        found = [t.as_py() for t in text.cast(pa.binary())]
+        sketches = [resemblance.sketch(t, shingle) for t in found]
+        fps = pa.array([fingerprint(t, words) for t in found], pa.int64())
+        n = pa.array([k for k, _ in sketches], pa.int64())
+        return pa.StructArray.from_arrays([fps, n, pa.array([b for _, b in sketches], pa.list_(pa.int64()))], ["fp", "n", "bands"])
+
+    sketch_of = sketch_of.asNondeterministic()  # evaluated once a row
+    docs = small_batches(docs).select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).cast("long").alias("_id"),
+        F.monotonically_increasing_id().alias("_row"), sketch_of(F.col(text_col).cast("string")).alias("_s"),
+    )
+    docs = written(docs.select("_doc", "_id", "_row", F.xxhash64("_doc").alias("_tie"), "_s.*"))  # texts are hashed once and read again
+    rows = written(docs.groupBy("fp").agg(F.min("_row").alias("_first"), F.count("*").alias("_n")))
+    same = docs.select("fp", "_row").join(rows.filter("_n > 1"), "fp").filter("_row != _first").select(F.col("_row").alias("a"), F.col("_first").alias("b"))
+    first = rows.select("fp", "_first")
+    ties = links(rows.select("fp"), bits, m).join(first.toDF("a", "_a"), "a").join(first.toDF("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    alike = docs.select("_row", F.col(f"_doc.`{text_col}`").cast("string").alias("_text"), "n", "bands")
+    roots = components(resemblance.links(alike, ties.unionByName(same), shingle, similarity, paired))
+    members = docs.select("_id", "_row", "_tie").join(roots, F.col("_row") == F.col("id"))
+    order = F.struct(F.col("_id").isNull(), "_id", "_tie", "_row")
+    stays = members.groupBy("root").agg(F.min_by("_row", order).alias("_row")).select("_row")
+    goes = written(roots.select(F.col("id").alias("_row")).join(stays, "_row", "left_anti"))
+    slot = F.pmod(F.xxhash64("_row"), F.lit(SLOTS)).cast("int").alias("_slot")
+    slots = F.broadcast(goes.select(slot).distinct())  # at most SLOTS rows
+    docs = docs.select("_doc", "_row", slot)
+    kept = docs.join(slots, "_slot", "left_anti").select("_doc")
+    return kept.unionByName(docs.join(slots, "_slot", "left_semi").join(goes, "_row", "left_anti").select("_doc")).select("_doc.*")

@@ -69,6 +69,21 @@ def near_copies(rows: list[tuple], bits: int = 2) -> list[tuple]:
     return [(ids[k], f"{fps[k]:016x}", min((ids[x] for x in of[k] if ids[x] is not None), default=None)) for k in range(len(rows))]
 
 
+def shingle_set(text: str | None, words: int = 5) -> set:
+    found = (text or "").encode().lower().split()
+    return {tuple(found[i : i + words]) for i in range(max(len(found) - words + 1, 1))} if found else set()
+
+
+def resembling(rows: list[tuple], similarity: float = 0.8, bits: int = 2) -> dict:
+    """Position -> positions it is connected to by fingerprints or shingle sets."""
+    fps, sets = [fingerprint(t) for _, t in rows], [shingle_set(t) for _, t in rows]
+
+    def linked(x: int, y: int) -> bool:
+        return (fps[x] ^ fps[y]).bit_count() <= bits or len(sets[x] & sets[y]) >= similarity * len(sets[x] | sets[y]) > 0
+
+    return classes(rows, linked)
+
+
 def exact_copies(rows: list[tuple]) -> list[tuple]:
     low = [(i, (t or "").encode().lower()) for i, t in rows]
     groups = defaultdict(list)

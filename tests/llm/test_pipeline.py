@@ -1,4 +1,4 @@
-from collections import Counter, defaultdict
+from collections import Counter
 
 import brute
 
@@ -29,10 +29,8 @@ def test_stages_against_brute_force(spark, sample, sf):
                 last[t] = max(last.get(t, i), i)
             assert set(after) == set(last.values())
         if name == "near_copies":
-            classes = defaultdict(list)
-            for i, _, c in brute.near_copies([(i, r.text) for i, r in before.items()]):
-                classes[c].append(i)
-            assert set(after) == {min(ids) for ids in classes.values()}
+            rows = [(i, r.text) for i, r in before.items()]
+            assert set(after) == {min(rows[k][0] for k in group) for group in brute.resembling(rows).values()}
         if name == "mixing":
             assert 0.7 < sum(len(r.text.split()) for r in after.values()) / sum(len(r.text.split()) for r in before.values()) < 0.9
     rows = [(r.doc_id, r.text) for r in after.values()]
