@@ -90,22 +90,27 @@ def _alike(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) ->
     return pairs.join(x, "a").join(y, "b").filter(resemblance("_a", "_b") >= similarity).select("a", "b")
 
 
-def links(docs: DataFrame, known: DataFrame, words: int = 5, similarity: float = 0.8, paired: int = 32) -> DataFrame:
-    """a, b: ties of which the connected components are those of `known` and of all pairs that
-    resemble each other.  `docs` has _row, _text and from the sketch n and bands.  `paired`: bands
-    that more texts share are not paired up; what is connected stays the same."""
+def classes(docs: DataFrame, known: DataFrame, words: int = 5, similarity: float = 0.8, paired: int = 32) -> DataFrame:
+    """id, root: the connected components of `known` (a, b) together with all pairs that resemble
+    each other.  `docs` has _row, _text and from the sketch n and bands.  First a text of each band
+    is compared with the others; bands still apart are paired up, but for those that more than
+    `paired` texts share; what is connected stays the same."""
     keyed = docs.select("_row", "n", F.explode("bands").alias("key"))
     several = keyed.groupBy("key").agg(F.count("*").alias("_c")).filter("_c > 1").select("key")
-    left, ties, pivots = written(keyed.join(several, "key")), known.select("a", "b"), 1
+    left, ties, roots, pivots = written(keyed.join(several, "key")), known.select("a", "b"), None, 1
     while True:
-        roots = components(ties)
-        ties = roots.filter("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))
-        now = left.join(roots, left["_row"] == roots["id"], "left").select("key", "_row", "n", F.coalesce("root", "_row").alias("root"))
+        if roots is None:
+            now = left.withColumn("root", F.col("_row"))
+        else:
+            now = left.join(roots, left["_row"] == roots["id"], "left").select("key", "_row", "n", F.coalesce("root", "_row").alias("root"))
         apart = now.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi")
         now = written(now.join(apart.select("key", "c"), "key"))
-        if now.isEmpty():
-            return ties
+        most = now.agg(F.max("c")).first()[0]
+        if most is None:
+            return components(ties) if roots is None else roots
         few, many = now.filter(F.col("c") <= paired), now.filter(F.col("c") > paired)
+        if roots is None:
+            few, many = now.limit(0), now
         sizes = many.groupBy("root").agg(F.count("*").alias("_size"))
         rank = F.row_number().over(W.partitionBy("key").orderBy("_size", "_row"))  # small pieces first
         chosen = written(many.join(sizes, "root").withColumn("_rank", rank).filter(F.col("_rank") <= pivots).select("key", "_row", "n", "root"))
@@ -116,6 +121,9 @@ def links(docs: DataFrame, known: DataFrame, words: int = 5, similarity: float =
             pairs = some.join(others, "key").filter((F.col("root") != F.col("_r")) & near)
             met.append(pairs.select(F.least("_row", "_o").alias("a"), F.greatest("_row", "_o").alias("b")))
         pairs = written(met[0].unionByName(met[1]).distinct())
-        ties = written(ties.unionByName(_alike(docs, pairs, words, similarity)))
+        roots = components(ties.unionByName(_alike(docs, pairs, words, similarity)))
+        if pivots > 1 and most <= paired:
+            return roots
+        ties = roots.filter("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))
         left = written(many.select("key", "_row", "n").join(chosen.select("key", "_row"), ["key", "_row"], "left_anti"))
         pivots *= 16

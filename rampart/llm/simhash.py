@@ -158,7 +158,7 @@ def one_of_each(
     first = rows.select("fp", "_first")
     ties = links(rows.select("fp"), bits, m).join(first.toDF("a", "_a"), "a").join(first.toDF("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     alike = docs.select("_row", F.col(f"_doc.`{text_col}`").cast("string").alias("_text"), "n", "bands")
-    roots = components(resemblance.links(alike, ties.unionByName(same), shingle, similarity, paired))
+    roots = resemblance.classes(alike, ties.unionByName(same), shingle, similarity, paired)
     members = docs.select("_id", "_row", "_tie").join(roots, F.col("_row") == F.col("id"))
     order = F.struct(F.col("_id").isNull(), "_id", "_tie", "_row")
     stays = members.groupBy("root").agg(F.min_by("_row", order).alias("_row")).select("_row")
