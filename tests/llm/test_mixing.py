@@ -54,3 +54,19 @@ def test_no_python_on_the_main_path(spark, sample):
 def test_topics(spark):
     df = spark.createDataFrame([("a License", "legal"), ("x | y", "tabular"), ("me@home", "contact"), ("x|y", "prose"), ("", "prose")], "t string, w string")
     assert all(r.w == r.g for r in df.select("w", mixing.topic_of(F.col("t")).alias("g")).collect())
+
+
+def test_capped_raking_meets_what_can_be_reached(spark):
+    """Topic legal cannot reach its target at 0.8; sources and languages can, and cells not full make up for it."""
+    tokens = {("a", "en", "prose"): 60000, ("a", "de", "prose"): 20000, ("b", "en", "prose"): 9000, ("b", "de", "prose"): 7000, ("a", "en", "legal"): 500, ("b", "de", "legal"): 3500}
+    cells = spark.createDataFrame([(*k, n) for k, n in tokens.items()], "source string, lang string, topic string, _t long")
+    aims = {"source": {"a": 0.77, "b": 0.23}, "lang": {"en": 0.65, "de": 0.35}, "topic": {"legal": 0.1}}
+    rows = {(r.margin, r["value"]): r for r in mixing.expected(cells, 0.8, targets=aims, rounds=30, capped=True).collect()}
+    cut = {(r.margin, r["value"]): r for r in mixing.expected(cells, 0.8, targets=aims).collect()}
+    for k in (("source", "a"), ("source", "b"), ("lang", "en"), ("lang", "de")):
+        assert rows[k].sample == pytest.approx(rows[k].target, abs=1e-3)
+    assert abs(cut["source", "a"].sample - cut["source", "a"].target) > 0.005
+    assert rows["topic", "legal"].target == pytest.approx(0.1) and rows["topic", "legal"].sample == pytest.approx(0.05, abs=1e-3)  # 4 % / 0.8
+    table = mixing.chance(cells, 0.8, 30, 0.7, aims, True).collect()
+    assert sum(r.probability * tokens[r.source, r.lang, r.topic] for r in table) == pytest.approx(80000)
+    assert all(0 <= r.probability <= 1 for r in table)
