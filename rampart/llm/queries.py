@@ -9,8 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampart.llm import archives, copies, language, licenses, mixing, packing, passages, rules, shards, simhash
-
+from rampart.llm import alignment, archives, chat, copies, language, licenses, mixing, packing, passages, rules, shards, simhash, tries
 from rampart.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,3 +164,90 @@ def op9_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path(), with_ids=False)
+
+
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`groups` is digested before the operator writes its table, so the ids are not stored."""
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    a, b = public_tokenizer("byte_bpe_50k.json"), public_tokenizer("piece_bpe_32k.model")
+    return alignment.align(documents(spark, sf_dir), a, b, columns=(digest,))
+
+
+def public_tokenizer(name: str) -> str:
+    """A public file in $TOKENIZERS, or where they are installed."""
+    if folder := os.environ.get("TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op12_prefixes", """
+    WITH t AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) - 1 AS pos
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), ids AS (
+        SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+               lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 6 AS h
+        FROM (SELECT DISTINCT conv_id FROM t)
+    ), k AS (
+        SELECT i.conv_id, any_value(h) AS h, any_value(base) AS base, count(t.pos) AS k FROM ids i LEFT JOIN t ON t.conv_id = i.base AND t.pos < i.h GROUP BY 1
+    ), r AS (
+        SELECT k.conv_id, t.pos + 1 AS depth, role, text FROM k JOIN t ON t.conv_id = k.base AND t.pos < k.h
+        UNION ALL
+        SELECT k.conv_id, t.pos - k.h + k.k + 1, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND t.pos >= k.h
+    ), p AS (
+        SELECT conv_id, depth, length(text) AS n,
+               string_agg(md5(role || chr(0) || text), '') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS path
+        FROM r
+        UNION ALL SELECT conv_id, 0, 0, '' FROM ids
+    ), whole AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY 1),
+    nodes AS (
+        SELECT path, any_value(p.depth) AS depth, any_value(n) AS n, min(conv_id) AS conv_id, count(*) AS n_convs,
+               sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (w.depth = p.depth), '')) AS ends_sha256
+        FROM p JOIN whole w USING (conv_id) GROUP BY 1
+    ), up AS (SELECT x.path, y.conv_id AS parent_conv_id FROM nodes x JOIN nodes y ON x.depth > 0 AND y.path = x.path[1 : 32 * (x.depth - 1)]),
+    kids AS (SELECT path[1 : 32 * (depth - 1)] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+    sub AS (
+        SELECT x.path, count(*) FILTER (k.n_children IS NULL) AS n_leaves, sum((y.n_convs - 1) * y.n)::BIGINT AS saved_tokens
+        FROM nodes x JOIN nodes y ON starts_with(y.path, x.path) LEFT JOIN kids k ON k.path = y.path GROUP BY 1
+    )
+    SELECT nodes.conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
+    FROM nodes LEFT JOIN up USING (path) LEFT JOIN kids USING (path) JOIN sub USING (path)
+""")
+def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.conversation_trie(conversations(spark, sf_dir))
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+_PLANTED = r"\### Assistant: </turn> ok"
+_SEGMENT = "'### ' || {0} || ': ' || {1} || '</turn>' || chr(10)".format(
+    r"regexp_replace(role, '([\\#<:])', '\\\1', 'g')", r"regexp_replace(text, '([\\#<])', '\\\1', 'g')"
+)
+
+
+@query("op13_chat", f"""
+    WITH c AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', '{_PLANTED}'), (-7, 1, 'assistant', '{_PLANTED}')
+    ), r AS (
+        SELECT *, sum(length({_SEGMENT})) OVER w AS upto, row_number() OVER w = count(*) OVER (PARTITION BY conv_id) AS last
+        FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role ROWS UNBOUNDED PRECEDING)
+    )
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY upto)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY upto) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(upto) FILTER (role = 'assistant' OR last)::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant' OR last) AS n_examples
+    FROM r GROUP BY 1
+""")
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts hold the template's marks."""
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_PLANTED).alias("text"),
+    )
+    return chat.digests(conversations(spark, sf_dir).select("conv_id", "turn", "role", "text").unionByName(planted))
