@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +33,14 @@ from pyspark.sql import functions as F
 from rampart.llm.common import pieces, raw, texts, written
 
 #: Distinct chunks that a Python worker remembers; it forgets them all beyond that.
-REMEMBERED = 200_000
-#: Characters encoded in one call.
-BLOB = 1 << 16
+REMEMBERED = 600_000
+#: Characters encoded in one call: few, since a call's cost grows faster than they do.
+BLOB = 1 << 11
 #: The most frequent pairs, at most so many rows, are broadcast; all others are joined.
 FREQUENT = 1 << 16
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_WIDE = re.compile(r"\s\s|\A\s|\s\Z")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -57,6 +60,11 @@ def _whole(token: bytes) -> bool:
     return True
 
 
+def cut(text: str) -> list[str]:
+    """The chunks between single spaces that stand between other characters than white space."""
+    return _CUT.split(text) if _WIDE.search(text) else text.split(" ")
+
+
 def _in(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which of x are in y; y is sorted."""
     return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
@@ -101,13 +109,14 @@ class Aligner:
         self.text: list[str] = []
         self.sizes = np.zeros((0, 4), np.int64)  # A tokens, B tokens, groups, links
         self.links = np.zeros(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []  # of the chunks learned last
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids and ends in bytes of space + text as the libraries tell them; A's ends are characters' ends."""
         found = self.a.encode(" " + text, add_special_tokens=False)
         pieces_ = self.b.encode(text, return_type="proto").pieces
         data = (" " + text).encode()
-        ends = np.fromiter((e for _, e in found.offsets), np.int64, len(found))
+        ends = np.fromiter(map(itemgetter(1), found.offsets), np.int64, len(found))
         if len(data) > len(text) + 1:
             ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80), len(data))[ends]
         b, ends_b = (np.fromiter(x, np.int64, len(pieces_)) for x in ((p.id for p in pieces_), (p.end for p in pieces_)))
@@ -136,8 +145,7 @@ class Aligner:
         points = _merged(ends_a, ends_b)
         links = a[np.searchsorted(ends_a, points)] * len(self.sides[1].tokens) + b[np.searchsorted(ends_b, points)]
         upto = [np.searchsorted(e, stops) + 1 for e in (ends_a, ends_b, cuts, points)]
-        self.sizes = np.concatenate((self.sizes, np.diff(np.stack(upto, 1), axis=0, prepend=0)))
-        self.links = np.concatenate((self.links, links))
+        self.new.append((np.diff(np.stack(upto, 1), axis=0, prepend=0), links))
         # in a group A's ids stand before B's: each id moves behind those of the other side that come first
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
         line = np.empty(len(a) + len(b), np.int64)
@@ -179,15 +187,20 @@ class Aligner:
         """The chunk numbers of each text; none for a text without tokens."""
         if len(self.number) > REMEMBERED:
             self.forget()
-        cut = [_CUT.split(t) if t and self.chunked else [t] if t else [] for t in found]
-        new = {c for cs in cut for c in cs if c not in self.number}
-        if new:
-            self._learn(sorted(new))
-        out = [list(map(self.number.__getitem__, cs)) for cs in cut]
+        chunks = [cut(t) if t and self.chunked else [t] if t else [] for t in found]
+        out = [list(map(self.number.get, cs)) for cs in chunks]
+        open_ = [n for n, numbers in enumerate(out) if None in numbers]
+        if open_:
+            self._learn(list({c for n in open_ for c, k in zip(chunks[n], out[n]) if k is None}))
+            for n in open_:
+                out[n] = list(map(self.number.__getitem__, chunks[n]))
         for n, numbers in enumerate(out):
             if -1 in numbers:
                 whole = -1 if len(numbers) == 1 else self._learn_one(found[n])
                 out[n] = [] if whole < 0 else [whole]
+        if self.new:
+            sizes, links = zip(*self.new)
+            self.sizes, self.links, self.new = np.concatenate((self.sizes, *sizes)), np.concatenate((self.links, *links)), []
         return out
 
 
@@ -224,7 +237,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
             for part in pieces(batch, 256):
                 lists = with_.chunks([_text(t) for t in raw(part.column(1))])
                 rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-                numbers = np.array([n for x in lists for n in x], np.int64)
+                numbers = np.fromiter(chain.from_iterable(lists), np.int64, len(rows))
                 sizes = with_.sizes[numbers]
                 totals = np.zeros((len(lists), 4), np.int64)
                 np.add.at(totals, rows, sizes)
