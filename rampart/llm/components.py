@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rampart.llm.common import written
+from rampart.llm.common import discard, gathered, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,16 +14,17 @@ def components(edges: DataFrame) -> DataFrame:
     Large and small stars by turns until nothing changes: each round ties a vertex's larger
     neighbours, then its smaller ones, to the smallest.  Every round is a written table and every
     minimum is combined before its shuffle; the number of rounds is not limited."""
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    before = None
+    first = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
+    now, before = written(first), None
+    ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = gathered(now).select(ways.alias("_e")).select("_e.*")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        new = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        new = written(new.filter("u != v").distinct())
+        tied = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        new = written(large.join(least, "u").select(tied.alias("_e")).select("_e.*").filter("u != v").distinct())
+        discard(now)
         mark = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             return new.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rampart.llm.common import WORD, written
+from rampart.llm.common import WORD, gathered, written
 
 #: Topic -> expression that a text of it matches somewhere; the first match counts.
 TOPICS = {
@@ -67,13 +67,13 @@ def rake(cells: DataFrame, rounds: int, alpha: float, targets: dict[str, dict[st
     for margin in MARGINS:
         aim = _targets(cells, margin, alpha, targets.get(margin)).withColumnRenamed(margin, "_m")
         now = now.join(aim.withColumnRenamed("_aim", f"_aim_{margin}"), F.col(margin).eqNullSafe(F.col("_m")), "left").drop("_m")
-    now = written(now)
+    now = gathered(written(now))
     for i in range(rounds):
         for margin in MARGINS:
             have = F.sum("_w").over(W.partitionBy(margin))  # cells of a margin's value, not documents
             now = now.withColumn("_w", F.when(have > 0, F.col("_w") * F.col(f"_aim_{margin}") / have).otherwise(F.col("_w")))
         if i % 4 == 3:
-            now = written(now)
+            now = gathered(written(now))
     return now.select(*MARGINS, "_t", "_w")
 
 
@@ -110,6 +110,7 @@ def _fill(df: DataFrame, weight: str, cap: str, total: Column, keys: list[str])
 
 def reach(cells: DataFrame, share: float, rounds: int, alpha: float, targets: dict[str, dict[str | None, float]]) -> DataFrame:
     """Cells with tokens, and _w, their shares of a sample of `share` of all tokens that holds none twice."""
+    cells = gathered(cells)  # rounds on a few cells need no exchanges
     now = cells.filter("_t > 0").withColumn("_w", F.col("_t") / F.sum("_t").over(W.partitionBy()))  # a row per cell
     now = now.withColumn("_cap", F.col("_w") / float(share))
     for margin in MARGINS:
@@ -118,11 +119,12 @@ def reach(cells: DataFrame, share: float, rounds: int, alpha: float, targets: di
         most = now.groupBy(F.col(margin).alias("_m")).agg(F.sum("_cap").alias("_room"), F.first("_aim").alias("_goal"))
         most = most.withColumns({m: F.col("_m") for m in MARGINS})  # the order of ties
         most = _fill(most, "_goal", "_room", F.lit(1.0), []).select("_m", F.col("_goal").alias(f"_aim_{margin}"))
-        now = written(now.drop("_aim").join(most, F.col(margin).eqNullSafe(F.col("_m")), "left").drop("_m"))
+        now = gathered(written(now.drop("_aim").join(most, F.col(margin).eqNullSafe(F.col("_m")), "left").drop("_m")))
     for i in range(rounds):
         for margin in MARGINS:
             now = _fill(now, "_w", "_cap", F.col(f"_aim_{margin}"), [margin])
-        now = written(now)
+        if i % 2:
+            now = gathered(written(now))
     return _fill(now, "_w", "_cap", F.lit(1.0), []).select(*MARGINS, "_t", "_w", "_cap")
 
 

@@ -13,16 +13,18 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rampart.llm.common import FEW, texts, written
 from rampart.llm.common import pieces as slices
-from rampart.llm.common import texts, written
 
 #: Distinct chunks whose ids a Python worker remembers; it forgets them all beyond that.
 REMEMBERED = 200_000
@@ -130,25 +132,23 @@ def _cutter(path: str, end_id: int, longest: int, with_ids: bool) -> Callable[[I
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        tok, task, seen = tokenizer(path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for part in slices(batch):
-                doc, start, length, crc, total, ids = [], [], [], [], [], []
+                doc, start, length, crc, total, rank, ids = [], [], [], [], [], [], []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     row = (tok.ids(text) if text else b"") + end
                     n, at = len(row) // 4, 0
                     for size in binary_lengths(n, longest):
                         piece = row[4 * at : 4 * (at + size)]
                         doc.append(i), start.append(at), length.append(size)
-                        crc.append(zlib.crc32(piece)), total.append(n)
+                        crc.append(zlib.crc32(piece)), total.append(n), rank.append(seen[size])
+                        seen[size] += 1
                         if with_ids:
                             ids.append(np.frombuffer(piece, "<u4").astype("i4"))
                         at += size
-                columns = [
-                    pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                    pa.array(crc, pa.int64()), pa.array(total, pa.int64()),
-                ]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                columns = [pa.array(c, pa.int64()) for c in (doc, start, length, crc, total, np.full(len(doc), task), rank)]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_task", "_rank"]
                 if with_ids:
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
                     names.append("ids")
@@ -158,29 +158,26 @@ def _cutter(path: str, end_id: int, longest: int, with_ids: bool) -> Callable[[I
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = 2048, with_ids: bool = True,
-    buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = 2048, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and,
     `with_ids`, the ids.  `longest` is a power of two.
 
-    Sequence ids run through the lengths, longest first, without gaps: each length is dealt into
-    `buckets` (four times the shuffle partitions) by the piece's own hash, so a length with most of the pieces is many tasks, and the
-    buckets' counts (at most buckets x lengths rows) say where each of them starts."""
+    Equal lengths are a bucket: sequence ids run through the lengths, longest first, without gaps, and through the
+    input's partitions.  A task numbers its pieces of each length while it cuts them and writes them; how
+    many there are before a task's (a row for each task and length) is added when they are read, so no piece is shuffled."""
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
-    buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
-    cut = texts(docs, id_col, text_col).mapInArrow(_cutter(tokenizer_path, end_id, longest, with_ids), schema)
-    cut = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
-    inside = W.partitionBy("length", "_bucket").orderBy("doc_id", "start", "ids_crc32")
-    ranked = cut.withColumn("_rank", F.row_number().over(inside).cast("long"))
-    ranked = written(ranked)
-    counts = ranked.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    earlier = W.orderBy(F.desc("length"), "_bucket").rowsBetween(W.unboundedPreceding, -1)
-    bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _task long, _rank long" + (", ids array<int>" if with_ids else "")
+    cut = written(texts(docs, id_col, text_col).mapInArrow(_cutter(tokenizer_path, end_id, longest, with_ids), schema))
+    counts = cut.groupBy("length", "_task").agg(F.count("*").alias("_n"))
+    earlier = W.partitionBy("length").orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    longer = counts.groupBy("length").agg(F.sum("_n").alias("_m"))
+    longer = longer.select("length", F.coalesce(F.sum("_m").over(W.orderBy(F.desc("length")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_m"))  # a row per length
+    bases = written(counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).join(longer, "length").select("length", "_task", (F.col("_m") + F.col("_before")).alias("_base")))
+    if bases.count() <= FEW:
+        bases = F.broadcast(bases)  # else the optimizer decides
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    return ranked.join(F.broadcast(bases), ["length", "_bucket"]).select(  # at most buckets x lengths rows
-        *columns, (F.col("_base") + F.col("_rank") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
-        *(["ids"] if with_ids else []),
+    return cut.join(bases, ["length", "_task"]).select(
+        *columns, (F.col("_base") + F.col("_rank")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(["ids"] if with_ids else []),
     )

@@ -15,6 +15,8 @@ A text of fewer words is one shingle; a text without words, or null, resembles n
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rampart.llm.common import bitmap, discard, gathered, marked, written
 from rampart.llm.components import components
-from rampart.llm.common import written
 
 BANDS, ROWS = 24, 5
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -68,12 +70,13 @@ def sketch(text: bytes | None, words: int) -> tuple[int, np.ndarray]:
     return len(found), bands(found)
 
 
-def _alike(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) that reach the similarity.  Sets go along as four bytes a shingle."""
+def short_set(text: bytes | None, words: int) -> bytes:
+    """The shingles as sorted numbers of four bytes."""
+    return np.unique((shingles(text, words) >> np.uint64(32)).astype("<u4")).tobytes()
+
 
-    @F.arrow_udf("binary")
-    def set_of(text: pa.Array) -> pa.Array:
-        return pa.array([np.unique((shingles(t.as_py(), words) >> np.uint64(32)).astype("<u4")).tobytes() for t in text.cast(pa.binary())], pa.binary())
+def _alike(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that reach the similarity."""
 
     @F.arrow_udf("double")
     def resemblance(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -84,46 +87,80 @@ def _alike(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) ->
             out.append(both / max(len(p) + len(q) - both, 1))
         return pa.array(out, pa.float64())
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
-    sets = written(docs.select("_row", "_text").join(ids, "_row", "left_semi").select("_row", set_of("_text").alias("_set")))
     x, y = (sets.select(F.col("_row").alias(k), F.col("_set").alias(f"_{k}")) for k in "ab")
     return pairs.join(x, "a").join(y, "b").filter(resemblance("_a", "_b") >= similarity).select("a", "b")
 
 
-def classes(docs: DataFrame, known: DataFrame, words: int = 5, similarity: float = 0.8, paired: int = 32) -> DataFrame:
+def _shared(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """_row and alone: of the rows (_row, distinct), how many shingles no other of them has, if any."""
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(s.as_py(), "<u4") for s in batch.column(1)]
+            if found:
+                owner = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(found).astype(np.int64))], ["_row", "h"])
+
+    each = sets.join(rows, "_row", "left_semi").select("_row", "_set").mapInArrow(numbers, "_row long, h long")
+    once = each.groupBy("h").agg(F.count("*").alias("_c"), F.min("_row").alias("_row")).filter("_c = 1")
+    return once.groupBy("_row").agg(F.count("*").alias("alone"))
+
+
+def classes(sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], known: DataFrame, similarity: float = 0.8, paired: int = 32) -> DataFrame:
     """id, root: the connected components of `known` (a, b) together with all pairs that resemble
-    each other.  `docs` has _row, _text and from the sketch n and bands.  First a text of each band
-    is compared with the others; bands still apart are paired up, but for those that more than
-    `paired` texts share; what is connected stays the same."""
-    keyed = docs.select("_row", "n", F.explode("bands").alias("key"))
-    several = keyed.groupBy("key").agg(F.count("*").alias("_c")).filter("_c > 1").select("key")
-    left, ties, roots, pivots = written(keyed.join(several, "key")), known.select("a", "b"), None, 1
+    each other.  `sketches` has _row, n and bands; `sets_of` gives _row and _set of the rows (_row) it is asked for:
+    those that share a band, once.  First a text of each band is compared with the others; bands still apart
+    are paired up, but for those that more than `paired` texts share; what is connected stays the same.
+
+    Before that, the shingles that no other text still apart has are counted: two texts cannot share them, so a text with
+    too many resembles none, and pairs whose other shingles cannot suffice are not compared."""
+    keyed = sketches.select("_row", "n", F.explode("bands").alias("key"))
+    several = written(keyed.groupBy("key").agg(F.count("*").alias("_c")).filter("_c > 1").select("key"))
+    left = written(marked(keyed, "key", bitmap(several, "key")).filter("_in").drop("_in").join(several, "key").withColumn("s", F.col("n")))
+    sets = sets_of(left.select("_row").distinct())
+    ties, roots, pivots, used = known.select("a", "b"), None, 1, [several, sets]
     while True:
         if roots is None:
             now = left.withColumn("root", F.col("_row"))
         else:
-            now = left.join(roots, left["_row"] == roots["id"], "left").select("key", "_row", "n", F.coalesce("root", "_row").alias("root"))
+            now = left.join(roots, left["_row"] == roots["id"], "left").select("key", "_row", "n", "s", F.coalesce("root", "_row").alias("root"))
         apart = now.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi")
         now = written(now.join(apart.select("key", "c"), "key"))
+        used += [left, now]
         most = now.agg(F.max("c")).first()[0]
         if most is None:
-            return components(ties) if roots is None else roots
+            roots = roots or components(ties)
+            break
+        for _ in range(0 if roots is None else 2):  # texts that go leave more shingles to one text alone
+            alone = _shared(sets, now.select("_row").distinct())
+            now = now.join(alone, "_row", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+            now = written(now.filter(F.col("s") >= similarity * F.col("n") - 1e-6))
+            used.append(now)
+        now = gathered(now)
         few, many = now.filter(F.col("c") <= paired), now.filter(F.col("c") > paired)
         if roots is None:
-            few, many = now.limit(0), now
-        sizes = many.groupBy("root").agg(F.count("*").alias("_size"))
-        rank = F.row_number().over(W.partitionBy("key").orderBy("_size", "_row"))  # small pieces first
-        chosen = written(many.join(sizes, "root").withColumn("_rank", rank).filter(F.col("_rank") <= pivots).select("key", "_row", "n", "root"))
-        met = []
+            few, many = None, now
+        # at first the texts whose bands most others share, which near copies of one text resemble; later small pieces
+        sizes = many.groupBy("root").agg(F.sum("c").alias("_size"))
+        rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("_size") if few is None else F.col("_size"), "_row"))
+        chosen = written(many.join(sizes, "root").withColumn("_rank", rank).filter(F.col("_rank") <= pivots).select("key", "_row", "n", "s", "root"))
+        used.append(chosen)
+        met = None
         for some, others in ((few, few), (chosen, many)):
-            others = others.select("key", F.col("_row").alias("_o"), F.col("n").alias("_n"), F.col("root").alias("_r"))
-            near = F.least("n", "_n") >= similarity * F.greatest("n", "_n")
+            if some is None:
+                continue
+            others = others.select("key", F.col("_row").alias("_o"), F.col("n").alias("_n"), F.col("s").alias("_s"), F.col("root").alias("_r"))
+            near = (F.least("n", "_n") >= similarity * F.greatest("n", "_n")) & ((1 + similarity) * F.least("s", "_s") >= similarity * (F.col("n") + F.col("_n")) - 1e-6)
             pairs = some.join(others, "key").filter((F.col("root") != F.col("_r")) & near)
-            met.append(pairs.select(F.least("_row", "_o").alias("a"), F.greatest("_row", "_o").alias("b")))
-        pairs = written(met[0].unionByName(met[1]).distinct())
-        roots = components(ties.unionByName(_alike(docs, pairs, words, similarity)))
+            pairs = pairs.select(F.least("_row", "_o").alias("a"), F.greatest("_row", "_o").alias("b"))
+            met = pairs if met is None else met.unionByName(pairs)
+        pairs = written(met.distinct())
+        roots = components(ties.unionByName(_alike(sets, pairs, similarity)))
+        used.append(pairs)
         if pivots > 1 and most <= paired:
-            return roots
+            break
         ties = roots.filter("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))
-        left = written(many.select("key", "_row", "n").join(chosen.select("key", "_row"), ["key", "_row"], "left_anti"))
+        left = written(many.select("key", "_row", "n", "s").join(chosen.select("key", "_row"), ["key", "_row"], "left_anti"))
         pivots *= 16
+    discard(*used)
+    return roots

@@ -28,14 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rampart.llm import resemblance
-from rampart.llm.common import pieces, raw, small_batches, texts, written
+from rampart.llm.common import ascii_lower, bitmap, discard, marked, pieces, raw, small_batches, texts, written
 from rampart.llm.components import components
 
 SEED = 42
 #: Shingles hashed at a time, whatever the length of a text.
 CHUNK = 1 << 16
-#: Slots of the filter that finds rows with a near copy: at most so many numbers are broadcast.
-SLOTS = 1 << 20
 _BITS_OF = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 
@@ -137,7 +135,10 @@ def one_of_each(
     """The rows of `docs`, all columns, of which one of each class stays: the smallest id, a missing
     one last, ties broken by the other columns.  Classes are the connected components of linked
     fingerprints together with texts whose sets of `shingle` words reach `similarity`, which 64 bits
-    miss mostly.  Rows alone in their class are not moved."""
+    miss mostly; that part is not the dealt method (`resemblance`).
+
+    Texts are known by 128 bits of hash; no text is stored or moved but those of rows that have, or share a slot of a
+    bounded bitmap with rows that have, company in their class."""
 
     @F.arrow_udf("fp long, n long, bands array<long>")
     def sketch_of(text: pa.Array) -> pa.Array:
@@ -148,23 +149,46 @@ def one_of_each(
         return pa.StructArray.from_arrays([fps, n, pa.array([b for _, b in sketches], pa.list_(pa.int64()))], ["fp", "n", "bands"])
 
     sketch_of = sketch_of.asNondeterministic()  # evaluated once a row
-    docs = small_batches(docs).select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).cast("long").alias("_id"),
-        F.monotonically_increasing_id().alias("_row"), sketch_of(F.col(text_col).cast("string")).alias("_s"),
-    )
-    docs = written(docs.select("_doc", "_id", "_row", F.xxhash64("_doc").alias("_tie"), "_s.*"))  # texts are hashed once and read again
-    rows = written(docs.groupBy("fp").agg(F.min("_row").alias("_first"), F.count("*").alias("_n")))
-    same = docs.select("fp", "_row").join(rows.filter("_n > 1"), "fp").filter("_row != _first").select(F.col("_row").alias("a"), F.col("_first").alias("b"))
-    first = rows.select("fp", "_first")
-    ties = links(rows.select("fp"), bits, m).join(first.toDF("a", "_a"), "a").join(first.toDF("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    alike = docs.select("_row", F.col(f"_doc.`{text_col}`").cast("string").alias("_text"), "n", "bands")
-    roots = resemblance.classes(alike, ties.unionByName(same), shingle, similarity, paired)
-    members = docs.select("_id", "_row", "_tie").join(roots, F.col("_row") == F.col("id"))
-    order = F.struct(F.col("_id").isNull(), "_id", "_tie", "_row")
-    stays = members.groupBy("root").agg(F.min_by("_row", order).alias("_row")).select("_row")
-    goes = written(roots.select(F.col("id").alias("_row")).join(stays, "_row", "left_anti"))
-    slot = F.pmod(F.xxhash64("_row"), F.lit(SLOTS)).cast("int").alias("_slot")
-    slots = F.broadcast(goes.select(slot).distinct())  # at most SLOTS rows
-    docs = docs.select("_doc", "_row", slot)
-    kept = docs.join(slots, "_slot", "left_anti").select("_doc")
-    return kept.unionByName(docs.join(slots, "_slot", "left_semi").join(goes, "_row", "left_anti").select("_doc")).select("_doc.*")
+    text = F.col(text_col).cast("string")
+    norm = ascii_lower(F.coalesce(text, F.lit("")))
+    key = [F.xxhash64(F.lit(i), norm).alias(f"_k{i}") for i in (1, 2)]  # 128 bits of the text
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    number = F.col(id_col).cast("long").alias("_id")
+    order = F.struct(F.col("_id").isNull(), "_id", "_tie")  # which row of a class stays
+
+    # a row per text, without the text; of it, the row that would stay
+    rows = small_batches(docs).select(*key, number, F.xxhash64(whole).alias("_tie"), sketch_of(text).alias("_s"))
+    rows = rows.groupBy("_k1", "_k2").agg(F.min(order).alias("_best"), F.count("*").alias("_rows"), F.first("_s").alias("_s"))
+    rows = written(rows.select("_k1", "_k2", "_best", "_rows", "_s.*", F.monotonically_increasing_id().alias("_row")))
+    fps = written(rows.groupBy("fp").agg(F.min("_row").alias("_first"), F.count("*").alias("_n")))
+    same = rows.select("fp", "_row").join(fps.filter("_n > 1"), "fp").filter("_row != _first").select(F.col("_row").alias("a"), F.col("_first").alias("b"))
+    first = fps.select("fp", "_first")
+    ties = links(fps.select("fp"), bits, m).join(first.toDF("a", "_a"), "a").join(first.toDF("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    ties = written(ties.unionByName(same))
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        """Only sets of texts that are asked for, or share a bitmap's slot with one, are made and moved."""
+
+        @F.arrow_udf("binary")
+        def set_of(text: pa.Array) -> pa.Array:
+            return pa.array([resemblance.short_set(t.as_py(), shingle) for t in text.cast(pa.binary())], pa.binary())
+
+        asked = written(rows.select("_k1", "_k2", "_row").join(asked, "_row"))
+        found = marked(small_batches(docs).select(*key, text.alias("_text")), "_k1", bitmap(asked, "_k1")).filter("_in")
+        found = found.select("_k1", "_k2", set_of("_text").alias("_set")).groupBy("_k1", "_k2").agg(F.first("_set").alias("_set"))
+        sets = written(found.join(asked, ["_k1", "_k2"]).select("_row", "_set"))
+        discard(asked)
+        return sets
+
+    roots = resemblance.classes(rows.select("_row", "n", "bands"), sets_of, ties, similarity, paired)
+    members = rows.select("_k1", "_k2", "_row", "_best").join(roots, F.col("_row") == F.col("id"))
+    stays = members.groupBy("root").agg(F.min_by("_row", F.struct("_best", "_row")).alias("_row")).select("_row", F.lit(True).alias("_stays"))
+    classed = members.select("_k1", "_k2", "_row").join(stays, "_row", "left").select("_k1", "_k2", F.coalesce("_stays", F.lit(False)).alias("_stays"))
+    repeated = rows.filter("_rows > 1").select("_k1", "_k2", F.lit(True).alias("_stays"))
+    special = written(classed.unionByName(repeated).groupBy("_k1", "_k2").agg(F.min("_stays").alias("_stays")))
+    discard(rows, fps, ties)
+    bits_ = written(bitmap(special, "_k1"))
+    docs = marked(docs.select(whole, *key, number, F.xxhash64(whole).alias("_tie")), "_k1", bits_)
+    met = docs.filter("_in").groupBy("_k1", "_k2").agg(F.min_by("_doc", order).alias("_doc"))  # of equal texts one row
+    met = met.join(special, ["_k1", "_k2"], "left").filter(F.coalesce("_stays", F.lit(True))).select("_doc")
+    return docs.filter("not _in").select("_doc").unionByName(met).select("_doc.*")

@@ -34,3 +34,14 @@ def test_longest_must_be_a_power_of_two(spark):
     with pytest.raises(ValueError):
         packing.pack(brute.empty(spark), queries.tokenizer_path(), longest=1000)
     assert packing.binary_lengths(4096 + 13, 2048) == [2048, 2048, 8, 4, 1]
+
+
+def test_numbers_do_not_depend_on_the_shuffle(spark, sample):
+    """Repeated rows without an id and an equal text are numbered by every task that holds some."""
+    df = sample.select("doc_id", "text").unionByName(spark.range(300, numPartitions=4).selectExpr("cast(null as long) as doc_id", "'one two three' as text"))
+    kept, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in ("3", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted(map(str, packing.pack(df, queries.tokenizer_path(), with_ids=False).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert found[0] == found[1] and len(set(found[0])) == len(found[0])
