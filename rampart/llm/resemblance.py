@@ -149,12 +149,15 @@ def classes(sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], know
         for some, others in ((few, few), (chosen, many)):
             if some is None:
                 continue
-            others = others.select("key", F.col("_row").alias("_o"), F.col("n").alias("_n"), F.col("s").alias("_s"), F.col("root").alias("_r"))
+            some = some.join(some.groupBy("_row").agg(F.collect_set("key").alias("_keys")), "_row")  # at most BANDS of each
+            others = others.join(others.groupBy("_row").agg(F.collect_set("key").alias("_others")), "_row")
+            others = others.select("key", "_others", F.col("_row").alias("_o"), F.col("n").alias("_n"), F.col("s").alias("_s"), F.col("root").alias("_r"))
             near = (F.least("n", "_n") >= similarity * F.greatest("n", "_n")) & ((1 + similarity) * F.least("s", "_s") >= similarity * (F.col("n") + F.col("_n")) - 1e-6)
-            pairs = some.join(others, "key").filter((F.col("root") != F.col("_r")) & near)
+            once = F.col("key") == F.array_min(F.array_intersect("_keys", "_others"))  # a pair meets in one of its bands only
+            pairs = some.join(others, "key").filter((F.col("root") != F.col("_r")) & near & once)
             pairs = pairs.select(F.least("_row", "_o").alias("a"), F.greatest("_row", "_o").alias("b"))
             met = pairs if met is None else met.unionByName(pairs)
-        pairs = written(met.distinct())
+        pairs = written(met.distinct())  # chosen texts meet one another twice
         roots = components(ties.unionByName(_alike(sets, pairs, similarity)))
         used.append(pairs)
         if pivots > 1 and most <= paired:
