@@ -3,8 +3,10 @@
 Texts lose everything but letters, digits and characters beyond ASCII, A-Z lower-cased; what
 remains are words.  Every rolling k-gram of words is looked up among the templates' k-grams; the
 hits are joined to the template positions that hold the gram.  Position in the text minus position
-in the template is a hit's diagonal.  Hits vote for diagonals, neighbouring diagonals (words put
-in or left out) merge, and a merged span counts if enough of the template's grams are in it.
+in the template is a hit's diagonal.  Hits vote for diagonals; each diagonal and its neighbours
+(words put in or left out) up to half a notice away make a window, and a window counts if enough of
+the template's grams are in it.  Of overlapping windows the one whose own diagonal has most votes
+stays, so stray pieces of a notice near a whole one neither hide nor stretch it.
 
 Phrases (k = 2) must be there word by word.  Notices (k = 4) may differ a little.
 
@@ -120,16 +122,19 @@ def scan_licenses(
     )
     along = W.partitionBy("_row", "template").orderBy("diagonal")
     apart = (F.col("diagonal") - F.lag("diagonal").over(along) > SHIFT) | F.col("is_phrase")
-    spans = votes.withColumn("span", F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(along)).groupBy(*key, "span").agg(
-        F.bit_or("held").alias("held"), F.min("first").alias("first_word"), F.max("last").alias("last_word")
-    )
+    chains = votes.withColumn("chain", F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(along))
+    # diagonals of a chain up to half a notice away: a span is never longer than two notices
+    near = W.partitionBy("_row", "template", "chain").orderBy(F.expr(f"diagonal * 1000 div (grams + {NOTICE_K})")).rangeBetween(-500, 500)
+    windows = chains.withColumns({
+        "all": F.bit_or("held").over(near), "first_word": F.min("first").over(near), "last_word": F.max("last").over(near),
+    }).withColumn("coverage", F.bit_count("all") / F.col("grams"))
+    windows = windows.filter(F.col("coverage") >= F.when(F.col("is_phrase"), 1.0).otherwise(ENOUGH))
+    best = F.struct(F.bit_count("held"), "coverage", -F.col("diagonal"))  # of windows that overlap
     k = F.when(F.col("is_phrase"), PHRASE_K).otherwise(NOTICE_K)
-    spans = spans.withColumn("coverage", F.bit_count("held") / F.col("grams")).withColumn("last_word", F.col("last_word") + k - 1)
-    length = F.col("last_word") - F.col("first_word") + 1
-    kept = F.when(F.col("is_phrase"), F.col("coverage") == 1)
-    kept = kept.otherwise((F.col("coverage") >= ENOUGH) & (length <= 2 * (F.col("grams") + NOTICE_K)))
+    spans = windows.withColumn("_best", F.max(best).over(near) == best).filter("_best")
+    spans = spans.withColumn("last_word", F.col("last_word") + k - 1)
     rows = scanned.select("_row", "doc_id", "n_words")
-    return rows, spans.filter(kept).select("_row", "template", "label", "is_phrase", "first_word", "last_word", "coverage")
+    return rows, spans.select("_row", "template", "label", "is_phrase", "first_word", "last_word", "coverage")
 
 
 def licenses(docs: DataFrame, **options) -> DataFrame:

@@ -51,3 +51,17 @@ def test_spans_give_their_place(spark):
     _, spans = licenses.scan_licenses(spark.createDataFrame(LICENSE_ROWS[2:3], brute.SCHEMA))
     span, = spans.collect()
     assert (span.first_word, span.last_word) == (40, 68)
+
+
+def test_pieces_of_a_notice_beside_a_whole_one(spark):
+    """They neither hide it nor stretch it over the length of two notices; each whole one has its span."""
+    mit = next(n for n, label in licenses.NOTICES.items() if label == "mit")
+    n, tail = len(mit.split()), " " + " ".join(mit.split()[-4:])
+    made = [mit + tail * 40, tail * 40 + " " + mit, (mit + " ") * 3, tail * 40, mit + tail * 40 + " x" * 20 + " " + mit, mit]
+    rows, spans = licenses.scan_licenses(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"))
+    found = {i: [] for i in range(len(made))}
+    for r in rows.join(spans, "_row").collect():
+        found[r.doc_id].append(r)
+    assert [len(found[i]) for i in range(len(made))] == [1, 1, 3, 0, 2, 1]
+    assert all(r.label == "mit" and r.coverage == 1 and r.last_word - r.first_word < 2 * n for rs in found.values() for r in rs)
+    assert [r.score for r in licenses.licenses(spark.createDataFrame([(1, made[0])], "doc_id long, text string")).collect()] == [1.0]
