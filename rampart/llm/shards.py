@@ -1,8 +1,9 @@
 """Sharding by vector bin packing.
 
 Documents with equal texts form a group.  Groups become lots: a group of more than one lot's
-share is dealt into pieces, small groups share a lot by their hash.  The lots, a bounded number,
-are placed largest first into the shard where the dot product of the lot (bytes, tokens, rows)
+share is dealt into pieces, small groups share a lot by their hash.  Rows of a large group that are
+alike in their id too (repeated rows, rows without an id) are numbered, and dealt out in turn.  The
+lots, a bounded number, are placed largest first into the shard where the dot product of the lot (bytes, tokens, rows)
 with the shard's residual capacity is highest.
 
 Null text has no bytes and no words.  Rows without an id and repeated rows are placed like any
@@ -20,6 +21,8 @@ from rampart.llm.common import WORD, texts, written
 
 #: Bytes that every document costs beside its text.
 OVERHEAD = 16
+#: Rows alike in id and text are dealt out in turn if together they have over one such part of a lot's share.
+PART = 8
 
 
 def place(lots: np.ndarray, shards: int, weights: tuple[float, ...]) -> np.ndarray:
@@ -58,9 +61,24 @@ def shard(
     total = rows.agg(F.sum("size").alias("_total"))
     pieces = F.ceil(F.col("_bytes") * n_lots / F.col("_total")).cast("long")
     large = groups.join(F.broadcast(total)).select("_group", pieces.alias("_pieces")).filter("_pieces > 1")  # fewer than n_lots groups
-    lot = F.when(F.col("_pieces").isNull(), F.struct(F.pmod("_group", F.lit(n_lots)).alias("a"), F.lit(-1).cast("long").alias("b")))
-    lot = lot.otherwise(F.struct(F.col("_group").alias("a"), F.pmod(F.xxhash64("doc_id"), F.col("_pieces")).alias("b")))
-    rows = rows.join(F.broadcast(large), "_group", "left").withColumn("_lot", lot).select("*", "_lot.a", "_lot.b").drop("_lot", "_pieces", "_group")
+    alike = ["_group", "doc_id", "size", "tokens", "text_crc32"]
+    repeated = rows.join(F.broadcast(large), "_group").groupBy(*alike, "_pieces").agg(F.count("*").alias("_n"))
+    repeated = repeated.join(F.broadcast(total)).filter(F.col("_n") > 1).filter(F.col("_n") * F.col("size") * (PART * n_lots) > F.col("_total"))
+    repeated = written(repeated.select(*alike, "_pieces", "_n"))  # fewer than PART * n_lots rows
+    same = F.lit(True)
+    for c in alike:
+        same = same & rows[c].eqNullSafe(repeated[c])
+    single = rows.join(F.broadcast(repeated), same, "left_anti").join(F.broadcast(large), "_group", "left").withColumn("_turn", F.lit(0).cast("long"))
+    # what is alike is made again from its count, in blocks, so no task numbers all of it
+    blocks = repeated.select("*", F.explode(F.expr("sequence(0L, (_n - 1) div 4096)")).alias("_block")).repartition(*alike, "_block")
+    turns = blocks.select(*alike, "_pieces", F.explode(F.expr("sequence(_block * 4096, least(_block * 4096 + 4095, _n - 1))")).alias("_turn"))
+    rows = single.unionByName(turns)
+    piece = F.pmod(F.pmod(F.xxhash64("doc_id"), F.col("_pieces")) + F.col("_turn"), F.col("_pieces"))
+    small = F.col("_pieces").isNull()
+    rows = rows.select(
+        "doc_id", "size", "tokens", "text_crc32", F.when(small, F.pmod("_group", F.lit(n_lots))).otherwise(F.col("_group")).alias("a"),
+        F.when(small, F.lit(-1).cast("long")).otherwise(piece).alias("b"),
+    )
     sums = rows.groupBy("a", "b").agg(F.sum("size").alias("x"), F.sum("tokens").alias("y"), F.count("*").alias("z"))
     lots = sums.orderBy("a", "b").toPandas()  # at most 3 * n_lots rows
     lots["shard"] = place(lots[["x", "y", "z"]].to_numpy(np.float64), shards, weights)
