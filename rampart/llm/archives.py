@@ -6,9 +6,10 @@ own, and an index with offset and length of every record.  Records of an equal p
 revisits of one response.
 
 Reading: the end record, the ZIP64 locator and directory and the central directory give the stored
-members; an index member gives the records; ranges of a few megabytes are dealt out and read from
-the archive where they are, without extraction.  Members that are not stored cannot be read so and
-raise an error.  A WARC member without an index is read as one range.
+members; index members give the records (JSON or CDXJ lines, plain or compressed, of any number of
+WARC members); ranges of a few megabytes are dealt out and read from the archive where they are,
+without extraction.  Members that are not stored cannot be read so and raise an error.  A WARC
+member that no index entry names is read as one range.
 
 Files are opened by URI through pyarrow's file systems, in any folder that executors share.  File
 names carry the task attempt, and only archives that a finished attempt reports are read, so lost
@@ -26,9 +27,11 @@ import re
 import struct
 import zipfile
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -44,6 +47,7 @@ ARCHIVE_BYTES, RANGE_BYTES = 64 << 20, 4 << 20
 DATE = "2026-01-01T00:00:00Z"
 
 _BREAKING = re.compile(r"[\x00-\x20\x7f]")
+_PAGE, _SHA256 = re.compile(r"<urn:x-page:(-?[0-9]+)>"), re.compile(r"sha256:[0-9a-f]{64}")
 _END, _LOCATOR, _END64, _ENTRY, _LOCAL = b"PK\x05\x06", b"PK\x06\x07", b"PK\x06\x06", b"PK\x01\x02", b"PK\x03\x04"
 _MAX32, _MAX16 = 0xFFFFFFFF, 0xFFFF
 
@@ -62,8 +66,8 @@ def _urn(page_id: int | None) -> str:
 
 
 def _page(urn: str) -> int | None:
-    number = urn.removeprefix("<urn:x-page:").removesuffix(">")
-    return int(number) if number else None
+    found = _PAGE.fullmatch(urn)
+    return int(found[1]) if found else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, first: int | None) -> bytes:
@@ -87,21 +91,28 @@ def _headers(block: bytes) -> dict[str, str]:
 
 def parse(data: bytes) -> dict:
     """One record: page_id, record_type, refers_to, url, payload (null for revisits), payload_bytes
-    and payload_digest of the whole payload."""
+    and payload_digest of the whole payload.
+
+    Records of other writers: an id that is no page's is null; what is not an HTTP message is all
+    payload; only SHA-256 digests are compared, and a revisit's digest is given as it stands."""
     head, _, rest = data.partition(b"\r\n\r\n")
     if not head.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
     warc = _headers(head)
     block = rest[: int(warc["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
+    http, payload = b"", block
+    if warc.get("content-type", "").startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
     out = {"page_id": _page(warc["warc-record-id"]), "record_type": warc["warc-type"], "refers_to": None, "url": warc.get("warc-target-uri")}
+    stated = warc.get("warc-payload-digest", "")
     if out["record_type"] == "revisit":
+        size = _headers(http).get("content-length")
         return out | {
-            "refers_to": _page(warc["warc-refers-to"]), "payload": None, "payload_bytes": int(_headers(http)["content-length"]),
-            "payload_digest": warc["warc-payload-digest"].removeprefix("sha256:"),
+            "refers_to": _page(warc.get("warc-refers-to", "")), "payload": None, "payload_bytes": None if size is None else int(size),
+            "payload_digest": stated.removeprefix("sha256:") or None,
         }
     digest = hashlib.sha256(payload).hexdigest()
-    if warc["warc-payload-digest"] != f"sha256:{digest}":
+    if _SHA256.fullmatch(stated) and stated != f"sha256:{digest}":
         raise ValueError(f"the payload of {warc['warc-record-id']} does not have its digest")
     return out | {"payload": payload, "payload_bytes": len(payload), "payload_digest": digest}
 
@@ -191,34 +202,78 @@ def members(file: pa.NativeFile) -> dict[str, tuple[int, int]]:
     return out
 
 
+def index_lines(file: pa.NativeFile, name: str, offset: int, length: int) -> Iterator[dict]:
+    """The entries of an index member, read in blocks: JSON lines, or CDXJ lines (key, time, JSON);
+    compressed if the name ends with .gz.  Lines that begin with ! are remarks."""
+    z, rest = zlib.decompressobj(31) if name.endswith(".gz") else None, b""
+    for at in range(offset, offset + length, RANGE_BYTES):
+        data = file.read_at(min(RANGE_BYTES, offset + length - at), at)
+        if z is not None:
+            parts = []
+            while data:  # an index may be several gzip members
+                parts.append(z.decompress(data))
+                data = z.unused_data
+                if z.eof:
+                    z = zlib.decompressobj(31)
+            data = b"".join(parts)
+        *lines, rest = (rest + data).split(b"\n")
+        yield from (_entry(x) for x in lines if x.strip() and not x.startswith(b"!"))
+    if rest.strip() and not rest.startswith(b"!"):
+        yield _entry(rest)
+
+
+def _entry(line: bytes) -> dict:
+    text = line.decode().strip()
+    return json.loads(text if text.startswith("{") else text.split(" ", 2)[2])
+
+
 def ranges(uri: str, size: int = RANGE_BYTES) -> Iterator[tuple[str, int, int]]:
-    """(uri, offset, length) of runs of whole records of about `size` bytes."""
+    """(uri, offset, length) of runs of whole records of about `size` bytes.  An index entry names
+    its WARC member by `filename`; without a name there must be only one.  A member that no entry
+    names is one range."""
     files, path = open_fs(uri)
     with files.open_input_file(path) as file:
         found = members(file)
-        index = sorted(n for n in found if n.startswith("indexes/"))
-        for name, (base, length) in sorted(found.items()):
-            if not name.startswith("archive/"):
+        data = sorted(n for n in found if n.startswith("archive/"))
+        entries: dict[str, tuple[array, array]] = {n: (array("q"), array("q")) for n in data}
+        for i in sorted(n for n in found if n.startswith("indexes/") and not n.endswith(".idx")):
+            for x in index_lines(file, i, *found[i]):
+                name = x.get("filename")
+                if name is None and len(data) != 1:
+                    raise ValueError(f"{i} does not say which of {len(data)} members a record is in")
+                name = data[0] if name is None else "archive/" + name.removeprefix("archive/")
+                if name not in entries:
+                    raise ValueError(f"{i} names {name}, which the archive does not hold")
+                entries[name][0].append(int(x["offset"]))
+                entries[name][1].append(int(x["length"]))
+        for name in data:
+            base, whole = found[name]
+            offsets, lengths = (np.array(c, np.int64) for c in entries[name])
+            if not len(offsets):
+                if whole:
+                    yield uri, base, whole
                 continue
-            if not index:
-                yield uri, base, length
-                continue
-            lines = (json.loads(x) for i in index for x in file.read_at(found[i][1], found[i][0]).decode().splitlines())
+            offsets, first = np.unique(offsets, return_index=True)  # an index is sorted by key, and may list a record twice
             start = stop = 0
-            for x in lines:
-                if x["offset"] != stop or stop - start >= size:
+            for at, n in zip(offsets.tolist(), lengths[first].tolist()):
+                if at < 0 or n <= 0 or at + n > whole:
+                    raise ValueError(f"the index names bytes beyond {name}")
+                if at != stop or stop - start >= size:
                     if stop > start:
                         yield uri, base + start, stop - start
-                    start = x["offset"]
-                stop = x["offset"] + x["length"]
+                    start = at
+                stop = at + n
             if stop > start:
                 yield uri, base + start, stop - start
 
 
 def records(uri: str, offset: int, length: int) -> Iterator[dict]:
-    """The records of a range, one gzip member at a time."""
+    """The records of a range, one at a time; each a gzip member, or all of them plain."""
     files, path = open_fs(uri)
     with files.open_input_file(path) as file:
+        if file.read_at(min(5, length), offset) == b"WARC/":
+            yield from _plain_records(file, offset, length)
+            return
         file.seek(offset)
         left, rest, z, out = length, b"", zlib.decompressobj(31), []
         while left or rest:
@@ -236,6 +291,23 @@ def records(uri: str, offset: int, length: int) -> Iterator[dict]:
             raise ValueError("the range ends within a record")
 
 
+def _plain_records(file: pa.NativeFile, at: int, length: int) -> Iterator[dict]:
+    end = at + length
+    while at < end:
+        head = b""
+        while b"\r\n\r\n" not in head:
+            more = file.read_at(min(1 << 12, end - at - len(head)), at + len(head))
+            if not more:
+                raise ValueError("the range ends within a record")
+            head += more
+        head = head[: head.index(b"\r\n\r\n") + 4]
+        n = len(head) + int(_headers(head)["content-length"])
+        if at + n > end:
+            raise ValueError("the range ends within a record")
+        yield parse(file.read_at(n, at))
+        at += n + 4
+
+
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes the records of `pages` (page_id, url, html) below `folder`, a URI that all executors
     reach; returns path, records, bytes of each archive."""
@@ -286,7 +358,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 rows, held = [], 0
                 for r in records(path, offset, length):
                     rows.append(r if with_payload else r | {"payload": None})
-                    held += r["payload_bytes"] if with_payload else 1 << 10
+                    held += len(r["payload"] or b"") + (1 << 10)
                     if held >= RANGE_BYTES:
                         yield batch_of(path, rows)
                         rows, held = [], 0

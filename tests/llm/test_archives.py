@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 import io
+import json
 import zipfile
 from collections import Counter, defaultdict
 
@@ -92,3 +94,73 @@ def test_what_cannot_be_range_read_raises():
         directory(buffer.getvalue())
     with pytest.raises(ValueError, match="no end"):
         directory(b"not a zip file")
+
+
+def foreign(kind, number, block, head=""):
+    lines = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{number}>\r\nContent-Length: {len(block)}\r\n{head}\r\n"
+    return lines.encode() + block + b"\r\n\r\n"
+
+
+HTTP = "Content-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:ABC\r\n"
+
+
+def other_archive(index_name, lines, gz=True):
+    """Two WARC members and one index, as other tools write them."""
+    pack = gzip.compress if gz else bytes
+    one = [pack(foreign("warcinfo", 1, b"software: x")), pack(foreign("response", 2, b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nfirst page", HTTP))]
+    two = [pack(foreign("response", 3, b"HTTP/1.1 200 OK\r\n\r\nsecond page" * n, HTTP)) for n in (1, 2)]
+    two.append(pack(foreign("revisit", 4, b"HTTP/1.1 200 OK\r\n\r\n", HTTP)))
+    buffer, places = io.BytesIO(), {}
+    for name, parts in (("a.warc.gz", one), ("b.warc.gz", two)):
+        at = 0
+        for i, part in enumerate(parts):
+            places[name, i] = {"offset": str(at), "length": str(len(part)), "filename": name}
+            at += len(part)
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", b"{}")
+        z.writestr("archive/a.warc.gz", b"".join(one))
+        z.writestr("archive/b.warc.gz", b"".join(two))
+        if index_name:
+            index = "".join(lines(key, place) for key, place in places.items()).encode()
+            z.writestr(index_name, gzip.compress(index[:50]) + gzip.compress(index[50:]) if index_name.endswith(".gz") else index)
+    return buffer.getvalue()
+
+
+def read(spark, data):
+    folder = shared_folder(spark)
+    files, path = archives.open_fs(folder)
+    files.create_dir(path, recursive=True)
+    with files.open_output_stream(f"{path}/other.zip") as out:
+        out.write(data)
+    return archives.read_archives(spark.createDataFrame([(f"{folder}/other.zip",)], "path string")).collect()
+
+
+def test_archives_of_other_tools(spark):
+    cdxj = lambda key, place: f"com,example)/{9 - key[1]} 20260101000000 {json.dumps(place)}\n" if key[0] == "b.warc.gz" or key[1] else ""
+    rows = {"first page": 1, "second page": 1}
+    for name, lines, gz, infos in (
+        ("indexes/index.cdxj", cdxj, True, 0), ("indexes/index.cdx.gz", cdxj, True, 0), ("indexes/index.cdxj", cdxj, False, 0), (None, None, True, 1), (None, None, False, 1),
+        ("indexes/index.cdxj", lambda key, place: "!meta x\n" + json.dumps(place) + "\n" if key[0] == "a.warc.gz" else "", True, 1),
+    ):
+        out = read(spark, other_archive(name, lines, gz))
+        assert Counter(r.record_type for r in out) == Counter({"response": 3, "revisit": 1} | ({"warcinfo": 1} if infos else {}))
+        payloads = Counter(bytes(r.payload).decode() for r in out if r.record_type == "response")
+        assert all(payloads[p] == n for p, n in rows.items()) and len(payloads) == 3
+        assert all(r.page_id is None for r in out)
+        assert all(r.payload_digest == hashlib.sha256(r.payload).hexdigest() for r in out if r.record_type == "response")
+
+
+def test_an_index_that_does_not_fit_raises():
+    for line, message in (
+        (lambda key, place: json.dumps({k: v for k, v in place.items() if k != "filename"}), "does not say"),
+        (lambda key, place: json.dumps(place | {"filename": "c"}), "does not hold"),
+        (lambda key, place: json.dumps(place | {"length": 10_000}), "beyond"),
+    ):
+        import os
+        import tempfile
+
+        path = os.path.join(tempfile.mkdtemp(prefix="run-"), "x.zip")
+        with open(path, "wb") as f:
+            f.write(other_archive("indexes/i.cdxj", lambda key, place: line(key, place) + "\n"))
+        with pytest.raises(ValueError, match=message):
+            list(archives.ranges(f"file://{path}"))
