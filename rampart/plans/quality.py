@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rampart.operators import neighbours as N
 from rampart.operators import quality as Q
+from rampart.operators import vector_index as VI
 from rampart.plans import inputs as I
 from rampart.plans.inputs import with_ctes
 from rampart.plans.registry import query
@@ -128,3 +129,25 @@ _Q = [round(0.01 * ((i * 7) % 13 - 6), 2) for i in range(64)]
 @query("nearest", f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}::DOUBLE[]), 5) AS similarity FROM embeddings ORDER BY 2 DESC LIMIT 10")
 def _nearest(spark, path):
     return rounded(N.nearest(I.table(spark, path, "embeddings"), "embedding", _Q).select("vec_id", "similarity"), 5)
+
+
+_SIMILARITY = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+
+
+def _asked(spark, path):
+    """The index, and every row whose id is divisible by 50 as a query."""
+    rows = I.table(spark, path, "embeddings")
+    return VI.build_index(rows, "vec_id", "embedding"), rows.filter(F.col("vec_id") % 50 == 0)
+
+
+@query("nearest_exact", f"SELECT q.vec_id AS query_id, e.vec_id AS vec_id, round({_SIMILARITY}, 5) AS similarity FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_SIMILARITY}, 12) DESC, e.vec_id) <= 10")
+def _nearest_exact(spark, path):
+    index, asked = _asked(spark, path)
+    return rounded(VI.search(index, asked, "vec_id", "embedding").select("query_id", F.col("id").alias("vec_id"), "similarity"), 5)
+
+
+@query("nearest_probed")
+def _nearest_probed(spark, path):
+    index, asked = _asked(spark, path)
+    probes = VI.probes_for(index, asked, "vec_id", "embedding")
+    return VI.search(index, asked, "vec_id", "embedding", probes=probes).select("query_id", F.col("id").alias("vec_id"), "similarity", "rank")
