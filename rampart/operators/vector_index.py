@@ -123,10 +123,14 @@ def search(index: VectorIndex, queries: DataFrame, query_id: str, vector: str, k
         if len(rows) and len(asking):
             sims = np.round(_matrix(asking["qvector"], dim) @ _matrix(rows["vector"], dim).T, 12)
             vid = rows["vid"].fillna(np.iinfo(np.int64).max).to_numpy("int64")
+            keys, n = rows["key"].to_numpy(str), min(k, len(rows))
+            least = np.partition(sims, len(rows) - n, axis=1)[:, len(rows) - n]  # the n-th best; all that reach it are compared
             for i, (qkey, probe) in enumerate(zip(asking["qkey"], asking["probe"])):
-                best = np.lexsort((rows["key"], vid, -sims[i]))[:k]
-                found.append(pd.DataFrame({"qkey": qkey, "probe": probe, "key": rows["key"].to_numpy()[best], "similarity": sims[i][best], "vid": vid[best]}))
-        return pd.concat(found) if found else pd.DataFrame({"qkey": [], "probe": [], "key": [], "similarity": [], "vid": []})
+                close = np.flatnonzero(sims[i] >= least[i])
+                best = close[np.lexsort((keys[close], vid[close], -sims[i][close]))[:n]]
+                found.append((np.repeat(qkey, len(best)), np.repeat(probe, len(best)), keys[best], sims[i][best], vid[best]))
+        names = ["qkey", "probe", "key", "similarity", "vid"]
+        return pd.DataFrame({c: np.concatenate(x) if x else [] for c, x in zip(names, list(zip(*found)) or [()] * len(names))})
 
     sides = left.select(*key, "key", "vid", "vector").groupBy(*key), right.select(*key, "qkey", "qvector", "probe").groupBy(*key)
     hits = sides[0].cogroup(sides[1]).applyInPandas(meet, "qkey string, probe int, key string, similarity double, vid long")
