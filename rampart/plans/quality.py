@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rampart.operators import neighbours as N
 from rampart.operators import quality as Q
+from rampart.operators import text_index as TI
 from rampart.operators import vector_index as VI
 from rampart.plans import inputs as I
 from rampart.plans.inputs import with_ctes
@@ -151,3 +152,67 @@ def _nearest_probed(spark, path):
     index, asked = _asked(spark, path)
     probes = VI.probes_for(index, asked, "vec_id", "embedding")
     return VI.search(index, asked, "vec_id", "embedding", probes=probes).select("query_id", F.col("id").alias("vec_id"), "similarity", "rank")
+
+
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
+_PLACES = f"""WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+  p AS (SELECT doc_id, unnest(words) AS term, unnest(range(len(words))) AS pos FROM w)"""
+
+
+def _one_byte(c):
+    """DuckDB's edit distance counts bytes: the accented letters of the tables become letters that no lower-case word has."""
+    return f"translate({c}, 'éóèñüçäöêßí', 'ABCDEFGHIJK')"
+
+
+def _document_index(spark, path):
+    """The index of all documents, and the words of those whose id is divisible by 50."""
+    docs = I.table(spark, path, "documents")
+    asking = docs.filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("search_id"), TI.words("text").alias("w"))
+    return TI.build_index(docs, "doc_id", "text"), asking
+
+
+def _counted(index, searches):
+    return TI.search_counts(index, searches).withColumnsRenamed({"search_id": "doc_id", "first_id": "first_doc", "last_id": "last_doc"})
+
+
+@query("indexed_words", f"""{_PLACES},
+  s AS (SELECT doc_id, 'term' AS kind, coalesce(words[3], '') AS query, 0 AS slack FROM w WHERE doc_id % 50 = 0
+    UNION ALL SELECT doc_id, 'wildcard', coalesce(left(words[5], 3) || '*' || right(words[5], 1), ''), 0 FROM w WHERE doc_id % 50 = 0
+    UNION ALL SELECT doc_id, 'fuzzy', typo, CASE WHEN length(typo) > 5 THEN 2 WHEN length(typo) > 2 THEN 1 ELSE 0 END FROM (SELECT doc_id, coalesce(left(words[7], 1) || substr(words[7], 3), '') AS typo FROM w WHERE doc_id % 50 = 0)),
+  q AS (SELECT DISTINCT kind, query, slack FROM s), v AS (SELECT DISTINCT term FROM p),
+  m AS (SELECT kind, query, slack, term FROM q JOIN v ON (kind = 'term' AND term = query)
+    OR (kind = 'wildcard' AND term LIKE replace(replace(query, '_', '\\_'), '*', '%') ESCAPE '\\')
+    OR (kind = 'fuzzy' AND query <> '' AND abs(length(term) - length(query)) <= slack AND levenshtein({_one_byte('term')}, {_one_byte('query')}) <= slack)),
+  n AS (SELECT kind, query, slack, count(DISTINCT doc_id) AS n_docs, count(*) AS n_places, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM m JOIN p USING (term) GROUP BY ALL)
+  SELECT s.doc_id, kind, query, slack, coalesce(n_docs, 0) AS n_docs, coalesce(n_places, 0) AS n_places, first_doc, last_doc FROM s LEFT JOIN n USING (kind, query, slack)""")
+def _indexed_words(spark, path):
+    index, asking = _document_index(spark, path)
+    word = lambda n: F.get("w", F.lit(n))
+    pattern = F.concat(F.substring(word(4), 1, 3), F.lit("*"), F.right(word(4), F.lit(1)))
+    typo = F.concat(F.substring(word(6), 1, 1), F.substring(word(6), F.lit(3), F.length(word(6))))
+    edits = F.when(F.length(typo) > 5, 2).when(F.length(typo) > 2, 1).otherwise(0)
+    kinds = F.array(*[
+        F.struct(F.lit(k).alias("kind"), q.alias("query"), s.alias("slack"))
+        for k, q, s in (("term", word(2), F.lit(0)), ("wildcard", pattern, F.lit(0)), ("fuzzy", typo, edits))
+    ])
+    return _counted(index, asking.select("search_id", F.explode(kinds).alias("s")).select("search_id", "s.*"))
+
+
+@query("indexed_phrases", f"""{_PLACES},
+  s AS (SELECT doc_id, array_to_string(words[3:6], ' ') AS query, 0 AS slack, words[3:6] AS t FROM w WHERE doc_id % 50 = 0
+    UNION ALL SELECT doc_id, coalesce(array_to_string([words[10], words[11], words[13]], ' '), ''), 1, [x for x in [words[10], words[11], words[13]] if x IS NOT NULL] FROM w WHERE doc_id % 50 = 0),
+  q AS (SELECT DISTINCT query, slack, t FROM s WHERE len(t) > 0),
+  r1 AS (SELECT query, slack, t, doc_id, pos AS lo, pos AS hi FROM q JOIN p ON term = t[1]),
+  r2 AS (SELECT query, slack, t, doc_id, lo, pos AS hi FROM r1 JOIN p USING (doc_id) WHERE len(t) >= 2 AND term = t[2] AND pos BETWEEN hi + 1 AND hi + 1 + slack),
+  r3 AS (SELECT DISTINCT query, slack, t, doc_id, lo, pos AS hi FROM r2 JOIN p USING (doc_id) WHERE len(t) >= 3 AND term = t[3] AND pos > hi AND pos - lo - 2 <= slack),
+  r4 AS (SELECT query, slack, t, doc_id, lo, pos AS hi FROM r3 JOIN p USING (doc_id) WHERE len(t) = 4 AND term = t[4] AND pos = hi + 1),
+  h AS (SELECT query, slack, doc_id FROM r1 WHERE len(t) = 1 UNION ALL SELECT query, slack, doc_id FROM r2 WHERE len(t) = 2 UNION ALL SELECT query, slack, doc_id FROM r3 WHERE len(t) = 3 UNION ALL SELECT query, slack, doc_id FROM r4),
+  n AS (SELECT query, slack, count(DISTINCT doc_id) AS n_docs, count(*) AS n_places, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM h GROUP BY ALL)
+  SELECT s.doc_id, 'phrase' AS kind, query, slack, coalesce(n_docs, 0) AS n_docs, coalesce(n_places, 0) AS n_places, first_doc, last_doc FROM s LEFT JOIN n USING (query, slack)""")
+def _indexed_phrases(spark, path):
+    index, asking = _document_index(spark, path)
+    apart = F.array_compact(F.array(*[F.get("w", F.lit(n)) for n in (9, 10, 12)]))
+    kinds = F.array(*[
+        F.struct(F.lit("phrase").alias("kind"), F.array_join(q, " ").alias("query"), F.lit(s).alias("slack")) for q, s in ((F.slice("w", 3, 4), 0), (apart, 1))
+    ])
+    return _counted(index, asking.select("search_id", F.explode(kinds).alias("s")).select("search_id", "s.*"))
