@@ -2,7 +2,7 @@
 
 Words are runs of letters, digits and underscores, in lower case; places are counted from 0.  Postings lie in the
 order of (term, document) and are cut into parts of about equal size; a directory says which parts hold a term, so
-that a frequent term is met in many pieces and a rare one in one.
+that a frequent term is met in many pieces and a rare one in one.  A posting holds at most PLACES places.
 
 A search is (search_id, kind, query, slack):
   * term: one word;
@@ -28,18 +28,20 @@ from pyspark.sql import functions as F
 from rampart.session import checkpoint_dir
 
 WORD = r"[\p{L}\p{N}_]+"
-#: Words inverted at once, and the span of places one posting covers.
-WORDS_AT_ONCE, SPAN = 500_000, 1 << 16
+#: Words inverted at once (or one text), and the most places in one posting.
+WORDS_AT_ONCE, PLACES = 500_000, 1024
 #: Grams of a word for wildcards; leading characters whose deletions stand for a word in fuzzy searches.
-GRAM, LEADING, MOST_EDITS = 3, 8, 2
+GRAM, LEADING, MOST_EDITS = 4, 8, 2
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """postings: term, part, doc, id, places; directory: term, part, n_postings."""
+    """postings: term, part, base, at (documents since base in the upper 32 bits, the place in the lower);
+    directory: term, part, n_places; docs: doc, id."""
 
     postings: DataFrame
     directory: DataFrame
+    docs: DataFrame
 
 
 def words(text: Column | str) -> Column:
@@ -54,39 +56,51 @@ def _written(df: DataFrame) -> DataFrame:
 
 
 def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of runs of rows, and for each run a row without a term that holds its ids."""
+    names = ["term", "base", "at", "ids"]
     for batch in batches:
         sizes = batch.column("words").value_lengths().to_numpy(zero_copy_only=False)
         piece = np.cumsum(sizes, dtype="int64") // WORDS_AT_ONCE
         cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1), len(sizes)]
         for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
             rows, lengths = batch.slice(a, b - a), sizes[a:b].astype("int64")
+            base, ids = rows.column("doc")[0].as_py(), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), rows.column("id"))
+            none = pa.nulls(1, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([base]), none, ids], names)
             coded = rows.column("words").flatten().dictionary_encode()
             if not len(coded):
                 continue
             row = np.repeat(np.arange(len(lengths)), lengths)
             place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            group = row * len(coded.dictionary) + coded.indices.to_numpy()
-            order = np.argsort(group, kind="stable")
-            group, place = group[order], place[order]
-            first = np.flatnonzero(np.r_[True, (np.diff(group) != 0) | (np.diff(place // SPAN) != 0)])
-            places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(place)], pa.int32()), pa.array(place, pa.int32()))
-            at = pa.array(row[order][first])
-            term = coded.dictionary.take(pa.array(group[first] % len(coded.dictionary)))
-            yield pa.RecordBatch.from_arrays([term, rows.column("doc").take(at), rows.column("id").take(at), places], ["term", "doc", "id", "places"])
+            code = coded.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            code, at = code[order], (row << 32 | place)[order]
+            begin = np.r_[True, np.diff(code) != 0]
+            since = np.arange(len(code)) - np.maximum.accumulate(np.where(begin, np.arange(len(code)), 0))
+            first = np.flatnonzero(since % PLACES == 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(at)], pa.int32()), pa.array(at))
+            terms = coded.dictionary.take(pa.array(code[first]))
+            yield pa.RecordBatch.from_arrays([terms, pa.array(np.full(len(first), base)), lists, pa.nulls(len(first), pa.list_(pa.int64()))], names)
 
 
 def build_index(df: DataFrame, id_col: str, text: str) -> TextIndex:
     """An index of every word of every row."""
     rows = df.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).cast("long").alias("id"), words(text).alias("words"))
-    raw = _written(rows.mapInArrow(_invert, "term string, doc long, id long, places array<int>"))
-    laid = raw.repartitionByRange("term", "doc").withColumn("part", F.spark_partition_id())
-    postings = _written(laid.sortWithinPartitions("term", "doc"))
-    return TextIndex(postings, _written(postings.groupBy("term", "part").agg(F.count("*").alias("n_postings"))))
+    raw = _written(rows.mapInArrow(_invert, "term string, base long, at array<long>, ids array<long>"))
+    docs = raw.filter("term IS NULL").select("base", F.posexplode("ids").alias("n", "id")).select((F.col("base") + F.col("n")).alias("doc"), "id")
+    laid = raw.filter("term IS NOT NULL").drop("ids").repartitionByRange("term", "base").withColumn("part", F.spark_partition_id())
+    postings = _written(laid.sortWithinPartitions("term", "base"))
+    directory = postings.groupBy("term", "part").agg(F.sum(F.size("at")).alias("n_places"))
+    return TextIndex(postings, _written(directory), _written(docs))
 
 
-def _postings(index: TextIndex, wanted: DataFrame) -> DataFrame:
-    """`wanted` (with a column term) with the postings of its terms, part by part."""
-    return wanted.join(index.directory.select("term", "part"), "term").join(index.postings, ["term", "part"])
+def _places(index: TextIndex, wanted: DataFrame, *keep: str) -> DataFrame:
+    """keep, doc, place: where the terms of `wanted` stand, part by part.  Its size is known to the planner, as it is written first."""
+    met = _written(_written(wanted).join(index.directory.select("term", "part"), "term")).join(index.postings, ["term", "part"])
+    each = met.select(*keep, "base", F.explode("at").alias("at"))
+    return each.select(*keep, (F.col("base") + F.shiftright("at", 32)).alias("doc"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"))
 
 
 def _grams(word: Column) -> Column:
@@ -116,14 +130,21 @@ def _wildcards(terms: DataFrame, asked: DataFrame) -> DataFrame:
     whole = lambda p: F.filter(_grams(p), lambda g: F.length(g) == F.least(F.length(p), F.lit(GRAM)))
     options = asked.select("skey", F.lower("query").alias("query"), F.explode(F.array_distinct(F.flatten(F.transform(pieces, whole)))).alias("gram"))
     word = F.concat(F.lit("^"), F.col("term"), F.lit("$"))
-    posted = terms.select("term", F.explode(_grams(word)).alias("gram")).join(options.select("gram").distinct(), "gram", "left_semi")
+    options = _written(options)
+    posted = _written(terms.select("term", F.explode(_grams(word)).alias("gram")).join(_written(options.select("gram").distinct()), "gram", "left_semi"))
     seen = posted.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = options.join(seen, "gram", "left").groupBy("skey", "query").agg(
         F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram")
     )
     escaped = F.regexp_replace("query", r"([\\_%])", r"\\$1")
     like = F.translate(escaped, "*?", "%_")
-    return posted.join(rarest.withColumn("like", like), "gram").filter("term LIKE like").select("skey", "term")
+    ends = [F.regexp_extract("query", r"^[^*?]*", 0).alias("begin"), F.regexp_extract("query", r"[^*?]*$", 0).alias("end")]
+    tests = _written(rarest.select("skey", "gram", like.alias("like"), *ends, F.rlike("query", F.lit(r"^[^*?]*\*[^*?]*$")).alias("plain")))
+    # most candidates are settled by both ends; LIKE compiles its pattern for every row
+    size = F.when(F.rlike("like", F.lit("[%_]")), F.length("begin") + F.length("end")).otherwise(0)
+    outer = F.startswith("term", "begin") & F.endswith("term", "end") & (F.length("term") >= size)
+    fits = F.when(~outer, False).when(F.col("plain"), True).otherwise(F.expr("term LIKE like"))
+    return posted.join(tests, "gram").filter(fits).select("skey", "term")
 
 
 def _close(terms: DataFrame, asked: DataFrame) -> DataFrame:
@@ -132,24 +153,22 @@ def _close(terms: DataFrame, asked: DataFrame) -> DataFrame:
     )
     one = asked.withColumn("w", words("query")).filter(F.size("w") == 1).select("skey", slack.alias("slack"), F.col("w")[0].alias("query"))
     by_slack = reduce(lambda a, d: F.when(F.col("slack") == d, _remains(F.col("query"), d)).otherwise(a), range(1, MOST_EDITS + 1), _remains(F.col("query"), 0))
-    options = one.select("skey", "slack", "query", F.explode(by_slack).alias("left"))
-    posted = terms.select("term", F.explode(_remains(F.col("term"), MOST_EDITS)).alias("left")).join(
-        options.select("left").distinct(), "left", "left_semi"
-    )
+    options = _written(one.select("skey", "slack", "query", F.explode(by_slack).alias("left")))
     near = F.levenshtein("term", "query") <= F.col("slack")
+    posted = terms.select("term", F.explode(_remains(F.col("term"), MOST_EDITS)).alias("left"))
     return posted.join(options, "left").filter(near).select("skey", "term").distinct()
 
 
 def _word_hits(index: TextIndex, asked: DataFrame) -> DataFrame:
-    terms = index.directory.select("term").distinct()
+    terms = _written(index.directory.select("term").distinct())
     plain = asked.filter("kind = 'term'").withColumn("w", words("query")).filter(F.size("w") == 1).select("skey", F.col("w")[0].alias("term"))
     wanted = plain.unionByName(_wildcards(terms, asked.filter("kind = 'wildcard'"))).unionByName(_close(terms, asked.filter("kind = 'fuzzy'")))
-    return _postings(index, wanted).groupBy("skey", "doc", "id").agg(F.sum(F.size("places")).alias("n_places"))
+    return _places(index, wanted, "skey").groupBy("skey", "doc").agg(F.count("*").alias("n_places"))
 
 
 def _steps(index: TextIndex, asked: DataFrame) -> DataFrame:
     """skey, step, node, parent, way, term, slack, last: each phrase from its rarest word to its end, then to its start."""
-    counted = index.directory.groupBy("term").agg(F.sum("n_postings").alias("n"))
+    counted = index.directory.groupBy("term").agg(F.sum("n_places").alias("n"))
     phrases = asked.filter("kind = 'phrase'").select("skey", F.greatest("slack", F.lit(0)).alias("slack"), words("query").alias("w"))
     known = phrases.select("skey", F.posexplode("w").alias("at", "term")).join(counted, "term")
     anchor = known.groupBy("skey").agg(F.min_by("at", F.struct("n", "at")).alias("at"), F.count("*").alias("found"))
@@ -172,11 +191,13 @@ def _phrase_hits(index: TextIndex, asked: DataFrame) -> DataFrame:
     steps = _written(_steps(index, asked))
     nodes = _written(steps.select("step", "slack", "node", "parent", "way", "term").distinct().withColumn("nid", F.monotonically_increasing_id()))
     ends = steps.filter("last").join(nodes.select("node", "nid"), "node").select("nid", "skey")
+    numbers = _written(nodes.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()))
     parents = nodes.select(F.col("node").alias("parent"), F.col("nid").alias("from"))
-    edges = nodes.filter("step > 0").join(parents, "parent").select("step", "from", "way", "term", "slack", F.col("nid").alias("to"))
+    edges = nodes.filter("step > 0").join(parents, "parent").join(numbers, "term")
+    edges = _written(edges.select("step", "from", "way", "term", "tid", "slack", F.col("nid").alias("to")))
     depth, slack = steps.agg(F.coalesce(F.max("step"), F.lit(-1)), F.coalesce(F.max("slack"), F.lit(0))).first()
-    begun = _postings(index, nodes.filter("step = 0").select("nid", "term"))
-    spans = begun.select("nid", "doc", "id", F.explode("places").alias("lo")).withColumn("hi", F.col("lo"))
+    begun = _places(index, nodes.filter("step = 0").select("nid", "term"), "nid")
+    spans = begun.select("nid", "doc", F.col("place").alias("lo"), F.col("place").alias("hi"))
     found = []
     for step in range(depth + 1):
         if step:
@@ -184,17 +205,17 @@ def _phrase_hits(index: TextIndex, asked: DataFrame) -> DataFrame:
             ahead = spans.withColumnRenamed("nid", "from").join(edge.groupBy("from", "way").agg(F.max("slack").alias("slack")), "from")
             used = F.col("hi") - F.col("lo") + 1 - step
             ahead = ahead.withColumn("skip", F.explode(F.sequence(F.lit(0), F.col("slack") - used)))
-            at = F.when(F.col("way") == ">", F.col("hi") + 1 + F.col("skip")).otherwise(F.col("lo") - 1 - F.col("skip"))
-            there = _postings(index, edge.select("term").distinct()).select("doc", F.explode("places").alias("at"), "term")
-            met = ahead.withColumn("at", at).drop("slack", "skip").join(there, ["doc", "at"]).join(edge.drop("step", "slack"), ["from", "way", "term"])
-            spans = met.select(F.col("to").alias("nid"), "doc", "id", F.least("lo", "at").alias("lo"), F.greatest("hi", "at").alias("hi"))
+            there = F.when(F.col("way") == ">", F.col("hi") + 1 + F.col("skip")).otherwise(F.col("lo") - 1 - F.col("skip"))
+            ahead = ahead.withColumn("place", there).drop("slack", "skip").filter("place >= 0")
+            stand = _places(index, edge.select("term", "tid").distinct(), "tid")
+            met = ahead.join(stand, ["doc", "place"]).join(edge.select("from", "way", "tid", "to"), ["from", "way", "tid"])
+            spans = met.select(F.col("to").alias("nid"), "doc", F.least("lo", "place").alias("lo"), F.greatest("hi", "place").alias("hi"))
             # one span may be reached through different gaps
             spans = spans.distinct() if slack else spans
         spans = _written(spans)
-        found.append(spans.join(ends, "nid").select("skey", "doc", "id"))
-    if not found:
-        found = [spans.join(ends, "nid").select("skey", "doc", "id")]
-    return reduce(DataFrame.unionByName, found).groupBy("skey", "doc", "id").agg(F.count("*").alias("n_places"))
+        found.append(spans.join(ends, "nid").select("skey", "doc"))
+    found = found or [spans.join(ends, "nid").select("skey", "doc")]
+    return reduce(DataFrame.unionByName, found).groupBy("skey", "doc").agg(F.count("*").alias("n_places"))
 
 
 def _asked(searches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -203,7 +224,7 @@ def _asked(searches: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _hits(index: TextIndex, asked: DataFrame) -> DataFrame:
-    return _word_hits(index, asked).unionByName(_phrase_hits(index, asked))
+    return _word_hits(index, asked).unionByName(_phrase_hits(index, asked)).join(index.docs, "doc")
 
 
 def search(index: TextIndex, searches: DataFrame) -> DataFrame:

@@ -79,9 +79,9 @@ def test_edge_cases(spark):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_texts(spark, seed, monkeypatch):
-    """Few letters and words, so everything repeats; texts are cut while inverted, and postings span few places."""
+    """Few letters and words, so everything repeats; texts are cut while inverted, and postings hold few places."""
     monkeypatch.setattr(TI, "WORDS_AT_ONCE", 50)
-    monkeypatch.setattr(TI, "SPAN", 4)
+    monkeypatch.setattr(TI, "PLACES", 4)
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choices("abcé", k=rng.randint(1, 9))) for _ in range(25)]
     pick = lambda n: " ".join(rng.choice(vocabulary[:5] if rng.random() < 0.5 else vocabulary) for _ in range(n))
@@ -98,14 +98,15 @@ def test_empty_tables_and_wide_edits(spark):
         found(spark, EDGES, [(1, "fuzzy", "ignore", 3)])
 
 
-def test_a_frequent_term_lies_in_many_parts(spark):
-    docs = [(i, f"common word{i}", None) for i in range(4000)]
+def test_a_frequent_term_lies_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(TI, "PLACES", 16)
+    docs = [(i, "common " * 2, None) for i in range(2000)]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         index = TI.build_index(spark.createDataFrame(docs, DOCS), "doc_id", "text")
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    parts = [r["n_postings"] for r in index.directory.filter("term = 'common'").collect()]
+    parts = [r["n_places"] for r in index.directory.filter("term = 'common'").collect()]
     assert sum(parts) == 4000 and len(parts) > 2 and max(parts) < 2000
     counts = TI.search_counts(index, spark.createDataFrame([(1, "term", "common", 0), (2, "term", "absent", 0)], ASKED)).orderBy("search_id").collect()
-    assert [(r.n_docs, r.n_places, r.first_id, r.last_id) for r in counts] == [(4000, 4000, 0, 3999), (0, 0, None, None)]
+    assert [(r.n_docs, r.n_places, r.first_id, r.last_id) for r in counts] == [(2000, 4000, 0, 1999), (0, 0, None, None)]
