@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -15,8 +14,9 @@ from rampart.functions import text as X
 from rampart.functions.regexes import java_regex
 from rampart.functions.unnest import unnest
 from rampart.operators.components import connected_components
-from rampart.operators.matching import compiled, match_patterns
+from rampart.operators.matching import match_patterns, matches_by_group
 from rampart.operators.slices import ranked_counts
+from rampart.session import cut_lineage
 
 
 # --- events ----------------------------------------------------------------------------------
@@ -149,11 +149,11 @@ def common_substring_patterns(prompts: DataFrame, min_support: int = 3, size: in
     Shingles are counted per cluster by prompt; neighbouring shared shingles of a prompt are
     one run.  A run's shingles may be shared by other prompts than the run, so its support is
     counted anew over the cluster's prompts."""
-    numbered = prompts.withColumn("_pid", F.sha2(F.concat_ws("\x01", F.col("cluster").cast("string"), "text").cast("binary"), 256))
+    numbered = prompts.withColumn("_pid", F.unhex(F.sha2(F.concat_ws("\x01", F.col("cluster").cast("string"), "text").cast("binary"), 256)))
     unique = numbered.groupBy("cluster", "_pid").agg(F.count("*").alias("_copies"), F.first(F.lower("text")).alias("low"))
     shingles = F.regexp_extract_all("low", F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1))
-    at = unique.select("cluster", "_pid", "_copies", F.posexplode_outer(shingles).alias("pos", "g")).filter("g is not null")
-    once = at.groupBy("cluster", "g", "_pid").agg(F.max("_copies").alias("_copies"))
+    at = unique.select("cluster", "_pid", F.posexplode_outer(shingles).alias("pos", "g")).filter("g is not null")
+    once = unnest(unique, F.array_distinct(shingles), "g", "cluster", "_copies")
     shared = once.groupBy("cluster", "g").agg(F.sum("_copies").alias("support")).filter(F.col("support") >= min_support)
     marked = at.join(shared, ["cluster", "g"])
     w = Window.partitionBy("cluster", "_pid").orderBy("pos")
@@ -208,25 +208,11 @@ def differential_pattern(prompts: DataFrame, min_support: int = 3, order: str =
 def recount(prompts: DataFrame, patterns: DataFrame, min_support: int = 3) -> DataFrame:
     """Patterns (cluster, regex, kind) with support and confidence counted over their cluster's prompts.
 
-    A prompt meets its cluster's patterns as one array, and only hits leave the task."""
-    listed = patterns.groupBy("cluster").agg(F.collect_set("regex").alias("_list"))
-
-    def hits(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        out = []
-        for value, regexes in zip(texts, lists):
-            found = []
-            for p in regexes if regexes is not None else []:
-                rx = compiled(p)
-                if rx is not None and rx.search(value):
-                    found.append(p)
-            out.append(found)
-        return pd.Series(out)
-
-    met = prompts.select("cluster", "text").join(listed, "cluster")
-    counted = unnest(met, F.pandas_udf(hits, "array<string>")("text", "_list"), "regex", "cluster").groupBy("cluster", "regex").agg(
-        F.count("*").alias("support")
-    )
-    kept = patterns.select("cluster", "regex", "kind").join(counted, ["cluster", "regex"]).filter(F.col("support") >= min_support)
+    A prompt meets only the patterns of its cluster it has a literal of."""
+    patterns = cut_lineage(patterns.select("cluster", "regex", "kind"))
+    met = matches_by_group(prompts.select("cluster", "text"), patterns.select("cluster", "regex").distinct(), "cluster", pattern="regex")
+    counted = met.groupBy("cluster", "regex").agg(F.count("*").alias("support"))
+    kept = patterns.join(counted, ["cluster", "regex"]).filter(F.col("support") >= min_support)
     return _shaped(kept.join(_sizes(prompts), "cluster"), F.col("kind"))
 
 
