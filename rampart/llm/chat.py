@@ -10,8 +10,9 @@ a text, and the way back is exact.
 Every assistant turn is an example of its own: all turns before it are the context, and only its
 text is trainable.  Examples of one conversation are prefixes of one another, so the turns are
 written once (`turns`), and an example (`examples`) says how far its context goes and where in it the
-trainable text begins and ends.  `rendered` puts the examples' strings together, whose sum grows with the
-square of a conversation's turns.  Turns behind the last reply (all turns, if there is none) are an
+trainable text begins and ends.  `expanded` writes every example out whole, context and target, past the
+sorted turns; their sum grows with the square of a conversation's turns, so an example is handed on in parts.
+`rendered` puts an example into one row.  Turns behind the last reply (all turns, if there is none) are an
 example without target, so a conversation is always written whole.
 
 The turns of a conversation are ordered by turn number, missing ones first, equal ones by role and by a
@@ -112,40 +113,106 @@ def parsed(segment: str) -> tuple[str, str]:
     return unescaped(found[1]), unescaped(found[2])
 
 
-def read_back(written: DataFrame) -> DataFrame:
-    """From the rows of `turns`, per conversation: conv_id, n_turns, turns_sha256 (role, line feed, text, line feed
-    per turn), loss_chars and loss_sha256 (of what lies under the loss mask).
+#: Characters of an example in one row, and in one batch.
+PART = 1 << 20
+
+
+def expanded(written: DataFrame) -> DataFrame:
+    """All examples of the rows of `turns`, written out: conv_id, example (from 0), chars, loss_start, loss_stop (characters
+    of the example; null without target), text.
+
+    An example longer than PART characters is several rows, one behind the other.  A conversation is one
+    task's, which holds what it has said so far; the rows of a conversation leave in order."""
+    schema = "conv_id long, example long, chars long, loss_start long, loss_stop long, text string"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, said, n, pending, seen = None, "", 0, False, False
+
+        def example(start: int | None, stop: int | None) -> Iterator[tuple]:
+            for i in range(0, len(said), PART):
+                yield now, n, len(said), start, stop, said[i : i + PART]
+
+        def made() -> Iterator[tuple]:
+            nonlocal now, said, n, pending, seen
+            for batch in batches:
+                for part in pieces(batch):
+                    for conv, segment, start, stop in zip(*(c.to_pylist() for c in part.columns)):
+                        if not seen or conv != now:
+                            if pending:
+                                yield from example(None, None)
+                            now, said, n, seen = conv, "", 0, True
+                        before = len(said)
+                        said += segment
+                        pending = start is None
+                        if not pending:
+                            yield from example(before + start, before + stop)
+                            n += 1
+            if pending:
+                yield from example(None, None)
+
+        out, held = [], 0
+        for row in made():
+            out.append(row)
+            held += len(row[-1])
+            if held >= PART:
+                yield _rows(out, schema)
+                out, held = [], 0
+        yield _rows(out, schema)
+
+    ordered = written.repartition("conv_id").sortWithinPartitions("conv_id", *ORDER)
+    return ordered.select("conv_id", "segment", "loss_start", "loss_stop").mapInArrow(write, schema)
+
 
-    A digest follows its conversation's order, so a conversation is one task's; its rows stream past
-    the digests and are not held."""
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string"
+def read_back(output: DataFrame) -> DataFrame:
+    """From the rows of `expanded`, in their order, per conversation: conv_id, n_turns, turns_sha256 (role, line feed,
+    text, line feed per turn), loss_chars and loss_sha256 (of what lies under the loss masks), formatted_chars (of all
+    examples) and n_examples.
+
+    Every example is read whole: its context has to be what the one before it said, its own turns are parsed."""
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, out = None, None, []
+        now, seen, out = None, False, []
+        known, parsed_to, at, totals, turns_sha, loss_sha = "", 0, 0, [0, 0, 0, 0], hashlib.sha256(), hashlib.sha256()
 
         def close() -> None:
-            if state:
-                out.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest()))
+            if seen:
+                out.append((now, totals[0], turns_sha.hexdigest(), totals[1], loss_sha.hexdigest(), totals[2], totals[3]))
 
         for batch in batches:
             for part in pieces(batch):
-                for conv, segment, start, stop in zip(*(c.to_pylist() for c in part.columns)):
-                    if state is None or conv != now:
+                for conv, _, chars, start, stop, text in zip(*(c.to_pylist() for c in part.columns)):
+                    if not seen or conv != now:
                         close()
-                        now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256()]
-                    state[0] += 1
-                    state[1].update("{}\n{}\n".format(*parsed(segment)).encode())
+                        now, seen = conv, True
+                        known, parsed_to, at, totals, turns_sha, loss_sha = "", 0, 0, [0, 0, 0, 0], hashlib.sha256(), hashlib.sha256()
+                    common = min(len(text), max(0, len(known) - at))
+                    if known[at : at + common] != text[:common]:
+                        raise ValueError(f"conversation {conv}: an example does not begin with the one before it")
+                    known += text[common:]
+                    at += len(text)
+                    totals[2] += len(text)
+                    if at < chars:
+                        continue
+                    while parsed_to < at:
+                        found = _TURN.match(known, parsed_to)
+                        if not found:
+                            raise ValueError(f"not a turn: {known[parsed_to:parsed_to + 100]!r}")
+                        totals[0] += 1
+                        turns_sha.update(f"{unescaped(found[1])}\n{unescaped(found[2])}\n".encode())
+                        parsed_to = found.end()
                     if start is not None:
-                        text = unescaped(segment[start:stop])
-                        state[2] += len(text)
-                        state[3].update(text.encode())
+                        target = unescaped(known[start:stop])
+                        totals[1] += len(target)
+                        loss_sha.update(target.encode())
+                    totals[3] += 1
+                    at = 0
             yield _rows(out, schema)
             out.clear()
         close()
         yield _rows(out, schema)
 
-    ordered = written.repartition("conv_id").sortWithinPartitions("conv_id", *ORDER)
-    return ordered.select("conv_id", "segment", "loss_start", "loss_stop").mapInArrow(scan, schema)
+    return output.mapInArrow(scan, schema)
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -156,9 +223,5 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """Per conversation what `read_back` says, with n_examples and formatted_chars (of all examples, each with its context)."""
-    written = turns(conversations)
-    sums = examples(written).groupBy(F.struct("conv_id").alias("_conv")).agg(F.sum("chars").alias("formatted_chars"), F.count("*").alias("n_examples"))
-    return read_back(written).withColumn("_conv", F.struct("conv_id")).join(sums, "_conv").select(
-        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples",
-    )
+    """Per conversation what `read_back` reads from all its examples, each written out with its context."""
+    return read_back(expanded(turns(conversations)))

@@ -77,3 +77,14 @@ def test_empty_table(spark):
 def test_marks_inside_texts_come_back(role, text):
     segment = f"### {escaped(role, chr(92) + '#<:')}: {escaped(text, chr(92) + '#<')}</turn>\n"
     assert chat.parsed(segment) == (role, text) and segment.count("</turn>") == segment.count("### ") == 1
+
+
+def test_examples_are_written_out_whole(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART", 50)  # some examples are several rows
+    written = chat.turns(spark.createDataFrame(ROWS, SCHEMA))
+    got = {}
+    for r in chat.expanded(written).collect():
+        got.setdefault((r.conv_id, r.example), []).append(r)
+    whole = {k: ("".join(r.text for r in v), v[0].chars, v[0].loss_start, v[0].loss_stop) for k, v in got.items()}
+    want = {(r.conv_id, r.example): (r.text, r.chars, r.loss_start, r.loss_stop) for r in chat.rendered(written, chat.examples(written)).collect()}
+    assert whole == want and any(len(v) > 1 for v in got.values())
