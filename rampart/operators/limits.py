@@ -172,8 +172,8 @@ def flood_levels(
     requests: DataFrame, rapid: int = 100, rapid_s: int = 60, burst: int = 30, burst_s: int = 10, client: str = "client"
 ) -> DataFrame:
     """Adds counts of the trailing windows and the threat level of each request."""
-    a = trailing_window(requests, [client], "us", rapid_s * SECOND, {"in_rapid": F.count("*")})
-    b = trailing_window(a, [client], "us", burst_s * SECOND, {"in_burst": F.count("*")})
+    a = trailing_window(requests, [client], "us", rapid_s * SECOND, {"in_rapid": ("count", None)})
+    b = trailing_window(a, [client], "us", burst_s * SECOND, {"in_burst": ("count", None)})
     agent, path = F.lower("user_agent"), F.lower("path")
     odd = (
         X.contains_any(agent, SUSPICIOUS_AGENTS) | X.contains_any(path, SUSPICIOUS_PATHS)
