@@ -236,8 +236,9 @@ def regex_from_examples(examples: DataFrame, group: str, order: str, min_length:
             out.append(far)
         return pd.Series(out)
 
-    rows = met.select(group, "_ref", F.posexplode(F.pandas_udf(reach, "array<int>")("_ref", "_t")).alias("i", "k"))
-    least = rows.groupBy(group, "i").agg(F.min("k").alias("k"), F.first("_ref").alias("_ref")).filter(F.col("k") >= min_length)
+    # numbers only: combined in the task that compares, the first example comes back by its group
+    rows = met.select(group, F.posexplode(F.pandas_udf(reach, "array<int>")("_ref", "_t")).alias("i", "k"))
+    least = rows.groupBy(group, "i").agg(F.min("k").alias("k")).filter(F.col("k") >= min_length).join(first.select(group, "_ref"), group)
     before = Window.partitionBy(group).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     best = least.withColumn("_end", F.max(F.col("i") + F.col("k")).over(before)).filter(
         F.col("_end").isNull() | (F.col("i") + F.col("k") > F.col("_end"))
