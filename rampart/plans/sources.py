@@ -44,7 +44,11 @@ def _corpus(spark, path):
     return S.read_corpus(spark, out).select("prompt", "label", "is_attack")
 
 
-# one library file per supplier, each a single JSON document
+#: Libraries in a file of JSON documents.
+LIBRARIES = 1000
+
+
+# one library per supplier; a file is a JSON array of up to LIBRARIES of them
 @query("read_pattern_library", "SELECT 'lib' || s_suppkey AS family, s_suppkey::VARCHAR AS id, v AS variant, CASE v WHEN 0 THEN s_name ELSE 'variant of ' || s_name END AS text FROM supplier, (SELECT unnest([0, 1]) AS v)")
 def _library(spark, path):
     out = K.work_folder(spark, "library")
@@ -53,7 +57,15 @@ def _library(spark, path):
     )
     name = F.struct(F.concat(F.lit("lib"), F.col("s_suppkey").cast("string")).alias("name"))
     doc = F.to_json(F.struct(name.alias("metadata"), F.array(one).alias("patterns")))
-    I.table(spark, path, "supplier").select(doc.alias("value")).write.option("maxRecordsPerFile", 1).text(out)
+    def filed(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for i in range(0, len(pdf), LIBRARIES):
+                yield pd.DataFrame({"value": ["[" + ",".join(pdf["value"][i : i + LIBRARIES]) + "]"]})
+
+    docs = I.table(spark, path, "supplier").select(doc.alias("value"))
+    docs.mapInPandas(filed, "value string").write.option("maxRecordsPerFile", 1).text(out)
     return S.read_pattern_library(spark, out).select("family", "id", "variant", "text")
 
 
