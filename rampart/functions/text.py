@@ -1,9 +1,10 @@
-"""Column expressions over text.  All of them stay inside the JVM except NFKC."""
+"""Column expressions over text.  All of them stay inside the JVM except NFKC and counts of characters and n-grams."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,8 +132,12 @@ def shannon_entropy(text: Column | str) -> Column:
     t = col(text)
     in_order = F.array_join(F.sort_array(characters(t)), "")
     counts = F.transform(F.regexp_extract_all(in_order, F.lit(r"(?s)(.)\1*"), F.lit(0)), F.length)
+    return _entropy(F.length(t), counts)
+
+
+def _entropy(n: Column, counts: Column) -> Column:
     spread = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * F.log2(c))
-    return F.when(F.length(t) == 0, F.lit(0.0)).otherwise(F.log2(F.length(t)) - spread / F.length(t))
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.log2(n) - spread / n)
 
 
 def max_repetition(text: Column | str) -> Column:
@@ -143,6 +148,79 @@ def max_repetition(text: Column | str) -> Column:
     return F.when(F.length(t) == 0, F.lit(0)).otherwise(F.coalesce(longest, F.lit(1)))
 
 
+def _codes(value: str) -> np.ndarray:
+    return np.frombuffer(value.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _character_profile():
+    """Counts of the distinct characters, in their order, and the longest run of one, in one pass."""
+
+    @F.pandas_udf("counts array<int>, longest int")
+    def profile(values: pd.Series) -> pd.DataFrame:
+        out = []
+        for value in values:
+            if not value:
+                out.append((None, None) if value is None else ([], 0))
+                continue
+            codes = _codes(value)
+            counts = np.unique(codes, return_counts=True)[1] if codes.max() > 0xFFFF else np.bincount(codes)
+            ends = np.flatnonzero(np.append(codes[1:] != codes[:-1], True))
+            out.append((counts[counts > 0].astype(np.int32), int(np.diff(ends, prepend=-1).max())))
+        return pd.DataFrame(out, columns=["counts", "longest"]).astype({"longest": "Int32"})
+
+    return profile
+
+
+def _largest(counts: list[np.ndarray], top: int) -> np.ndarray:
+    found = np.sort(np.concatenate(counts))[::-1][:top]
+    return np.append(found, np.zeros(top - len(found))).astype(np.float64)
+
+
+# what the regular expressions of the n-gram arrays take for white space
+_SPACES = np.array([*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], dtype=np.uint32)
+
+
+def top_char_ngram_counts(text: Column | str, top: int) -> Column:
+    """The `top` largest counts of `char_ngram_array`, padded with zeros."""
+
+    @F.pandas_udf("array<double>")
+    def counts(values: pd.Series) -> pd.Series:
+        out = []
+        for value in values:
+            if value is None:
+                out.append(None)
+                continue
+            codes = _codes(value)
+            blank = np.isin(codes, _SPACES)
+            c = codes.astype(np.int64)
+            two = (c[:-1] << 21 | c[1:])[~(blank[:-1] & blank[1:])]
+            three = (c[:-2] << 42 | c[1:-1] << 21 | c[2:])[~(blank[:-2] & blank[1:-1] & blank[2:])]
+            out.append(_largest([np.unique(g, return_counts=True)[1] for g in (two, three)], top))
+        return pd.Series(out)
+
+    return counts(F.lower(col(text)))
+
+
+def top_word_ngram_counts(text: Column | str, top: int) -> Column:
+    """The `top` largest counts of `word_ngram_array`, padded with zeros."""
+
+    @F.pandas_udf("array<double>")
+    def counts(values: pd.Series) -> pd.Series:
+        out = []
+        for value in values:
+            if value is None:
+                out.append(None)
+                continue
+            words = pd.factorize(np.array([w for w in value.split(" ") if w], dtype=object))[0].astype(np.int64)
+            n = len(words) + 1
+            two, n_two = np.unique(words[:-1] * n + words[1:], return_inverse=True, return_counts=True)[1:]
+            n_three = np.unique(two[:-1] * n + words[2:], return_counts=True)[1]
+            out.append(_largest([n_two, n_three], top))
+        return pd.Series(out)
+
+    return counts(F.regexp_replace(F.lower(col(text)), java_regex(r"\s+"), " "))
+
+
 def complexity_metrics(text: Column | str) -> dict[str, Column]:
     t = col(text)
     special = F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s\x{A0}]", ""))
@@ -171,7 +249,7 @@ def text_features(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
     with_parts = df.withColumns({
         "_words": words(t),
-        "_chars": F.array_distinct(characters(t)),
+        "_chars": _character_profile()(t),
         "_lower": F.lower(t),
         "_n": F.length(t),
     })
@@ -179,27 +257,27 @@ def text_features(df: DataFrame, text: str = "text") -> DataFrame:
     n_words = F.greatest(F.size("_words"), F.lit(1))
     # Punctuation is a fixed ASCII set, so removal by `translate` counts it.
     no_punct = F.length(F.translate(t, T.FEATURE_PUNCTUATION, ""))
-    space = F.length(F.regexp_replace(t, java_regex(r"[^\s]"), ""))
+    space = F.length(F.regexp_replace(t, java_regex(r"[^\s]+"), ""))
     nd = float(1)
     features = {
         "length": F.col("_n"),
         "word_count": F.size("_words"),
         "char_count": F.length(F.translate(t, " \n", "")),
         "line_count": literal_count(t, "\n") + 1,
-        "entropy": shannon_entropy(t),
-        "char_diversity": F.size("_chars") * nd / n,
+        "entropy": _entropy(F.col("_n"), F.col("_chars.counts")),
+        "char_diversity": F.size("_chars.counts") * nd / n,
         "word_diversity": F.size(F.array_distinct("_words")) * nd / n_words,
         "avg_word_length": F.length(F.array_join("_words", "")) * nd / n_words,
         "punctuation_ratio": (F.col("_n") - no_punct) * nd / n,
-        "special_char_ratio": F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s\x{A0}]", "")) * nd / n,
-        "uppercase_ratio": F.length(F.regexp_replace(t, r"\P{Lu}", "")) * nd / n,
-        "digit_ratio": F.length(F.regexp_replace(t, r"\P{Nd}", "")) * nd / n,
+        "special_char_ratio": F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s\x{A0}]+", "")) * nd / n,
+        "uppercase_ratio": F.length(F.regexp_replace(t, r"\P{Lu}+", "")) * nd / n,
+        "digit_ratio": F.length(F.regexp_replace(t, r"\P{Nd}+", "")) * nd / n,
         "whitespace_ratio": space * nd / n,
         "has_encoding": has(t, T.FEATURE_ENCODING),
         "has_delimiters": has(t, T.FEATURE_DELIMITERS),
         "has_role_markers": has(F.col("_lower"), T.FEATURE_ROLES),
         "has_instructions": has(F.col("_lower"), T.FEATURE_INSTRUCTIONS),
-        "max_repetition": max_repetition(t),
+        "max_repetition": F.coalesce("_chars.longest", F.lit(1)),
     }
     return with_parts.withColumns(features).drop("_words", "_chars", "_lower", "_n")
 

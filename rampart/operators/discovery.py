@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -12,9 +14,9 @@ from pyspark.sql import functions as F
 from rampart.functions import rule_tables as R
 from rampart.functions import text as X
 from rampart.functions.regexes import java_regex
-from rampart.functions.unnest import unnest
+from rampart.functions.unnest import computed_once, unnest
 from rampart.operators.components import connected_components
-from rampart.operators.matching import match_patterns, matches_by_group
+from rampart.operators.matching import hash_bitmap, in_bitmap, match_patterns, matches_by_group
 from rampart.operators.slices import ranked_counts
 from rampart.session import cut_lineage
 
@@ -54,21 +56,11 @@ def cluster_input(events: DataFrame, min_confidence: float = 0.5, verdicts: tupl
 
 
 # --- features --------------------------------------------------------------------------------
-def _top_counts(grams: Column, top: int) -> Column:
-    """Counts of the most frequent elements, padded with zeros: sorted equal elements are one run."""
-    sep = "\x01"
-    joined = F.concat(F.array_join(F.sort_array(grams), sep), F.lit(sep))
-    runs = F.regexp_extract_all(joined, F.lit(r"(?s)([^\x01]+\x01)\1*"), F.lit(0))
-    counts = F.transform(runs, lambda r: (F.length(r) / F.instr(r, sep)).cast("double"))
-    return F.slice(F.concat(F.sort_array(counts, asc=False), F.array_repeat(F.lit(0.0), top)), 1, top)
-
-
 def feature_matrix(df: DataFrame, key: str, text: str = "text", top: int = 10) -> DataFrame:
     """(key, features): 18 scalars, then the ten largest character and word n-gram counts."""
     f = X.text_features(df.select(key, F.col(text).alias("text")))
     scalars = F.array(*[F.col(c).cast("double") for c in X.SCALAR_FEATURES])
-    chars = _top_counts(X.char_ngram_array("text"), top)
-    words = _top_counts(X.word_ngram_array("text"), top)
+    chars, words = X.top_char_ngram_counts("text", top), X.top_word_ngram_counts("text", top)
     return f.select(key, F.concat(scalars, chars, words).alias("features"))
 
 
@@ -132,10 +124,44 @@ def _shaped(g: DataFrame, kind: str | Column) -> DataFrame:
     return g.select("cluster", "regex", k.alias("kind"), (F.col("support") / F.col("_size")).alias("confidence"), "support")
 
 
+def _likely_ngrams(prompts: DataFrame, min_support: int, top: int) -> DataFrame:
+    """(cluster, ngram): all 2- to 4-grams that can be among the `top` of their cluster, repeats included.
+
+    An n-gram is no more frequent than any pair of neighbours in it, and the `top`-th pair is one that
+    the `top`-th n-gram has to reach; so pairs are counted first, as hashes."""
+    plain = F.regexp_replace(F.lower("text"), java_regex(r"\s+"), " ")
+    w, n = F.col("_w"), F.size("_w")
+    rest = F.greatest(n - 1, F.lit(0))
+    split = computed_once(prompts.select("cluster", F.filter(F.split(plain, " "), lambda x: x != "").alias("_w")), "_w")
+    pairs = F.transform(
+        F.arrays_zip(F.slice(w, F.lit(1), rest).alias("a"), F.slice(w, F.lit(2), rest).alias("b")),
+        lambda p: F.xxhash64(F.col("cluster"), p["a"], p["b"]),
+    )
+    paired = split.select("cluster", "_w", pairs.alias("_pairs"))
+    counts = unnest(paired, "_pairs", "__g", "cluster").groupBy("cluster", "__g").agg(F.count("*").alias("support"))
+    counts = cut_lineage(counts.filter(F.col("support") >= min_support))
+    best = Window.partitionBy("cluster").orderBy(F.desc("support"), "__g")
+    head = counts.withColumn("rk", F.row_number().over(best)).filter(F.col("rk") <= top)
+    least = head.groupBy("cluster").agg(F.max(F.when(F.col("rk") == top, F.col("support"))).alias("_least"))
+    bits = hash_bitmap(counts.join(least, "cluster").filter(F.col("support") >= F.coalesce("_least", F.lit(min_support))))
+
+    def likely(values: pd.Series) -> pd.Series:
+        out = []
+        for value in values:
+            two = in_bitmap(bits, np.asarray(value if value is not None else [], dtype=np.int64))
+            three = two[:-1] & two[1:]
+            four = three[:-1] & two[2:]
+            out.append(np.concatenate([np.flatnonzero(x) * 8 + size for size, x in ((2, two), (3, three), (4, four))]))
+        return pd.Series(out)
+
+    at = unnest(paired, F.pandas_udf(likely, "array<long>")("_pairs"), "_at", "cluster", "_w")
+    gram = F.array_join(F.slice("_w", (F.floor(F.col("_at") / 8) + 1).cast("int"), F.pmod("_at", F.lit(8)).cast("int")), " ")
+    return at.select("cluster", gram.alias("ngram"))
+
+
 def frequent_ngram_patterns(prompts: DataFrame, min_support: int = 3, top: int = 20) -> DataFrame:
     """Most frequent 2- to 4-grams of words per cluster (cluster, text), as expressions."""
-    grams = unnest(prompts, X.word_ngram_array("text", 2, 4), "ngram", "cluster")
-    counts = grams.groupBy("cluster", "ngram").agg(F.count("*").alias("support"))
+    counts = _likely_ngrams(prompts, min_support, top).groupBy("cluster", "ngram").agg(F.count("*").alias("support"))
     w = Window.partitionBy("cluster").orderBy(F.desc("support"), "ngram")
     best = counts.withColumn("rk", F.row_number().over(w)).filter((F.col("rk") <= top) & (F.col("support") >= min_support))
     parts = F.transform(F.split("ngram", " "), X.regex_escape)

@@ -118,7 +118,7 @@ def _shingles(patterns: pd.Series) -> pd.Series:
     return patterns.map(of)
 
 
-def _bitmap(grams: DataFrame) -> np.ndarray:
+def hash_bitmap(grams: DataFrame) -> np.ndarray:
     """Which hashes may be among `__g`: a bit for each by its last bits, 8 MB however many there are."""
     at = F.pmod("__g", F.lit(BITS)) + 1
     parts = grams.select(at.alias("__at")).groupBy(F.expr("bitmap_bucket_number(__at)").alias("__part")).agg(
@@ -130,6 +130,11 @@ def _bitmap(grams: DataFrame) -> np.ndarray:
     return out
 
 
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    low = hashes & (BITS - 1)
+    return (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+
+
 def _present(bits: np.ndarray, folded: Column) -> Column:
     """The distinct shingles of a text that `bits` may hold."""
 
@@ -137,8 +142,7 @@ def _present(bits: np.ndarray, folded: Column) -> Column:
         out = []
         for value in values:
             at = _windows(value or "")
-            low = at & np.uint64(BITS - 1)
-            out.append(np.unique(at[(bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1]).view(np.int64))
+            out.append(np.unique(at[in_bitmap(bits, at.view(np.int64))]).view(np.int64))
         return pd.Series(out)
 
     return F.pandas_udf(found, "array<long>")(folded)
@@ -177,11 +181,11 @@ def _indexed(texts: DataFrame, rules: DataFrame, text: str, rule_id: str, patter
     numbered = texts.withColumns({"__by": group, "__tid": F.unhex(F.sha2(F.col(text).cast("binary"), 256))})
     options = keyed.select("__by", "__rid", "__p", F.explode("__grams").alias("__g"))
     # each rule is looked up under its rarest shingle
-    seen = unnest(numbered, _present(_bitmap(options), _folded(text)), "__g", "__by").groupBy("__by", "__g").agg(F.count("*").alias("__n"))
+    seen = unnest(numbered, _present(hash_bitmap(options), _folded(text)), "__g", "__by").groupBy("__by", "__g").agg(F.count("*").alias("__n"))
     ranked = cut_lineage(options.join(seen, ["__by", "__g"], "left").groupBy("__by", "__rid", "__p").agg(
         F.min_by("__g", F.struct(F.coalesce("__n", F.lit(0)), F.col("__g"))).alias("__g")
     ))
-    held = computed_once(numbered.withColumn("__held", _present(_bitmap(ranked), _folded(text))), "__held").filter(F.size("__held") > 0)
+    held = computed_once(numbered.withColumn("__held", _present(hash_bitmap(ranked), _folded(text))), "__held").filter(F.size("__held") > 0)
     posted = unnest(held, "__held", "__g", "__by", "__tid").distinct()
     candidates = posted.join(ranked, ["__by", "__g"]).groupBy("__by", "__tid").agg(
         F.collect_list(F.struct("__rid", "__p")).alias("__rules")  # one text's candidates
