@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -138,10 +142,21 @@ def _max_rep(spark, path):
 
 
 def _top_ngrams(df, key: str, grams, top: int = 100):
-    """Most common n-grams per text; counts are combined in the task that holds the text."""
-    counts = unnest(df, grams, "ngram", key).groupBy(key, "ngram").agg(F.count("*").alias("n"))
+    """Most common n-grams per text.  Where a key has one row, as nearly all have, its n-grams are counted
+    and ranked in that row and only the `top` leave it; other keys' counts are put together first."""
+    alone = df.groupBy(key).agg(F.count("*").alias("_rows")).filter("_rows = 1").select(key, F.lit(True).alias("_alone"))
+    known = df.join(alone, key, "left")
+
+    @F.pandas_udf("array<struct<ngram string, n long>>")
+    def ranked(values: pd.Series) -> pd.Series:
+        counts = (Counter(v if v is not None else ()) for v in values)
+        return pd.Series([[{"ngram": g, "n": n} for n, g in heapq.nsmallest(top, ((-n, g) for g, n in c.items()))] for c in counts])
+
+    found = known.filter("_alone").select(key, F.posexplode_outer(ranked(grams)).alias("_at", "g")).filter("g is not null")
+    single = found.select(key, "g.ngram", (-F.col("g.n")).alias("n"), (F.col("_at") + 1).alias("rk"))
+    counts = unnest(known.filter("_alone is null"), grams, "ngram", key).groupBy(key, "ngram").agg(F.count("*").alias("n"))
     w = Window.partitionBy(key).orderBy(F.desc("n"), "ngram")
-    return counts.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= top)
+    return single.unionByName(counts.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= top))
 
 
 @query("char_ngrams", with_ctes("messages", """, p AS (SELECT conv_id * 1000 + turn AS msg, lower(text) AS t FROM messages),

@@ -10,6 +10,7 @@ from rampart.functions import text as X
 from rampart.operators import discovery, neighbours, threats
 from rampart.operators import slices as S
 from rampart.plans import sources
+from rampart.plans import text as plans_text
 from rampart.session import BATCH_BYTES, prepare
 from rampart.streaming import streams
 
@@ -102,3 +103,15 @@ def test_keyed_state_steps_in_parts(spark, tmp_path, monkeypatch):
 
 def test_python_gets_small_batches(spark):
     assert int(prepare(spark).conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH_BYTES
+
+
+def test_ngrams_of_a_lone_row_are_ranked_in_it(spark):
+    texts = [(1, "abcabcab"), (2, "xyx"), (2, "xy z"), (None, "qqq"), (None, "qq"), (3, None), (4, ""), (5, "é漢é漢 \U0001f600")]
+    df = spark.createDataFrame(texts, "k int, text string")
+    found = plans_text._top_ngrams(df, "k", X.char_ngram_array("text"), 3)
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for r in df.select("k", X.char_ngram_array("text").alias("g")).collect():
+        want.setdefault(r.k, Counter()).update(r.g or [])
+    ranked = {(k, g, n, i + 1) for k, c in want.items() for i, (n, g) in enumerate(sorted((-n, g) for g, n in c.items())[:3])}
+    assert {(r.k, r.ngram, -r.n, r.rk) for r in found.collect()} == ranked
