@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rampart.functions.unnest import computed_once, unnest
 from rampart.operators import pii as P
+from rampart.session import cut_lineage
 
 # fixed values: weight of a type in the privacy risk
 RISK_WEIGHTS = {
@@ -88,7 +89,11 @@ def mask_prompts(
     extra: dict[str, str] | None = None,
 ) -> DataFrame:
     """Adds masked_text, masked_count, masked_items (type, position, length, masked value)."""
-    found = computed_once(df.withColumn("_spans", P.spans(text, types=types)), "_spans")
+    return _replaced(computed_once(df.withColumn("_spans", P.spans(text, types=types)), "_spans"), strategy, text, extra)
+
+
+def _replaced(found: DataFrame, strategy: str, text: str, extra: dict[str, str] | None = None) -> DataFrame:
+    """mask_prompts from the spans found."""
     out = F.when(
         F.size("_spans") > 0, P.replace_spans(F.col(text), F.col("_spans"), lambda s: masked(s, strategy))
     ).otherwise(F.col(text))
@@ -109,10 +114,11 @@ def token(value: Column) -> Column:
 
 
 def tokenize_values(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(texts with tokens, vault of distinct token -> value)."""
-    replaced = mask_prompts(df, "tokenize", text)
-    found = unnest(df, P.spans(text), "s")
-    vault = found.select(token(F.col("s.text")).alias("token"), F.col("s.text").alias("value")).distinct()
+    """(texts with tokens, vault of distinct token -> value).  The spans that both are made from are found once and kept."""
+    found = cut_lineage(df.withColumn("_low", F.lower(text)).withColumn("_spans", P.spans(text, "_low")).drop("_low"))
+    replaced = _replaced(found, "tokenize", text)
+    each = unnest(found, "_spans", "s")
+    vault = each.select(token(F.col("s.text")).alias("token"), F.col("s.text").alias("value")).distinct()
     return replaced, vault
 
 

@@ -115,3 +115,13 @@ def test_encryption_needs_the_key(spark):
     enc = V.encrypt_columns(df, ["v"], F.lit("0123456789abcdef"))
     assert {r.v for r in V.decrypt_columns(enc, ["v"], F.lit("0123456789abcdef")).collect()} == {"a", "b"}
     assert {r.v for r in V.decrypt_columns(enc, ["v"], F.lit("fedcba9876543210")).collect()} == {None}
+
+
+def test_values_for_tokens_are_found_once(spark):
+    """The vault is made from the spans that the texts with tokens were made from, not from another pass of all expressions."""
+    texts = spark.createDataFrame([(1, "Mail a.b@example.com or A.B@example.com"), (2, None), (3, "SSN 123-45-6789, a.b@example.com"), (4, "none")], "doc_id long, text string")
+    replaced, vault = V.tokenize_values(texts)
+    assert "rlike" not in vault._jdf.queryExecution().toString().lower()
+    assert sorted(r.value for r in vault.collect()) == ["123-45-6789", "A.B@example.com", "a.b@example.com"]
+    back = {r.doc_id: r.restored for r in V.detokenize(replaced.select("doc_id", "masked_text"), "doc_id", vault).collect()}
+    assert {k: v for k, v in back.items() if v is not None} == {r.doc_id: r.text for r in texts.collect() if r.text is not None}
