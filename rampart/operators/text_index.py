@@ -1,15 +1,16 @@
 """A positional inverted index over texts, kept as tables, and tables of searches answered by joins.
 
-Words are runs of letters, digits and underscores, in lower case; places are counted from 0.  Postings lie in the
-order of (term, document) and are cut into parts of about equal size; a directory says which parts hold a term, so
-that a frequent term is met in many pieces and a rare one in one.  A posting holds at most PLACES places.
+Words are runs of letters, digits and underscores, in lower case; places are counted from 0.  Postings stay where
+they are made, run by run of documents, and are never sorted as a whole; a part is a piece of the table.  A directory
+says which parts hold a term and what they hold of it, so that a frequent term is met in many pieces and a rare one
+in one.  A posting holds at most PLACES places.
 
 A search is (search_id, kind, query, slack):
   * term: one word;
   * wildcard: a word with `*` (any characters) and `?` (one); candidates share the pattern's rarest gram;
   * fuzzy: a word within `slack` (at most 2) edits; candidates share what is left after that many deletions;
   * phrase: words in their order with at most `slack` others between them, found from the rarest word outwards.
-    Phrases that begin alike are followed once, so a place of the corpus carries few rows, whatever is asked.
+    A run's postings are followed together, as hashes of the ways that some phrase takes; whole ways are then joined.
 Equal searches are answered once.  A null or empty text holds no word; a null query, one of another kind and a term
 or fuzzy query that is not one word find nothing.  Rows may share an id or have none: each is a document of its own."""
 
@@ -30,14 +31,16 @@ from rampart.session import checkpoint_dir
 WORD = r"[\p{L}\p{N}_]+"
 #: Words inverted at once (or one text), and the most places in one posting.
 WORDS_AT_ONCE, PLACES = 500_000, 1024
+#: Bits of the filters that are broadcast.
+FILTER_BITS = 1 << 26
 #: Grams of a word for wildcards; leading characters whose deletions stand for a word in fuzzy searches.
 GRAM, LEADING, MOST_EDITS = 4, 8, 2
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """postings: term, part, base, at (documents since base in the upper 32 bits, the place in the lower);
-    directory: term, part, n_places; docs: doc, id."""
+    """postings: term, part, base, at (documents since base in the upper 32 bits, the place in the lower), n_docs (that
+    begin in it), first_id, last_id; directory: term, part and the sums of these; docs: doc, id."""
 
     postings: DataFrame
     directory: DataFrame
@@ -57,7 +60,8 @@ def _written(df: DataFrame) -> DataFrame:
 
 def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of runs of rows, and for each run a row without a term that holds its ids."""
-    names = ["term", "base", "at", "ids"]
+    names = ["term", "base", "at", "n_docs", "first_id", "last_id", "ids"]
+    top = np.iinfo("int64").max
     for batch in batches:
         sizes = batch.column("words").value_lengths().to_numpy(zero_copy_only=False)
         piece = np.cumsum(sizes, dtype="int64") // WORDS_AT_ONCE
@@ -67,8 +71,8 @@ def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             rows, lengths = batch.slice(a, b - a), sizes[a:b].astype("int64")
             base, ids = rows.column("doc")[0].as_py(), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), rows.column("id"))
-            none = pa.nulls(1, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([base]), none, ids], names)
+            none = [pa.nulls(1, pa.list_(pa.int64())), *[pa.nulls(1, pa.int64())] * 3]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([base]), *none, ids], names)
             coded = rows.column("words").flatten().dictionary_encode()
             if not len(coded):
                 continue
@@ -82,25 +86,32 @@ def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.flatnonzero(since % PLACES == 0)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(at)], pa.int32()), pa.array(at))
             terms = coded.dictionary.take(pa.array(code[first]))
-            yield pa.RecordBatch.from_arrays([terms, pa.array(np.full(len(first), base)), lists, pa.nulls(len(first), pa.list_(pa.int64()))], names)
+            doc = at >> 32
+            n_docs = np.add.reduceat((begin | np.r_[True, np.diff(doc) != 0]).astype("int64"), first)
+            known = rows.column("id").is_valid().to_numpy(zero_copy_only=False)
+            number = rows.column("id").fill_null(0).to_numpy()
+            some = ~np.logical_or.reduceat(known[doc], first)
+            low = pa.array(np.minimum.reduceat(np.where(known, number, top)[doc], first), mask=some)
+            high = pa.array(np.maximum.reduceat(np.where(known, number, -top - 1)[doc], first), mask=some)
+            none = pa.nulls(len(first), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([terms, pa.array(np.full(len(first), base)), lists, pa.array(n_docs), low, high, none], names)
 
 
 def build_index(df: DataFrame, id_col: str, text: str) -> TextIndex:
     """An index of every word of every row."""
     rows = df.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).cast("long").alias("id"), words(text).alias("words"))
-    raw = _written(rows.mapInArrow(_invert, "term string, base long, at array<long>, ids array<long>"))
+    raw = _written(rows.mapInArrow(_invert, "term string, base long, at array<long>, n_docs long, first_id long, last_id long, ids array<long>"))
     docs = raw.filter("term IS NULL").select("base", F.posexplode("ids").alias("n", "id")).select((F.col("base") + F.col("n")).alias("doc"), "id")
-    laid = raw.filter("term IS NOT NULL").drop("ids").repartitionByRange("term", "base").withColumn("part", F.spark_partition_id())
-    postings = _written(laid.sortWithinPartitions("term", "base"))
-    directory = postings.groupBy("term", "part").agg(F.sum(F.size("at")).alias("n_places"))
+    postings = raw.filter("term IS NOT NULL").drop("ids").withColumn("part", F.shiftright("base", 33))  # the piece that numbered the documents
+    sums = [F.sum(F.size("at")).alias("n_places"), F.sum("n_docs").alias("n_docs"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id")]
+    directory = postings.groupBy("term", "part").agg(*sums)
     return TextIndex(postings, _written(directory), _written(docs))
 
 
-def _places(index: TextIndex, wanted: DataFrame, *keep: str) -> DataFrame:
-    """keep, doc, place: where the terms of `wanted` stand, part by part.  Its size is known to the planner, as it is written first."""
-    met = _written(_written(wanted).join(index.directory.select("term", "part"), "term")).join(index.postings, ["term", "part"])
-    each = met.select(*keep, "base", F.explode("at").alias("at"))
-    return each.select(*keep, (F.col("base") + F.shiftright("at", 32)).alias("doc"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"))
+def _met(index: TextIndex, wanted: DataFrame) -> DataFrame:
+    """skey, base, at: the postings of the terms of `wanted`, part by part.  Its size is known to the planner, as it is written first."""
+    parts = _written(wanted.join(index.directory.select("term", "part"), "term"))
+    return parts.join(index.postings, ["term", "part"]).select("skey", "base", "at")
 
 
 def _grams(word: Column) -> Column:
@@ -159,63 +170,161 @@ def _close(terms: DataFrame, asked: DataFrame) -> DataFrame:
     return posted.join(options, "left").filter(near).select("skey", "term").distinct()
 
 
-def _word_hits(index: TextIndex, asked: DataFrame) -> DataFrame:
+def _word_terms(index: TextIndex, asked: DataFrame) -> DataFrame:
+    """skey, term: the words that each search for words means."""
     terms = _written(index.directory.select("term").distinct())
     plain = asked.filter("kind = 'term'").withColumn("w", words("query")).filter(F.size("w") == 1).select("skey", F.col("w")[0].alias("term"))
-    wanted = plain.unionByName(_wildcards(terms, asked.filter("kind = 'wildcard'"))).unionByName(_close(terms, asked.filter("kind = 'fuzzy'")))
-    return _places(index, wanted, "skey").groupBy("skey", "doc").agg(F.count("*").alias("n_places"))
+    return plain.unionByName(_wildcards(terms, asked.filter("kind = 'wildcard'"))).unionByName(_close(terms, asked.filter("kind = 'fuzzy'")))
+
+
+def _word_hits(index: TextIndex, asked: DataFrame) -> DataFrame:
+    each = _met(index, _word_terms(index, asked)).select("skey", "base", F.explode("at").alias("at"))
+    return each.groupBy("skey", (F.col("base") + F.shiftright("at", 32)).alias("doc")).agg(F.count("*").alias("n_places"))
 
 
-def _steps(index: TextIndex, asked: DataFrame) -> DataFrame:
-    """skey, step, node, parent, way, term, slack, last: each phrase from its rarest word to its end, then to its start."""
+def _word_counts(index: TextIndex, asked: DataFrame) -> DataFrame:
+    """skey, n_docs, n_places, first_id, last_id.  All but n_docs are sums over terms, and for a search that means one term so is
+    n_docs: the directory has them.  Only documents with any of several terms are counted from postings, a run at a time."""
+    wanted = _written(_word_terms(index, asked))
+    of_term = index.directory.groupBy("term").agg(
+        F.sum("n_places").alias("n_places"), F.sum("n_docs").alias("n_docs"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id")
+    )
+    summed = _written(wanted.join(of_term, "term").groupBy("skey").agg(
+        F.count("*").alias("n_terms"), F.sum("n_docs").alias("n_docs"), F.sum("n_places").alias("n_places"),
+        F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"),
+    ))
+    several = wanted.join(summed.filter("n_terms > 1").select("skey"), "skey")
+    met = _met(index, several).select("skey", "base", F.array_distinct(F.transform("at", lambda x: F.shiftright(x, 32).cast("int"))).alias("docs"))
+    runs = met.groupBy("skey", "base").agg(F.size(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("n"))
+    counted = runs.groupBy("skey").agg(F.sum("n").alias("n_any"))
+    joined = summed.join(counted, "skey", "left")
+    return joined.select("skey", F.coalesce("n_any", "n_docs").alias("n_docs"), "n_places", "first_id", "last_id")
+
+
+def _ways(index: TextIndex, asked: DataFrame) -> DataFrame:
+    """skey, slack, at, w: the phrases whose words all stand somewhere, and which word is the rarest."""
     counted = index.directory.groupBy("term").agg(F.sum("n_places").alias("n"))
     phrases = asked.filter("kind = 'phrase'").select("skey", F.greatest("slack", F.lit(0)).alias("slack"), words("query").alias("w"))
     known = phrases.select("skey", F.posexplode("w").alias("at", "term")).join(counted, "term")
     anchor = known.groupBy("skey").agg(F.min_by("at", F.struct("n", "at")).alias("at"), F.count("*").alias("found"))
-    whole = phrases.join(anchor, "skey").filter(F.size("w") == F.col("found"))
-    way = lambda sign, ws: F.transform(ws, lambda w: F.concat(F.lit(sign), w))
-    path = F.concat(
-        way("=", F.slice("w", F.col("at") + 1, F.lit(1))),
-        way(">", F.slice("w", F.col("at") + 2, F.size("w"))),
-        way("<", F.reverse(F.slice("w", F.lit(1), F.col("at")))),
-    )
-    walked = whole.select("skey", "slack", path.alias("path")).select("*", F.posexplode("path").alias("step", "move"))
-    node = lambda n: F.concat_ws(" ", F.col("slack").cast("string"), F.slice("path", F.lit(1), n))
-    return walked.select(
-        "skey", "step", "slack", node(F.col("step") + 1).alias("node"), node(F.col("step")).alias("parent"),
-        F.substring("move", 1, 1).alias("way"), F.expr("substring(move, 2)").alias("term"), (F.col("step") + 1 == F.size("path")).alias("last"),
-    )
+    return phrases.join(anchor, "skey").filter(F.size("w") == F.col("found")).select("skey", "slack", "at", "w")
+
+
+def _step(before: np.ndarray, way: int, term: np.ndarray) -> np.ndarray:
+    """Hashes of ways that go on to a term, ahead (1) or back (2), or end (3)."""
+    h = (before ^ term) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(way)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slot of every step of a way, from the rarest word to the end, then to the start, and of its end."""
+    for batch in batches:
+        out = [np.zeros(0, np.int64)]
+        for slack, at, term in zip(*(batch.column(n).to_pylist() for n in ("slack", "at", "h"))):
+            h = np.array(term, np.int64).view(np.uint64)
+            steps = [_step(np.array([slack], np.uint64), 0, h[at : at + 1])]
+            for way, i in [(1, i) for i in range(at + 1, len(h))] + [(2, i) for i in range(at - 1, -1, -1)]:
+                steps.append(_step(steps[-1], way, h[i : i + 1]))
+            steps.append(_step(steps[-1], 3, np.zeros(1, np.uint64)))
+            out.append((np.concatenate(steps) % np.uint64(FILTER_BITS)).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], ["slot"])
+
+
+def _bitmap(slots: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, whatever is asked: small enough to send to every task."""
+    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    rows = slots.groupBy(F.expr("slot div 64").alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[rows["w"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h % np.uint64(FILTER_BITS)
+    return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _follow(bits: np.ndarray, slacks: list[int], at: np.ndarray, code: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(slack, way, document) of all that may be phrases in a run: a way is how many of its words lie ahead of the first, and
+    their codes."""
+    for slack in slacks:
+        h = _step(np.full(len(at), slack, np.uint64), 0, term[code])
+        on = np.flatnonzero(_in(bits, h))
+        lo, hi, h, way = at[on], at[on], h[on], np.c_[np.zeros(len(on), np.int64), code[on]]
+        while len(lo):
+            end = _in(bits, _step(h, 3, np.zeros(1, np.uint64)))
+            if end.any():
+                yield slack, way[end], lo[end] >> 32
+            found = []
+            used = (hi - lo) - (way.shape[1] - 2)
+            ahead = way[:, 0] == way.shape[1] - 2  # it has not turned back yet
+            for skip in range(int((slack - used).max()) + 1):
+                for sign, start, free in ((1, hi + 1 + skip, ahead), (2, lo - 1 - skip, True)):
+                    ok = np.flatnonzero(free & (used + skip <= slack) & (start >> 32 == lo >> 32))
+                    seat = np.minimum(np.searchsorted(at, start[ok]), len(at) - 1)
+                    stands = at[seat] == start[ok]
+                    ok, seat = ok[stands], seat[stands]
+                    to = _step(h[ok], sign, term[code[seat]])
+                    hit = _in(bits, to)
+                    ok, seat, to = ok[hit], seat[hit], to[hit]
+                    there = np.c_[way[ok, 0] + (sign == 1), way[ok, 1:], code[seat]]
+                    found.append((np.minimum(lo[ok], at[seat]), np.maximum(hi[ok], at[seat]), to, there))
+            lo, hi, h, way = (np.concatenate(x) for x in zip(*found))
+            if slack and len(lo):  # one span may be reached through different gaps
+                once = np.unique(np.c_[lo, hi, way], axis=0, return_index=True)[1]
+                lo, hi, h, way = lo[once], hi[once], h[once], way[once]
 
 
 def _phrase_hits(index: TextIndex, asked: DataFrame) -> DataFrame:
-    steps = _written(_steps(index, asked))
-    nodes = _written(steps.select("step", "slack", "node", "parent", "way", "term").distinct().withColumn("nid", F.monotonically_increasing_id()))
-    ends = steps.filter("last").join(nodes.select("node", "nid"), "node").select("nid", "skey")
-    numbers = _written(nodes.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()))
-    parents = nodes.select(F.col("node").alias("parent"), F.col("nid").alias("from"))
-    edges = nodes.filter("step > 0").join(parents, "parent").join(numbers, "term")
-    edges = _written(edges.select("step", "from", "way", "term", "tid", "slack", F.col("nid").alias("to")))
-    depth, slack = steps.agg(F.coalesce(F.max("step"), F.lit(-1)), F.coalesce(F.max("slack"), F.lit(0))).first()
-    begun = _places(index, nodes.filter("step = 0").select("nid", "term"), "nid")
-    spans = begun.select("nid", "doc", F.col("place").alias("lo"), F.col("place").alias("hi"))
-    found = []
-    for step in range(depth + 1):
-        if step:
-            edge = edges.filter(F.col("step") == step)
-            ahead = spans.withColumnRenamed("nid", "from").join(edge.groupBy("from", "way").agg(F.max("slack").alias("slack")), "from")
-            used = F.col("hi") - F.col("lo") + 1 - step
-            ahead = ahead.withColumn("skip", F.explode(F.sequence(F.lit(0), F.col("slack") - used)))
-            there = F.when(F.col("way") == ">", F.col("hi") + 1 + F.col("skip")).otherwise(F.col("lo") - 1 - F.col("skip"))
-            ahead = ahead.withColumn("place", there).drop("slack", "skip").filter("place >= 0")
-            stand = _places(index, edge.select("term", "tid").distinct(), "tid")
-            met = ahead.join(stand, ["doc", "place"]).join(edge.select("from", "way", "tid", "to"), ["from", "way", "tid"])
-            spans = met.select(F.col("to").alias("nid"), "doc", F.least("lo", "place").alias("lo"), F.greatest("hi", "place").alias("hi"))
-            # one span may be reached through different gaps
-            spans = spans.distinct() if slack else spans
-        spans = _written(spans)
-        found.append(spans.join(ends, "nid").select("skey", "doc"))
-    found = found or [spans.join(ends, "nid").select("skey", "doc")]
-    return reduce(DataFrame.unionByName, found).groupBy("skey", "doc").agg(F.count("*").alias("n_places"))
+    spark = asked.sparkSession
+    ways = _written(_ways(index, asked))
+    slacks = sorted(r[0] for r in ways.select("slack").distinct().collect())
+    steps = ways.select("slack", "at", F.transform("w", lambda w: F.xxhash64(w)).alias("h")).mapInArrow(_hashed, "slot long")
+    bits = spark.sparkContext.broadcast(_bitmap(steps))
+    asked_terms = spark.sparkContext.broadcast(_bitmap(ways.select(F.explode("w").alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(FILTER_BITS)).alias("slot"))))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in(asked_terms.value, batch.column("h").to_numpy().view(np.uint64))))
+
+    def run(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        lists = table.column("at").combine_chunks()
+        at = lists.flatten().to_numpy()
+        names = table.column("term").combine_chunks().dictionary_encode()
+        code = np.repeat(names.indices.to_numpy(), lists.value_lengths().to_numpy())
+        term = np.zeros(len(names.dictionary), np.uint64)
+        term[names.indices.to_numpy()] = table.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(at)
+        base = table.column("base")[0].as_py()
+        for slack, way, doc in _follow(bits.value, slacks, at[order], code[order].astype(np.int64), term):
+            each, n = np.unique(np.c_[doc, way], axis=0, return_counts=True)
+            w = pa.ListArray.from_arrays(pa.array(np.arange(0, len(each) * (way.shape[1] - 1) + 1, way.shape[1] - 1), pa.int32()), names.dictionary.take(pa.array(each[:, 2:].ravel())))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), slack)), pa.array(each[:, 1]), w, pa.array(each[:, 0] + base), pa.array(n)], ["slack", "ahead", "way", "doc", "n_places"])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Postings come run by run; a run may go on in the next batch."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            base = batch.column("base").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(base)) + 1), len(base)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and held[0].column("base")[0].as_py() != base[a]:
+                    yield from run(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from run(held)
+
+    hashed = index.postings.select("base", "term", "at", F.xxhash64("term").alias("h")).mapInArrow(wanted, "base long, term string, at array<long>, h long")
+    runs = hashed.repartition("base").sortWithinPartitions("base")
+    met = runs.mapInArrow(follow, "slack long, ahead long, way array<string>, doc long, n_places long")
+    way = F.concat(F.slice("w", F.col("at") + 1, F.size("w")), F.reverse(F.slice("w", F.lit(1), F.col("at"))))
+    whole = _written(ways.select("skey", F.col("slack").cast("long").alias("slack"), (F.size("w") - 1 - F.col("at")).cast("long").alias("ahead"), way.alias("way")))
+    return met.join(whole, ["slack", "ahead", "way"]).select("skey", "doc", "n_places")
 
 
 def _asked(searches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -223,21 +332,19 @@ def _asked(searches: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, _written(rows.drop("search_id").distinct().withColumn("skey", F.monotonically_increasing_id()))
 
 
-def _hits(index: TextIndex, asked: DataFrame) -> DataFrame:
-    return _word_hits(index, asked).unionByName(_phrase_hits(index, asked)).join(index.docs, "doc")
-
-
 def search(index: TextIndex, searches: DataFrame) -> DataFrame:
     """search_id, kind, query, slack, id, n_places: a row for every search and document that meets it."""
     rows, asked = _asked(searches)
-    return rows.join(asked, ["kind", "query", "slack"]).join(_hits(index, asked), "skey").drop("skey", "doc")
+    hits = _word_hits(index, asked).unionByName(_phrase_hits(index, asked)).join(index.docs, "doc")
+    return rows.join(asked, ["kind", "query", "slack"]).join(hits, "skey").drop("skey", "doc")
 
 
 def search_counts(index: TextIndex, searches: DataFrame) -> DataFrame:
     """search_id, kind, query, slack, n_docs, n_places, first_id, last_id per search.  Hits of equal searches are not repeated."""
     rows, asked = _asked(searches)
-    counted = _hits(index, asked).groupBy("skey").agg(
+    phrases = _phrase_hits(index, asked).join(index.docs, "doc").groupBy("skey").agg(
         F.count("*").alias("n_docs"), F.sum("n_places").alias("n_places"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
     )
+    counted = _word_counts(index, asked).unionByName(phrases)
     out = rows.join(asked.join(counted, "skey", "left").drop("skey"), ["kind", "query", "slack"])
     return out.fillna(0, ["n_docs", "n_places"])

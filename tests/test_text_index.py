@@ -110,3 +110,47 @@ def test_a_frequent_term_lies_in_many_parts(spark, monkeypatch):
     assert sum(parts) == 4000 and len(parts) > 2 and max(parts) < 2000
     counts = TI.search_counts(index, spark.createDataFrame([(1, "term", "common", 0), (2, "term", "absent", 0)], ASKED)).orderBy("search_id").collect()
     assert [(r.n_docs, r.n_places, r.first_id, r.last_id) for r in counts] == [(2000, 4000, 0, 1999), (0, 0, None, None)]
+
+
+def test_a_search_for_one_term_is_counted_from_the_directory(spark, monkeypatch):
+    """No row for every document with the term: with no postings at all the counts are the same."""
+    monkeypatch.setattr(TI, "PLACES", 3)
+    docs = [(1, "a a a a a b", None), (None, "a", None), (3, "b a", None), (None, "c", None)]
+    index = TI.build_index(spark.createDataFrame(docs, DOCS), "doc_id", "text")
+    index = TI.TextIndex(index.postings.limit(0), index.directory, index.docs)
+    counts = TI.search_counts(index, spark.createDataFrame([(i, "term", t, 0) for i, t in enumerate("abc")], ASKED)).orderBy("search_id").collect()
+    assert [(r.n_docs, r.n_places, r.first_id, r.last_id) for r in counts] == [(3, 7, 1, 3), (2, 2, 1, 3), (1, 1, None, None)]
+
+
+def test_counts_are_those_of_the_hits(spark, monkeypatch):
+    """Documents with several of a search's terms count once, also where runs and postings are cut."""
+    monkeypatch.setattr(TI, "WORDS_AT_ONCE", 20)
+    monkeypatch.setattr(TI, "PLACES", 2)
+    rng = random.Random(3)
+    docs = [(rng.choice([None, i, 7]), " ".join(rng.choices(["aa", "ab", "ba", "aab", "b"], k=rng.choice([0, 2, 9, 30]))), None) for i in range(60)]
+    asked = [(1, "wildcard", "a*", 0), (2, "wildcard", "*", 0), (3, "fuzzy", "aa", 1), (4, "fuzzy", "b", 2), (5, "phrase", "aa ab", 1), (6, "term", "b", 0), (7, "phrase", "b b b", 0)]
+    index = TI.build_index(spark.createDataFrame(docs, DOCS), "doc_id", "text")
+    counts = TI.search_counts(index, spark.createDataFrame(asked, ASKED)).collect()
+    alone = [[d] for d in docs]
+    for r in counts:
+        search = next(a for a in asked if a[0] == r.search_id)
+        hits = [(h[0][4], h[0][5]) for h in (plain(d, [search]) for d in alone) if h]
+        ids = [i for i, _ in hits if i is not None]
+        assert (r.n_docs, r.n_places, r.first_id, r.last_id) == (len(hits), sum(n for _, n in hits), min(ids, default=None), max(ids, default=None))
+
+
+def test_places_of_phrases_are_followed_where_the_postings_are(spark, monkeypatch):
+    """Frequent words that nowhere stand as asked: no place of theirs is kept."""
+    docs = [(i, "x a y b z " * 20, None) for i in range(100)]
+    index = TI.build_index(spark.createDataFrame(docs, DOCS), "doc_id", "text")
+    kept, written = [], TI._written
+
+    def counting(df):
+        out = written(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(TI, "_written", counting)
+    found = TI.search(index, spark.createDataFrame([(1, "phrase", "a b", 0), (2, "phrase", "b a x", 0), (3, "phrase", "y b z", 0)], ASKED))
+    assert [(r.search_id, r.id, r.n_places) for r in found.orderBy("id").collect()] == [(3, i, 20) for i in range(100)]
+    assert max(kept) < 100
