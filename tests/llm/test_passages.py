@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 
 from rampart.llm import passages
 
@@ -158,3 +159,68 @@ def test_parts_are_the_longest_stretches():
         if good:
             assert max(min(s[j] - s[i], t[j] - t[i]) + 1 for i, j in found) == max(good)[0]
             assert all(any(i <= q and p <= j for p, q in found) for _, i, j in good)  # nothing more fits beside them
+
+
+def test_rows_are_hashed_together_as_alone():
+    texts = ["", "a b", None, " A  b\tc d e ", "x", "f g h i j k l m n o p q r s t u v w x y z"] * 3
+    column = pa.array(["cut", *texts], pa.string()).slice(1)
+    words, edges = passages.hashed(column)
+    h, at, starts, seed = passages.seeds(words, edges, 5, 6)
+    assert [words[s:e].tolist() for s, e in zip(edges, edges[1:])] == [passages.word_hashes((t or "").encode()).tolist() for t in texts]
+    for i, (s, e) in enumerate(zip(edges, edges[1:])):
+        grams = passages.grams(words[s:e], 5)
+        want = [w + int(grams[w : w + 6].argmin()) for w in range(max(len(grams) - 5, min(len(grams), 1)))]
+        mine = (at >= s) & (at < e)
+        assert sorted(at[mine] - s) == sorted(set(want)) and set(h[mine].view(np.uint64)) == {grams[w] for w in want}
+        if len(grams) >= 6:
+            whole = (starts >= s) & (starts < e)
+            assert (starts[whole] - s).tolist() == list(range(len(grams) - 5)) and (at[seed[whole]] - s).tolist() == want
+
+
+def test_ties_in_order_are_chained_without_the_tree(monkeypatch):
+    """Pairs of documents together give what each gives alone; only pairs out of order go through the tree."""
+    rng, rows, calls, tree = np.random.default_rng(4), [], [], passages._tree
+    monkeypatch.setattr(passages, "_tree", lambda a, *more: calls.append(len(a)) or tree(a, *more))
+    for doc in range(200):
+        a = np.sort(rng.choice(400, 12, replace=False))
+        b = rng.permutation(a) if doc % 10 == 0 else a + doc
+        rows += [(doc, doc // 3, x, y) for x, y in zip(a, b)]
+    doc, ref, a, b = np.array(rows).T
+    for fewest in (1, 2, 3):
+        order, edges = passages.lined_up(doc, ref, a, b, 32, fewest)
+        found = sorted((doc[i[0]], *a[i], *b[i]) for i in np.split(order, edges[1:-1]))
+        alone = [(d, *a[doc == d][i], *b[doc == d][i]) for d in range(200) for i in passages.chains(a[doc == d], b[doc == d], 32) if len(i) >= fewest]
+        assert found == sorted(alone)
+    assert set(calls) == {12} and len(calls) == 3 * (20 + 20)
+
+
+def test_straight_chains_are_compared_as_by_align():
+    rng = np.random.default_rng(8)
+    sides, xs, ys, a, b, n, want = ([], []), [0], [0], [], [], [], []
+    for _ in range(600):
+        x = rng.integers(0, 10**6, int(rng.integers(30, 180)))
+        y = np.where(rng.random(len(x)) < rng.choice([0, 0.1, 0.3]), rng.integers(0, 3, len(x)), x)
+        p = int(rng.integers(0, len(x) - 12))
+        size = int(rng.integers(5, min(len(x) - p, 90) + 1))
+        y[p : p + 5] = x[p : p + 5]
+        y[p + size - 5 : p + size] = x[p + size - 5 : p + size]
+        gone = int(rng.integers(0, min(p, 20) + 1))
+        y = y[gone:]
+        anchors = np.array([p, p + size - 5][: 2 if size > 5 else 1])
+        sides[0].append(x), sides[1].append(y), a.append(p), b.append(p - gone), n.append(size)
+        xs.append(xs[-1] + len(x)), ys.append(ys[-1] + len(y))
+        want.append(passages.align(x, y, anchors, anchors - gone, 5, 40, 0.8))
+    x, y = map(np.concatenate, sides)
+    xs, ys = (np.array((at[:-1], at[1:])) for at in (xs, ys))
+    spans, sure = passages.straight(x, y, xs, ys, *map(np.array, (a, b, n)), 40, 0.8)
+    for i, found in enumerate(want):
+        assert sure[i] < 0 or found == [tuple(spans[:, i].tolist())] * sure[i]
+    assert all((sure == s).sum() > 20 for s in (-1, 0, 1))
+
+
+def test_texts_under_one_id_are_compared_as_far_as_they_reach(spark):
+    word = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(word)), (2, " ".join(word[100:])), (2, " ".join(word[150:210])), (2, "a b c")]
+    out = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    seen = {(r.doc_id, r.ref_doc_id, r.start_word, r.end_word, r.ref_start, r.ref_end, r.matched_words) for r in out}
+    assert {(2, 1, 0, 200, 100, 300, 200), (2, 1, 0, 60, 150, 210, 60)} <= seen
