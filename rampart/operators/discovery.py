@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -18,7 +20,8 @@ from rampart.functions.unnest import computed_once, unnest
 from rampart.operators.components import connected_components
 from rampart.operators.matching import hash_bitmap, in_bitmap, match_patterns, matches_by_group
 from rampart.operators.slices import ranked_counts
-from rampart.session import cut_lineage
+from rampart.operators.substrings import shared_substrings
+from rampart.session import checkpoint_dir, cut_lineage
 
 
 # --- events ----------------------------------------------------------------------------------
@@ -119,6 +122,13 @@ def _sizes(prompts: DataFrame) -> DataFrame:
     return prompts.groupBy("cluster").agg(F.count("*").alias("_size"))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """Read back from files: the planner knows the size."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/discovery-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _shaped(g: DataFrame, kind: str | Column) -> DataFrame:
     k = F.lit(kind) if isinstance(kind, str) else kind
     return g.select("cluster", "regex", k.alias("kind"), (F.col("support") / F.col("_size")).alias("confidence"), "support")
@@ -169,29 +179,16 @@ def frequent_ngram_patterns(prompts: DataFrame, min_support: int = 3, top: int =
     return _shaped(shaped, "ngram")
 
 
-def common_substring_patterns(prompts: DataFrame, min_support: int = 3, size: int = 10, max_length: int = 200) -> DataFrame:
-    """Substrings of at least `size` characters that `min_support` prompts of a cluster share.
-
-    Shingles are counted per cluster by prompt; neighbouring shared shingles of a prompt are
-    one run.  A run's shingles may be shared by other prompts than the run, so its support is
-    counted anew over the cluster's prompts."""
-    numbered = prompts.withColumn("_pid", F.unhex(F.sha2(F.concat_ws("\x01", F.col("cluster").cast("string"), "text").cast("binary"), 256)))
-    unique = numbered.groupBy("cluster", "_pid").agg(F.count("*").alias("_copies"), F.first(F.lower("text")).alias("low"))
-    shingles = F.regexp_extract_all("low", F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1))
-    at = unique.select("cluster", "_pid", F.posexplode_outer(shingles).alias("pos", "g")).filter("g is not null")
-    once = unnest(unique, F.array_distinct(shingles), "g", "cluster", "_copies")
-    shared = once.groupBy("cluster", "g").agg(F.sum("_copies").alias("support")).filter(F.col("support") >= min_support)
-    marked = at.join(shared, ["cluster", "g"])
-    w = Window.partitionBy("cluster", "_pid").orderBy("pos")
-    runs = marked.withColumn("_run", F.col("pos") - F.row_number().over(w))
-    merged = runs.groupBy("cluster", "_pid", "_run").agg(
-        F.min("pos").alias("start"), F.max("pos").alias("stop"), F.min("support").alias("support")
-    )
-    text = merged.join(unique.select("cluster", "_pid", "low"), ["cluster", "_pid"])
-    sub = F.trim(F.substring("low", F.col("start") + 1, F.col("stop") - F.col("start") + size))
-    found = text.select("cluster", sub.alias("s"), "support").filter(F.length("s").between(size, max_length))
-    g = found.select("cluster", X.regex_escape("s").alias("regex"), F.lit("common_substring").alias("kind")).distinct()
-    return recount(prompts, g, min_support)
+def common_substring_patterns(prompts: DataFrame, min_support: int = 3, size: int = 10, max_length: int | None = None) -> DataFrame:
+    """Substrings of at least `size` characters that `min_support` prompts of a cluster share, in lower case, no space at either end.
+
+    All that lie in no longer one of that kind, at one of the places where they stand; support counts the prompts that hold
+    them.  `max_length` leaves out longer ones, as `filter_patterns` does for expressions."""
+    found = shared_substrings(prompts, "cluster", "text", min_support, size)
+    if max_length is not None:
+        found = found.filter(F.length("s") <= max_length)
+    g = found.select(F.col("group").alias("cluster"), X.regex_escape("s").alias("regex"), "support")
+    return _shaped(g.join(_written(_sizes(prompts)), "cluster"), "common_substring")
 
 
 def template_patterns(prompts: DataFrame, min_support: int = 3) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rampart.functions import text as X
 from rampart.functions.regexes import fold, required_literals
-from rampart.operators import discovery, matching, neighbours, traces, verdicts
+from rampart.operators import discovery, matching, neighbours, substrings, traces, verdicts
 from rampart.operators.components import connected_components
 
 PATTERNS = [
@@ -96,6 +96,46 @@ def test_substring_support_is_the_prompts_that_hold_it(spark):
     assert got == {"abcdefghij": (3, 0.6), "bcdefghijk": (3, 0.6)}
 
 
+def test_substrings_of_any_length_and_in_longer_runs_are_found(spark):
+    import random
+
+    r = random.Random(1)
+    long = "".join(r.choice("abcdefghij") for _ in range(300))
+    # no prompt has the first part alone, and no three share what two neighbouring parts make together
+    parts = ["".join(r.choice("klmnopqrst") for _ in range(30)) for _ in range(3)]
+    chained = [parts[0] + parts[1] + parts[2], parts[0] + parts[1][:12] + "u", "v" + parts[0] + parts[1][:11] + "w", "x" + parts[1] + "y", parts[1] + parts[2] + "z", "1" + parts[2]]
+    texts = [f"{long} 1", f"2 {long.upper()}", f"3{long}4", *chained]
+    got = {x.regex: x.support for x in discovery.common_substring_patterns(spark.createDataFrame([(0, t) for t in texts], "cluster int, text string")).collect()}
+    assert got == {long: 3, parts[0] + parts[1][:11]: 3, parts[1][:12]: 4, parts[1]: 3, parts[2]: 3}
+
+
+def test_shared_substrings_equal_plain_code(spark, monkeypatch):
+    import random
+
+    for name, value in (("BUCKET_CHARS", 40), ("BIN_CHARS", 100), ("SLICE_CHARS", 60), ("TASK_BUCKETS", 2)):
+        monkeypatch.setattr(substrings, name, value)
+    r = random.Random(5)
+    rows = [(r.choice("pq"), "".join(r.choice("abB  é\U0001f600") for _ in range(r.randrange(40)))) for _ in range(60)]
+    rows += [*r.choices(rows, k=15), ("p", None), (None, "abababab"), ("q", "ab" * 40), ("q", "ab" * 41)]
+    df = spark.createDataFrame(rows, "g string, t string").repartition(3)
+    got = [(x.group, x.s, x.support) for x in substrings.shared_substrings(df, "g", "t", 3, 4).collect()]
+    want = {}
+    for g in "pq":
+        texts = [t.lower() for k, t in rows if k == g and t]
+        for t in texts:
+            ends = [0] * len(t)
+            for i in range(len(t)):
+                for j in range(len(t), i + 3, -1):
+                    if t[i] != " " != t[j - 1] and sum(t[i:j] in x for x in texts) >= 3:
+                        ends[i] = j
+                        break
+            for i, j in enumerate(ends):
+                if j and not any(e >= j for e in ends[:i]):
+                    want[g, t[i:j]] = sum(t[i:j] in x for x in texts)
+    assert len(got) == len(want) > 20 and {(g, s): n for g, s, n in got} == want
+    assert not substrings.shared_substrings(df.filter("g is null"), "g", "t").collect()
+
+
 def test_every_id_of_equal_vectors_has_its_k_distance(spark):
     import math
 
