@@ -3,7 +3,8 @@
 Words are runs of letters, digits and underscores, in lower case; places are counted from 0.  Postings stay where
 they are made, run by run of documents, and are never sorted as a whole; a part is a piece of the table.  A directory
 says which parts hold a term and what they hold of it, so that a frequent term is met in many pieces and a rare one
-in one.  A posting holds at most PLACES places.
+in one.  A posting holds at most PLACES places.  Searches that mean several words are counted by tasks that open a
+part's files through pyarrow, so the work folder must be of a kind pyarrow knows.
 
 A search is (search_id, kind, query, slack):
   * term: one word;
@@ -23,6 +24,9 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,8 @@ WORD = r"[\p{L}\p{N}_]+"
 WORDS_AT_ONCE, PLACES = 500_000, 1024
 #: Bits of the filters that are broadcast.
 FILTER_BITS = 1 << 26
+#: Flags set at once, a document and a search each, and documents of terms looked at for them.
+CELLS, HITS_AT_ONCE = 1 << 23, 1 << 21
 #: Grams of a word for wildcards; leading characters whose deletions stand for a word in fuzzy searches.
 GRAM, LEADING, MOST_EDITS = 4, 8, 2
 
@@ -54,10 +60,25 @@ def words(text: Column | str) -> Column:
 def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/text_index-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _files(df: DataFrame) -> dict[int, list[str]]:
+    """The files of a table by `part`, in order, as URIs."""
+    found: dict[int, list[str]] = {}
+    for part, uri in sorted(df.select("part", F.input_file_name()).distinct().collect()):  # a few a part
+        found.setdefault(part, []).append("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    return found
+
+
+def _batches(files: list[str], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    for uri in files:
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as file:
+            yield from pq.ParquetFile(file).iter_batches(columns=columns)
+
+
 def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of runs of rows, and for each run a row without a term that holds its ids."""
     names = ["term", "base", "at", "n_docs", "first_id", "last_id", "ids"]
@@ -170,41 +191,119 @@ def _close(terms: DataFrame, asked: DataFrame) -> DataFrame:
     return posted.join(options, "left").filter(near).select("skey", "term").distinct()
 
 
-def _word_terms(index: TextIndex, asked: DataFrame) -> DataFrame:
-    """skey, term: the words that each search for words means."""
-    terms = _written(index.directory.select("term").distinct())
+def _word_terms(terms: DataFrame, asked: DataFrame) -> DataFrame:
+    """skey, term: the words that each search for words means, of all that there are."""
     plain = asked.filter("kind = 'term'").withColumn("w", words("query")).filter(F.size("w") == 1).select("skey", F.col("w")[0].alias("term"))
     return plain.unionByName(_wildcards(terms, asked.filter("kind = 'wildcard'"))).unionByName(_close(terms, asked.filter("kind = 'fuzzy'")))
 
 
 def _word_hits(index: TextIndex, asked: DataFrame) -> DataFrame:
-    each = _met(index, _word_terms(index, asked)).select("skey", "base", F.explode("at").alias("at"))
+    terms = _written(index.directory.select("term").distinct())
+    each = _met(index, _word_terms(terms, asked)).select("skey", "base", F.explode("at").alias("at"))
     return each.groupBy("skey", (F.col("base") + F.shiftright("at", 32)).alias("doc")).agg(F.count("*").alias("n_places"))
 
 
+def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _documents_with_any(run: list[pa.RecordBatch], terms: pa.Array, first: np.ndarray, n: np.ndarray, search: np.ndarray, out: np.ndarray) -> None:
+    """Adds to `out`, for every search, the documents of a run that hold any of its terms: those of term i are
+    search[first[i] : first[i] + n[i]]."""
+    table = pa.Table.from_batches(run).combine_chunks()
+    code = pc.index_in(table.column("term").combine_chunks(), value_set=terms)
+    table, code = table.filter(code.is_valid()), code.drop_null().to_numpy().astype(np.int64)
+    if not len(code):
+        return
+    lists = table.column("at").combine_chunks()
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    doc = lists.flatten().to_numpy() >> 32
+    posting = np.repeat(np.arange(len(size)), size)
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (posting[1:] != posting[:-1])]
+    doc, size = doc[new], np.bincount(posting[new], minlength=len(size))
+    start, docs = np.cumsum(size) - size, int(doc.max()) + 1
+    of, asking = np.repeat(np.arange(len(code)), n[code]), search[_ranges(first[code], n[code])]
+    order = np.argsort(asking, kind="stable")
+    of, asking = of[order], asking[order]
+    rows = max(1, CELLS // docs)
+    for lo in range(int(asking[0]), int(asking[-1]) + 1, rows):
+        a, b = np.searchsorted(asking, [lo, lo + rows])
+        if a == b:
+            continue
+        flags = np.zeros((int(asking[b - 1]) - lo + 1) * docs, np.bool_)
+        piece = np.cumsum(size[of[a:b]]) // HITS_AT_ONCE
+        for x, y in zip(cuts := [a, *(a + np.flatnonzero(np.diff(piece)) + 1), b], cuts[1:]):
+            flags[np.repeat((asking[x:y] - lo) * docs, size[of[x:y]]) + doc[_ranges(start[of[x:y]], size[of[x:y]])]] = True
+        held = np.add.reduce(flags.reshape(-1, docs), axis=1, dtype=np.int64)
+        out[lo : lo + len(held)] += held
+
+
+def _any_counts(index: TextIndex, wanted: DataFrame) -> DataFrame:
+    """skey, n: per part, how many of its documents hold any term of the search.  A task reads a part's postings, run by
+    run, and what is wanted of that part; no posting is shuffled."""
+    spark = wanted.sparkSession
+    asked = wanted.join(index.directory.select("term", "part"), "term").select("part", "term", "skey")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/text_index-{uuid.uuid4().hex}"
+    asked.repartition("part").withColumn("of", F.col("part")).write.option("compression", "zstd").partitionBy("of").parquet(path)
+    schema = "skey long, n long"
+    found = _files(spark.read.schema("part long, term string, skey long, of long").parquet(path))
+    if not found:
+        return spark.createDataFrame([], schema)
+    postings = _files(index.postings)
+    tasks = [(wants, postings[part]) for part, wants in found.items()]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for wants, files in (tuple(t.values()) for batch in batches for t in batch.to_pylist()):
+            pairs = pa.Table.from_batches(_batches(wants, ["term", "skey"])).combine_chunks()
+            coded = pairs.column("term").combine_chunks().dictionary_encode()
+            keys, search = np.unique(pairs.column("skey").to_numpy(), return_inverse=True)
+            code = coded.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            n = np.bincount(code, minlength=len(coded.dictionary))
+            out, held, base = np.zeros(len(keys), np.int64), [], None
+            add = lambda run: _documents_with_any(run, coded.dictionary, np.cumsum(n) - n, n, search[order], out)
+            for batch in _batches(files, ["term", "base", "at"]):
+                batch = batch.filter(batch.column("term").is_valid())
+                bases = batch.column("base").to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(bases)) + 1), len(bases)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if a == b:
+                        continue
+                    if held and base != bases[a]:
+                        add(held)
+                        held = []
+                    base = bases[a]
+                    held.append(batch.slice(a, b - a))
+            if held:
+                add(held)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(out)], ["skey", "n"])
+
+    dealt = spark.createDataFrame(spark.sparkContext.parallelize(tasks, len(tasks)), "wants array<string>, files array<string>")
+    return dealt.mapInArrow(count, schema)
+
+
 def _word_counts(index: TextIndex, asked: DataFrame) -> DataFrame:
     """skey, n_docs, n_places, first_id, last_id.  All but n_docs are sums over terms, and for a search that means one term so is
-    n_docs: the directory has them.  Only documents with any of several terms are counted from postings, a run at a time."""
-    wanted = _written(_word_terms(index, asked))
-    of_term = index.directory.groupBy("term").agg(
+    n_docs: the directory has them.  Only documents with any of several terms are counted from postings, a part at a time."""
+    of_term = _written(index.directory.groupBy("term").agg(
         F.sum("n_places").alias("n_places"), F.sum("n_docs").alias("n_docs"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id")
-    )
+    ))
+    wanted = _written(_word_terms(of_term.select("term"), asked))
     summed = _written(wanted.join(of_term, "term").groupBy("skey").agg(
         F.count("*").alias("n_terms"), F.sum("n_docs").alias("n_docs"), F.sum("n_places").alias("n_places"),
         F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"),
     ))
     several = wanted.join(summed.filter("n_terms > 1").select("skey"), "skey")
-    met = _met(index, several).select("skey", "base", F.array_distinct(F.transform("at", lambda x: F.shiftright(x, 32).cast("int"))).alias("docs"))
-    runs = met.groupBy("skey", "base").agg(F.size(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("n"))
-    counted = runs.groupBy("skey").agg(F.sum("n").alias("n_any"))
+    counted = _any_counts(index, several).groupBy("skey").agg(F.sum("n").alias("n_any"))
     joined = summed.join(counted, "skey", "left")
     return joined.select("skey", F.coalesce("n_any", "n_docs").alias("n_docs"), "n_places", "first_id", "last_id")
 
 
 def _ways(index: TextIndex, asked: DataFrame) -> DataFrame:
     """skey, slack, at, w: the phrases whose words all stand somewhere, and which word is the rarest."""
-    counted = index.directory.groupBy("term").agg(F.sum("n_places").alias("n"))
     phrases = asked.filter("kind = 'phrase'").select("skey", F.greatest("slack", F.lit(0)).alias("slack"), words("query").alias("w"))
+    asked_terms = _written(phrases.select(F.explode("w").alias("term")).distinct())
+    counted = index.directory.join(asked_terms, "term", "left_semi").groupBy("term").agg(F.sum("n_places").alias("n"))
     known = phrases.select("skey", F.posexplode("w").alias("at", "term")).join(counted, "term")
     anchor = known.groupBy("skey").agg(F.min_by("at", F.struct("n", "at")).alias("at"), F.count("*").alias("found"))
     return phrases.join(anchor, "skey").filter(F.size("w") == F.col("found")).select("skey", "slack", "at", "w")

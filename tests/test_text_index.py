@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from rampart.operators import text_index as TI
@@ -154,3 +156,26 @@ def test_places_of_phrases_are_followed_where_the_postings_are(spark, monkeypatc
     found = TI.search(index, spark.createDataFrame([(1, "phrase", "a b", 0), (2, "phrase", "b a x", 0), (3, "phrase", "y b z", 0)], ASKED))
     assert [(r.search_id, r.id, r.n_places) for r in found.orderBy("id").collect()] == [(3, i, 20) for i in range(100)]
     assert max(kept) < 100
+
+
+def test_documents_of_several_words_are_counted_without_moving_postings(spark, monkeypatch):
+    docs = [(i, t, None) for i, t in enumerate(["ab ab ac", "ac", "b", "ab b", ""])]
+    index = TI.build_index(spark.createDataFrame(docs, DOCS), "doc_id", "text")
+    counts = TI.search_counts(index, spark.createDataFrame([(1, "wildcard", "a*", 0), (2, "wildcard", "*", 0)], ASKED))
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "AS docs#" not in plan
+    assert [(r.n_docs, r.n_places) for r in counts.orderBy("search_id").collect()] == [(3, 5), (4, 7)]
+
+    rng = random.Random(4)
+    texts = [rng.choices("abcdef", k=rng.randrange(9)) for _ in range(30)]
+    rows = [(t, 0, [d << 32 | i for d, w in enumerate(texts) for i, x in enumerate(w) if x == t]) for t in "fbadce"]
+    rows = [(t, b, at[i : i + 5]) for t, b, at in rows for i in range(0, len(at), 5)]
+    run = [pa.RecordBatch.from_pylist([dict(zip(["term", "base", "at"], r)) for r in rows[i : i + 4]]) for i in range(0, len(rows), 4)]
+    wants = {"a": [0, 2, 5], "x": [1], "c": [0, 5], "d": [2], "f": [5, 0]}
+    n = np.array([len(w) for w in wants.values()])
+    for cells, hits in ((1 << 20, 1 << 20), (70, 3)):
+        monkeypatch.setattr(TI, "CELLS", cells)
+        monkeypatch.setattr(TI, "HITS_AT_ONCE", hits)
+        out = np.zeros(6, np.int64)
+        TI._documents_with_any(run, pa.array(list(wants)), np.cumsum(n) - n, n, np.array(sum(wants.values(), [])), out)
+        assert out.tolist() == [sum(any(k in wants.get(w, ()) for w in t) for t in texts) for k in range(6)]
